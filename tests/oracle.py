@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import argparse
 import math
+import signal
 import sys
 import time
 import traceback
@@ -81,7 +82,12 @@ def main():
     ap.add_argument("--sf", default="0.01")
     ap.add_argument("--slow", type=float, default=8.0)
     ap.add_argument("names", nargs="*")
+    ap.add_argument("--limit", type=int, default=60, help="seconds per query")
     args = ap.parse_args()
+
+    def late(*_):
+        raise TimeoutError("took too long")
+    signal.signal(signal.SIGALRM, late)
     import __spark_entry__ as entry
     sf_dir = f"/root/testdata/sf{args.sf}"
     spark, con = make_session(), duck(sf_dir)
@@ -90,11 +96,14 @@ def main():
     for name, fn in queries.items():
         if args.names and not any(name == n or (n.endswith("*") and name.startswith(n[:-1])) for n in args.names):
             continue
+        signal.alarm(args.limit)
         try:
             state, n, took, note = compare(spark, con, name, fn, sql.get(name), sf_dir)
         except Exception as err:  # report and go on with the next query
+            spark.sparkContext.cancelAllJobs()
             text = str(err) or traceback.format_exc()
             state, n, took, note = "ERROR", 0, 0.0, text[:1200]
+        signal.alarm(0)
         counts[state] += 1
         if state not in ("ok", "rows") or took > args.slow or len(args.names) > 0:
             print(f"{state:8}{name:28}{n:9} rows {took:6.1f}s {note}", flush=True)

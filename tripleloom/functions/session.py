@@ -8,6 +8,14 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+def configure(spark: SparkSession) -> SparkSession:
+    """Adaptive execution with the skew split also where it needs another shuffle."""
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for tables cut from their lineage: the one the cluster names.
 

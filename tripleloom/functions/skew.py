@@ -80,8 +80,8 @@ def range_bucket(df: DataFrame, cols: Sequence[str], buckets: int) -> Column:
     steps = [1 << i for i in reversed(range(max(1, (2 * buckets).bit_length())))]
 
     def halve(at: Column, step: Column) -> Column:
-        inside = at + step <= F.size(F.col("_points"))
-        return F.when(inside & (F.get(F.col("_points"), at + step - 1) < F.col("_key")), at + step).otherwise(at)
+        inside = at + step <= F.size(F.col("_ps_points"))
+        return F.when(inside & (F.get(F.col("_ps_points"), at + step - 1) < F.col("_ps_key")), at + step).otherwise(at)
 
     search = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), halve)
     return points, key, search
@@ -90,8 +90,8 @@ def range_bucket(df: DataFrame, cols: Sequence[str], buckets: int) -> Column:
 def _bucketed(df: DataFrame, cols: Sequence[str], buckets: int | None) -> DataFrame:
     n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points, key, search = range_bucket(df, cols, n)
-    return (df.withColumn("_points", points).withColumn("_key", key)
-              .withColumn("_bucket", search).drop("_points", "_key"))
+    return (df.withColumn("_ps_points", points).withColumn("_ps_key", key)
+              .withColumn("_ps_bucket", search).drop("_ps_points", "_ps_key"))
 
 
 def prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str,
@@ -103,19 +103,19 @@ def prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Co
     most one key, so the offset table has at most one row per range and is broadcast.
     Only those keys need offsets, so no key and no global order lands in one task.
     """
-    cut = _bucketed(df.withColumn("_value", value), [*by, *order], buckets)
-    sums = cut.groupBy(*by, "_bucket").agg(F.sum("_value").alias("_sum"))
-    before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_before", F.sum("_sum").over(before)).where(F.col("_before").isNotNull())
+    cut = _bucketed(df.withColumn("_ps_value", value), [*by, *order], buckets)
+    sums = cut.groupBy(*by, "_ps_bucket").agg(F.sum("_ps_value").alias("_ps_sum"))
+    before = Window.partitionBy(*by).orderBy("_ps_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("_ps_before", F.sum("_ps_sum").over(before)).where(F.col("_ps_before").isNotNull())
     offsets = offsets.select(*[F.col(c).alias(f"_o_{c}") for c in by],
-                             F.col("_bucket").alias("_o_bucket"), "_before")
-    same = F.col("_bucket") == F.col("_o_bucket")
+                             F.col("_ps_bucket").alias("_ps_o_bucket"), "_ps_before")
+    same = F.col("_ps_bucket") == F.col("_ps_o_bucket")
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
-    inside = (Window.partitionBy(*by, "_bucket").orderBy(*order)
+    inside = (Window.partitionBy(*by, "_ps_bucket").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     out = cut.join(F.broadcast(offsets), same, "left")
-    total = F.sum("_value").over(inside) + F.coalesce(F.col("_before"), F.lit(0))
+    total = F.sum("_ps_value").over(inside) + F.coalesce(F.col("_ps_before"), F.lit(0))
     return out.withColumn(name, total).select(*df.columns, name)
 
 

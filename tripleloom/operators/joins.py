@@ -1,7 +1,9 @@
 """Joins over triples, nodes, dictionaries and mentions.
 
 Sides are broadcast only by the optimiser's own size check, except lists held by the
-caller.  Joins whose probe side may have hot keys go through ``salted_join``.
+caller.  A hot key on the probe side of a shuffled join is split at run time by adaptive
+execution (``session.configure`` turns the split on also where it costs a shuffle); joins
+on names, where hubs are the rule, salt the hot names beforehand with ``salted_join``.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ def edge_endpoints(edges: DataFrame, nodes: DataFrame, attributes: Sequence[str]
     """Attach the attributes of both nodes to each edge (inner on both sides)."""
     def side(end: str) -> DataFrame:
         return nodes.select(F.col("name").alias(end), *[F.col(a).alias(f"{end}_{a}") for a in attributes])
-    return salted_join(salted_join(edges, side("head"), ["head"]), side("tail"), ["tail"])
+    return edges.join(side("head"), ["head"]).join(side("tail"), ["tail"])
 
 
 def undirected(edges: DataFrame, a: str = "head", b: str = "tail") -> DataFrame:
@@ -47,8 +49,8 @@ def names_exist(names: DataFrame, nodes: DataFrame) -> DataFrame:
 def drop_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose two ends both exist as nodes."""
     names = nodes.select("name").distinct()
-    by_head = salted_join(edges, names.withColumnRenamed("name", "head"), ["head"], "left_semi")
-    return salted_join(by_head, names.withColumnRenamed("name", "tail"), ["tail"], "left_semi").select(*edges.columns)
+    by_head = edges.join(names.withColumnRenamed("name", "head"), ["head"], "left_semi")
+    return by_head.join(names.withColumnRenamed("name", "tail"), ["tail"], "left_semi").select(*edges.columns)
 
 
 def last_filled(value: str, order: str) -> Column:
@@ -94,26 +96,26 @@ def distant_label(samples: DataFrame, triples: DataFrame, order: str, fold_case:
     return joined.select(*samples.columns, F.coalesce("_relation", F.lit(default)).alias("relation"))
 
 
-def synonym_hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
+def synonym_hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame,
+                 anchor: int = 4, shortest: int = 1) -> DataFrame:
     """``(key, canonical, dict_no)`` for every canonical with a synonym inside the text.
 
     ``dictionary`` is ``(canonical, synonym, dict_no)`` of any size.  Each text gives its
-    distinct substrings of the dictionary's word lengths and meets the dictionary in an
-    equi-join, so work grows with text length and not with texts times words.  The set of
-    lengths is bounded by the longest synonym.
+    distinct grams of ``shortest``..``anchor`` characters, which meet the starts of the
+    synonyms in an equi-join; only these candidates are looked up in the text.  No text
+    is paired with every word.  Synonyms have at least ``shortest`` characters.
     """
-    words = dictionary.where(F.length("synonym") > 0)
-    lengths = words.agg(F.collect_set(F.length("synonym")).alias("lengths")).scalar()
-
-    def parts(v: Column) -> Column:
-        def of_length(n: Column) -> Column:
-            last = F.length(v["t"]) - n + 1
-            starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-            return F.transform(starts, lambda i: F.substring(v["t"], i, n))
-        return F.array_distinct(F.flatten(F.transform(v["n"], of_length)))
-
-    grams = texts.select(key, F.explode(let(F.struct(F.col(text).alias("t"), lengths.alias("n")), parts)).alias("synonym"))
-    hits = salted_join(grams, words, ["synonym"])
+    words = dictionary.where(F.length("synonym") > 0).withColumn("_gram", F.left("synonym", F.lit(anchor)))
+
+    def grams_of(chars: Column) -> Column:
+        def at(n: int) -> Column:
+            return F.transform(chars, lambda ch, i: F.concat(ch, *[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, n)]))
+        return F.array_distinct(F.concat(*[at(n) for n in range(shortest, anchor + 1)]))
+
+    base = texts.select(key, text)
+    grams = base.select(key, F.explode(let(F.split(text, ""), grams_of)).alias("_gram"))
+    found = grams.join(words, "_gram").select(key, "canonical", "synonym", "dict_no")
+    hits = found.join(base, key).where(F.col(text).contains(F.col("synonym")))
     return hits.groupBy(key, "canonical").agg(F.min("dict_no").alias("dict_no"))
 
 
@@ -162,7 +164,7 @@ def pair_ranges(entities: DataFrame, by: str, order: Sequence[str]) -> DataFrame
     """
     sizes = entities.groupBy(by).agg(F.count("*").alias("last"))
     at = ranked(entities, [by], order, "rank")
-    joined = salted_join(at, sizes, [by])
+    joined = at.join(sizes, [by])
     return joined.where(F.col("rank") < F.col("last")).withColumn("first", F.col("rank") + 1).withColumn(
         "pairs", F.col("last") - F.col("rank"))
 
@@ -176,7 +178,7 @@ def labelled_pairs(entities: DataFrame, gold: DataFrame, by: str, entity: str, n
     ends = entities.select(by, F.col(entity).alias("_e")).distinct()
     linked = gold.where(F.col("head") != F.col("tail"))
     for end in ("head", "tail"):
-        linked = salted_join(linked, ends.withColumnRenamed("_e", end), [by, end], "left_semi")
+        linked = linked.join(ends.withColumnRenamed("_e", end), [by, end], "left_semi")
     linked = linked.select(by, "head", "tail", "label").distinct()
     sizes = ends.groupBy(by).agg(F.count("*").alias("_n"))
     known = linked.select(by, "head", "tail").distinct().groupBy(by).agg(F.count("*").alias("_k"))
@@ -193,7 +195,7 @@ def new_pair_counts(entities: DataFrame, known: DataFrame, by: str, entity: str)
     pairs = (known.where(F.col("head") != F.col("tail"))
              .select(by, F.least("head", "tail").alias("a"), F.greatest("head", "tail").alias("b")).distinct())
     for end in ("a", "b"):
-        pairs = salted_join(pairs, ends.withColumnRenamed("_e", end), [by, end], "left_semi")
+        pairs = pairs.join(ends.withColumnRenamed("_e", end), [by, end], "left_semi")
     linked = pairs.groupBy(by).agg((F.count("*") * 2).alias("_k"))
     sizes = ends.groupBy(by).agg(F.count("*").alias("entities"))
     return sizes.join(linked, by, "left").select(
@@ -203,8 +205,8 @@ def new_pair_counts(entities: DataFrame, known: DataFrame, by: str, entity: str)
 def mention_facts(facts: DataFrame, mentions: DataFrame) -> DataFrame:
     """Entity-level facts to distinct (head name, tail name, relation) over the names of the mentions."""
     names = mentions.select("doc", "entity", "name").distinct()
-    heads = salted_join(facts, names.select("doc", F.col("entity").alias("h"), F.col("name").alias("head_name")), ["doc", "h"])
-    both = salted_join(heads, names.select("doc", F.col("entity").alias("t"), F.col("name").alias("tail_name")), ["doc", "t"])
+    heads = facts.join(names.select("doc", F.col("entity").alias("h"), F.col("name").alias("head_name")), ["doc", "h"])
+    both = heads.join(names.select("doc", F.col("entity").alias("t"), F.col("name").alias("tail_name")), ["doc", "t"])
     return both.select("head_name", "tail_name", "relation").distinct()
 
 
@@ -223,7 +225,7 @@ def relation_coverage(relations: DataFrame, spans: DataFrame) -> DataFrame:
     known = spans.select("doc", "start", "end").distinct()
     covered = relations
     for n in ("1", "2"):
-        covered = salted_join(covered, known.select("doc", F.col("start").alias(f"s{n}"), F.col("end").alias(f"e{n}")),
+        covered = covered.join(known.select("doc", F.col("start").alias(f"s{n}"), F.col("end").alias(f"e{n}")),
                               ["doc", f"s{n}", f"e{n}"], "left_semi")
     per_doc = known.groupBy("doc").agg(F.count("*").alias("n"))
     shared = spans_overlap(F.col("s1"), F.col("e1"), F.col("s2"), F.col("e2"))

@@ -48,7 +48,7 @@ def _(t):
     kept = nodes(t).where("type <> 'Algorithm'")
     heads = nodes(t).where("description is not null or type <> 'ApplicationScenario'")
     e = edges(t)
-    by_tail = J.salted_join(e, kept.select(c("name").alias("tail")).distinct(), ["tail"], "left_semi")
+    by_tail = e.join(kept.select(c("name").alias("tail")).distinct(), ["tail"], "left_semi")
     return J.drop_dangling(by_tail, heads.unionByName(kept)).select("row_no", "head", "tail")
 
 
@@ -104,7 +104,7 @@ def _dictionary(t):
 
 @query("j_synonym_contains", f"""WITH {WORDS} SELECT doc_id, canonical FROM documents JOIN dict ON contains(text, synonym) GROUP BY 1, 2""")
 def _(t):
-    return J.synonym_hits(t.documents, "doc_id", "text", _dictionary(t)).select("doc_id", "canonical")
+    return J.synonym_hits(t.documents, "doc_id", "text", _dictionary(t), shortest=4).select("doc_id", "canonical")
 
 
 @query("j_gold_pred", """WITH g AS (SELECT l_orderkey, l_suppkey, arg_max(l_partkey, l_linenumber * 1000000 + l_partkey) AS gold FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2),
@@ -210,9 +210,9 @@ def _(t):
 @query("j_closest_mention", r"""WITH w AS (SELECT doc_id, regexp_split_to_array(text, '\s+') AS toks FROM documents),
  p AS (SELECT doc_id, pos, tok FROM (SELECT doc_id, unnest(toks) AS tok, generate_subscripts(toks, 1) - 1 AS pos FROM w) WHERE tok IN ('de', 'la', 'the', 'und', 'que')),
  pairs AS (SELECT a.doc_id, a.pos AS apos, b.pos AS bpos, abs(a.pos - b.pos) AS gap FROM p a JOIN p b ON a.doc_id = b.doc_id WHERE a.tok IN ('de', 'the') AND b.tok IN ('la', 'und', 'que')),
- mid AS (SELECT doc_id, len(toks) // 2 AS at FROM w)
+ mid AS (SELECT doc_id, len(toks) // 2 AS amid FROM w)
 SELECT doc_id, CAST(min(gap) AS BIGINT) AS gap,
- (SELECT CAST(arg_min(pos, abs(pos - at) * 100000 + pos) AS BIGINT) FROM p JOIN mid USING (doc_id) WHERE p.doc_id = pairs.doc_id AND tok IN ('de', 'the')) AS near_middle
+ (SELECT CAST(arg_min(pos, abs(pos - amid) * 100000 + pos) AS BIGINT) FROM p JOIN mid USING (doc_id) WHERE p.doc_id = pairs.doc_id AND tok IN ('de', 'the')) AS near_middle
 FROM pairs GROUP BY doc_id""")
 def _(t):
     def places(words):

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tripleloom.functions.session import configure
+
 
 class Tables:
     """Lazy access to the driver tables of one scale factor."""
@@ -37,5 +39,5 @@ def query(name: str, sql: str | None = None):
 
 def callables() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
-        return lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        return lambda spark, sf_dir: fn(Tables(configure(spark), sf_dir))
     return {name: bind(fn) for name, fn in QUERIES.items()}
