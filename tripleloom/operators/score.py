@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -392,8 +393,6 @@ def rouge_n(pairs: DataFrame, key: str, reference: str, candidate: str) -> DataF
 
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two token arrays (Arrow batches)."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def lcs(xs: pd.Series, ys: pd.Series) -> pd.Series:
         def one(x, y):
