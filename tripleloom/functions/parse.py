@@ -125,7 +125,7 @@ def fix_unk(span: Column, text: Column, unk: str = "<unk>") -> Column:
 
 # Characters and articles dropped when answers are compared.
 ANSWER_PUNCTUATION = r"[!\"#$%&()*+,\-./:;<=>?@\[\]\\^`{|}~_']"
-ARTICLES = r"\b(a|an|the)\b"
+ARTICLES = r"(?U)\b(a|an|the)\b"
 
 
 def norm_answer(s: Column) -> Column:
@@ -169,7 +169,7 @@ def schema_parts(key: Column) -> Column:
 
 def dialog_rename(text: Column, x: Column, y: Column) -> Column:
     """(text, x, y) with the two speakers asked about replaced by placeholders."""
-    clean = F.replace(F.regexp_replace(F.replace(text, F.lit("’"), F.lit("'")), r"\bim\b", "i"), F.lit("..."), F.lit("."))
+    clean = F.replace(F.regexp_replace(F.replace(text, F.lit("’"), F.lit("'")), r"(?U)\bim\b", "i"), F.lit("..."), F.lit("."))
     speaker = lambda s: s.rlike("^speaker [0-9]+$")
     one, two = F.lit("[unused1]"), F.lit("[unused2]")
     first, second = speaker(x), speaker(y) & (x != y)

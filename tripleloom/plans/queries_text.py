@@ -275,9 +275,21 @@ def _(t):
     return d.select("doc_id", P.fix_unk(hole, F.concat(F.lit(" "), "w", F.lit(" "))).alias("fixed"))
 
 
-@query("f_norm_answer", r"""SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[!"#$%&()*+,\-./:;<=>?@\[\]\\^`{|}~_'']', ' ', 'g'), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))) AS answer FROM documents WHERE lang = 'en'""")
+WORD_EDGE = r"[^\p{L}\p{M}\p{N}_]"
+
+
+def sql_word(text: str, words: str, new: str) -> str:
+    """Whole words replaced; twice, because neighbours share the character between them."""
+    one = f"regexp_replace({text}, '(^|{WORD_EDGE})({words})($|{WORD_EDGE})', '\\1{new}\\3', 'g')"
+    return f"regexp_replace({one}, '(^|{WORD_EDGE})({words})($|{WORD_EDGE})', '\\1{new}\\3', 'g')"
+
+
+BARE = r"""regexp_replace(lower(text), '[!"#$%&()*+,\-./:;<=>?@\[\]\\^`{|}~_'']', ' ', 'g')"""
+
+
+@query("f_norm_answer", f"""SELECT doc_id, md5(trim(regexp_replace({sql_word(BARE, 'a|an|the', ' ')}, '\\s+', ' ', 'g'))) AS answer FROM documents""")
 def _(t):
-    return t.documents.where("lang = 'en'").select("doc_id", F.md5(P.norm_answer(c("text"))).alias("answer"))
+    return t.documents.select("doc_id", F.md5(P.norm_answer(c("text"))).alias("answer"))
 
 
 @query("f_label_words", """SELECT p_partkey, replace(replace(translate(split_part(lower(concat('per:', p_type, '_of_org(', p_brand, ')')), '(', 1), ':_', '  '), 'per', 'person'), 'org', 'organization') AS words FROM part""")
@@ -314,7 +326,7 @@ def _(t):
     return t.embeddings.join(q, "label").select("vec_id", F.round(S.cosine(c("embedding"), c("q")), 6).alias("cosine"))
 
 
-@query("f_dialog_rename", """SELECT conv_id, turn, concat('[unused1] : ', lower(replace(text, '...', '.')), ' [unused2] : yes') AS text, '[unused1]' AS x, '[unused2]' AS y FROM conversations""")
+@query("f_dialog_rename", f"""SELECT conv_id, turn, concat('[unused1] : ', replace({sql_word('lower(text)', 'im', 'i')}, '...', '.'), ' [unused2] : yes') AS text, '[unused1]' AS x, '[unused2]' AS y FROM conversations""")
 def _(t):
     d = F.concat(F.lit("speaker 1: "), F.lower("text"), F.lit(" speaker 2: yes"))
     return t.conversations.select("conv_id", "turn", P.dialog_rename(d, F.lit("speaker 1"), F.lit("speaker 2")).alias("r")).select("conv_id", "turn", "r.*")
