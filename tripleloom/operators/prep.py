@@ -108,7 +108,6 @@ def by_draw_of(v: Column, seed: int) -> Column:
 
 def neg_hard(positive: Column, schema: Sequence[str], hard: Mapping[str, Sequence[str]], others: int, seed: int, key: str) -> Column:
     """Positives, their hard negatives, and up to ``others`` more types by draw."""
-    near = F.lit(None)
     table = F.create_map(*[x for k, v in hard.items() for x in (F.lit(k), _all(v))])
     near = F.flatten(F.transform(positive, lambda p: F.coalesce(F.try_element_at(table, p), F.array().cast("array<string>"))))
     chosen = F.array_union(near, positive)

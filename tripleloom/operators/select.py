@@ -54,7 +54,7 @@ def tp_fp_fn(gold: DataFrame, predicted: DataFrame, keys: Sequence[str]) -> Data
 def k_shot(df: DataFrame, label: str, key: str, k: int, seeds: Sequence[int]) -> DataFrame:
     """k rows per class for each seed, drawn by a seeded hash of the key."""
     drawn = df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
-    drawn = drawn.withColumn("_h", F.xxhash64(key, "seed"))
+    drawn = drawn.withColumn("_h", F.md5(F.concat_ws("|", "seed", key)))
     return top_k(drawn, ["seed", label], [F.col("_h"), F.col(key)], k).drop("_h")
 
 

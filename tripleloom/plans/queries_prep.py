@@ -233,7 +233,7 @@ def _(t):
 def _(t):
     words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
     cands = F.transform(F.array_union(F.array_distinct(words), F.transform(F.array_distinct(words), lambda w: F.substring(w, 1, 3))), lambda w: F.struct(w.alias("text"), (F.call_function("instr", c("text"), w) - 1).alias("start")))
-    out = t.conversations.where("turn < 2").select("conv_id", "turn", P.resolve_longest(cands, ["dans", "nicht"]).alias("k"))
+    out = t.conversations.select("conv_id", "turn", P.resolve_longest(cands, ["dans", "nicht"]).alias("k"))
     return out.select("conv_id", "turn", F.size("k").alias("n"), F.array_join(F.slice("k.text", 1, 5), "|").alias("longest"))
 
 

@@ -222,9 +222,10 @@ def _(t):
 
 # ---- windows ------------------------------------------------------------------------------
 
-@query("w_k_shot")
+@query("w_k_shot", """SELECT seed, p_type, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY seed, p_type ORDER BY md5(concat(seed, '|', p_partkey)), p_partkey) AS rn
+ FROM part, (SELECT CAST(unnest([1, 2, 3, 4, 5]) AS INTEGER) AS seed)) WHERE rn <= 8""")
 def _(t):
-    return S.k_shot(t.part.select("p_partkey", "p_type"), "p_type", "p_partkey", 8, [1, 2, 3, 4, 5])
+    return S.k_shot(t.part.select("p_partkey", "p_type"), "p_type", "p_partkey", 8, [1, 2, 3, 4, 5]).drop("rank")
 
 
 def _sentences(t):
