@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tripleloom.functions.session import staged
+
 HOT_SHARE = 256      # a key is hot when it holds more than 1/HOT_SHARE of the rows
 SAMPLE_PER_SPLIT = 20
 
@@ -95,15 +97,19 @@ def _bucketed(df: DataFrame, cols: Sequence[str], buckets: int | None) -> DataFr
 
 
 def prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, name: str,
-               buckets: int | None = None) -> DataFrame:
+               buckets: int | None = None, stage: bool = False) -> DataFrame:
     """Inclusive running sum of ``value`` per ``by`` in ``order`` (which must be unique).
 
     Rows are cut into ranges of (by, order); each range is summed by itself and the
     sums of earlier ranges of the same key are added.  A range can begin inside at
     most one key, so the offset table has at most one row per range and is broadcast.
     Only those keys need offsets, so no key and no global order lands in one task.
+
+    The input is read four times (count, sample, sums, rows); ``stage`` writes it to the
+    shared folder first, which pays when it comes from more than a scan.
     """
-    cut = _bucketed(df.withColumn("_ps_value", value), [*by, *order], buckets)
+    rows = df.withColumn("_ps_value", value)
+    cut = _bucketed(staged(rows) if stage else rows, [*by, *order], buckets)
     sums = cut.groupBy(*by, "_ps_bucket").agg(F.sum("_ps_value").alias("_ps_sum"))
     before = Window.partitionBy(*by).orderBy("_ps_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_ps_before", F.sum("_ps_sum").over(before)).where(F.col("_ps_before").isNotNull())
@@ -120,6 +126,6 @@ def prefix_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: Co
 
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str = "rank",
-           buckets: int | None = None) -> DataFrame:
+           buckets: int | None = None, stage: bool = False) -> DataFrame:
     """Exact 1-based position per ``by`` in a unique ``order``; global when ``by`` is empty."""
-    return prefix_sum(df, by, order, F.lit(1).cast("long"), name, buckets)
+    return prefix_sum(df, by, order, F.lit(1).cast("long"), name, buckets, stage)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleloom.functions import constants as K
+from tripleloom.functions.session import staged
 from tripleloom.functions.skew import ranked
 
 def rows() -> Column:
@@ -86,8 +87,8 @@ def group_sentence(triples: DataFrame, order: Sequence[str]) -> DataFrame:
     One row per mention instead of one nested record per sentence, so a sentence may have
     any number of mentions.  Null sentences are dropped.
     """
-    kept = triples.where(F.col("sentence").isNotNull())
-    ids = ranked(kept.select("sentence").distinct(), [], ["sentence"], "id").withColumn("id", F.col("id") - 1)
+    kept = staged(triples.where(F.col("sentence").isNotNull()))
+    ids = ranked(kept.select("sentence").distinct(), [], ["sentence"], "id", stage=True).withColumn("id", F.col("id") - 1)
     return ranked(kept, ["sentence"], order, "mention_no").join(ids, "sentence")
 
 
@@ -122,7 +123,7 @@ def vocab(tokens: DataFrame, order: Sequence[str], min_freq: int = 1, special: S
     special = list(special)
     seen = (tokens.where(~F.col("token").isin(special)).groupBy("token")
             .agg(rows().alias("n"), F.min(F.struct(*order)).alias("_at")).where(F.col("n") >= min_freq))
-    ids = ranked(seen, [], ["_at", "token"], "id").select("token", "n", (F.col("id") + len(special) - 1).alias("id"))
+    ids = ranked(seen, [], ["_at", "token"], "id", stage=True).select("token", "n", (F.col("id") + len(special) - 1).alias("id"))
     first = tokens.sparkSession.createDataFrame([(w, 0, i) for i, w in enumerate(special)], "token string, n bigint, id bigint")
     return first.unionByName(ids)
 

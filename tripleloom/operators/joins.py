@@ -136,7 +136,7 @@ def kg_membership(names: DataFrame, nodes: DataFrame) -> DataFrame:
     flagged = names.join(inside.withColumn("_in", F.lit(True)), "name", "left")
     keyed = flagged.select("name", F.coalesce("_in", F.lit(False)).alias("in_graph"),
                            F.when(F.col("_in"), 0).otherwise(1).alias("_a"), (-F.length("name")).alias("_b"))
-    return ranked(keyed, [], ["_a", "_b", "name"]).drop("_a", "_b")
+    return ranked(keyed, [], ["_a", "_b", "name"], stage=True).drop("_a", "_b")
 
 
 def gold_pred(gold: DataFrame, predicted: DataFrame, keys: Sequence[str], order: str) -> tuple[DataFrame, DataFrame]:
@@ -163,7 +163,7 @@ def pair_ranges(entities: DataFrame, by: str, order: Sequence[str]) -> DataFrame
     linear.  Sentences with one entity give nothing.
     """
     sizes = entities.groupBy(by).agg(F.count("*").alias("last"))
-    at = ranked(entities, [by], order, "rank")
+    at = ranked(entities, [by], order, "rank", stage=True)
     joined = at.join(sizes, [by])
     return joined.where(F.col("rank") < F.col("last")).withColumn("first", F.col("rank") + 1).withColumn(
         "pairs", F.col("last") - F.col("rank"))

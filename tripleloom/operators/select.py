@@ -88,7 +88,7 @@ def sentence_windows(sentences: Column, width: int) -> Column:
 
 def running_offset(sentences: DataFrame, by: Sequence[str], order: Sequence[str], length: str) -> DataFrame:
     """Start of each sentence: the sum of the lengths before it."""
-    out = prefix_sum(sentences, by, order, F.col(length).cast("long"), "_incl")
+    out = prefix_sum(sentences, by, order, F.col(length).cast("long"), "_incl", stage=True)
     return out.withColumn("start", F.col("_incl") - F.col(length)).drop("_incl")
 
 
@@ -108,7 +108,7 @@ def tag_islands(tokens: DataFrame, by: str, pos: str, tag: str) -> DataFrame:
     prev = tokens.select(by, (F.col(pos) + 1).alias(pos), F.col(tag).alias("_before"))
     inside = tokens.where(F.col(tag) != "O").join(prev, [by, pos], "left")
     opens = F.col(tag).startswith("B") | F.coalesce(F.col("_before") == "O", F.lit(True))
-    numbered = prefix_sum(inside, [by], [pos], opens.cast("long"), "_chunk")
+    numbered = prefix_sum(inside, [by], [pos], opens.cast("long"), "_chunk", stage=True)
     return numbered.groupBy(by, "_chunk").agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("end"),
                                               F.min_by(F.substring(tag, 3, 100), pos).alias("type")).drop("_chunk")
 

@@ -41,21 +41,21 @@ def raw_triples(t: Tables) -> DataFrame:
         F.lit(4000000000000) + c("o_orderkey"), order_name, "Operation",
         F.when(c("o_orderstatus") == "F", "appliesTo").otherwise("usedIn"), c("c_name"), "ApplicationScenario",
         F.when(c("o_orderkey") % 10 == 0, none).otherwise((c("o_orderkey") % 97) / 100.0), none))
-    supplied = t.lineitem.join(t.supplier, c("l_suppkey") == c("s_suppkey")).select(*_row(
-        F.lit(5000000000000) + line_no, c("s_name"), "Algorithm",
-        F.when(c("l_returnflag") == "A", "uses").when(c("l_returnflag") == "R", "implementedAs")
-         .otherwise("appliesTo"),
-        part_name, "DataStructure", F.lit(1.0) - c("l_discount"),
-        F.when(c("l_linenumber") == 1, none).otherwise(F.concat("s_name", F.lit(" supplies "), part_name))))
-    ordered = t.lineitem.join(t.supplier, c("l_suppkey") == c("s_suppkey")).select(
-        c("l_linestatus"), line_no.alias("no"), part_name.alias("part"), line_order.alias("ord"), c("s_name"))
-    uses = ordered.where(c("l_linestatus") == "O").select(*_row(
-        F.lit(6000000000000) + c("no"), c("part"), "DataStructure", F.lit("uses"), c("ord"), "Operation",
-        none, none))
-    applied = ordered.where(c("l_linestatus") == "F").select(*_row(
-        F.lit(7000000000000) + c("no"), c("ord"), "Operation", F.lit("appliesTo"), c("s_name"), "Algorithm",
-        none, none))
-    return customer.unionByName(nation).unionByName(placed).unionByName(supplied).unionByName(uses).unionByName(applied)
+    def line(no: int, *parts) -> Column:
+        return F.struct(*_row(F.lit(no) + line_no, *parts))
+    supplied = line(5000000000000, c("s_name"), "Algorithm",
+                    F.when(c("l_returnflag") == "A", "uses").when(c("l_returnflag") == "R", "implementedAs")
+                     .otherwise("appliesTo"),
+                    part_name, "DataStructure", F.lit(1.0) - c("l_discount"),
+                    F.when(c("l_linenumber") == 1, none).otherwise(F.concat("s_name", F.lit(" supplies "), part_name)))
+    uses = line(6000000000000, part_name, "DataStructure", F.lit("uses"), line_order, "Operation", none, none)
+    applied = line(7000000000000, line_order, "Operation", F.lit("appliesTo"), c("s_name"), "Algorithm", none, none)
+    # all triples of a line come from one scan of the largest table
+    both = F.filter(F.array(supplied, F.when(c("l_linestatus") == "O", uses), F.when(c("l_linestatus") == "F", applied)),
+                    lambda x: x.isNotNull())
+    lines = (t.lineitem.join(t.supplier, c("l_suppkey") == c("s_suppkey"))
+             .select(F.explode(both).alias("x")).select("x.*"))
+    return customer.unionByName(nation).unionByName(placed).unionByName(lines)
 
 
 def edges(t: Tables) -> DataFrame:

@@ -24,6 +24,11 @@ def _(t):
     return docs.select("doc_id", "first", L(F.size("p")).alias("n"), F.aggregate("p", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
+@query("f_find_first", "SELECT conv_id, turn, CAST(strpos(text, 'und') - 1 AS INTEGER) AS first FROM conversations")
+def _(t):
+    return t.conversations.select("conv_id", "turn", G.find_first(c("text"), F.lit("und")).alias("first"))
+
+
 SENT = "SELECT row_no, sentence, tail AS e1, head AS e2, head_type, tail_type FROM kg_raw WHERE sentence IS NOT NULL"
 
 

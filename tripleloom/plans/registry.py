@@ -19,7 +19,23 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"), name)
+
+
+# Tables that are exploded, tokenised or ranked, so their rows are worth spreading.
+WIDE = {"lineitem", "orders", "documents", "conversations", "events"}
+
+
+def spread(df: DataFrame, name: str) -> DataFrame:
+    """Give a table read in fewer tasks than there are cores one task per core.
+
+    Small files have one row group, and one task would do all the work.  Large inputs have
+    more splits than cores and are returned as they are, without a shuffle.
+    """
+    if name not in WIDE:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
