@@ -92,10 +92,15 @@ def answer_questions(edges: DataFrame, questions: DataFrame, threshold: float =
     Rank 1 is the answer; a question without an edge gets the fixed text.
     """
     names = questions.select("question", F.col("relation").alias("_asked"), F.explode(F.array_distinct("names")).alias("near"))
-    strong = C.conf_filter(edges, threshold, "~>=")
-    hit = J.undirected(strong).join(names, "near").where(F.col("_asked").isNull() | (F.col("_asked") == F.col("relation")))
+    strong = C.conf_filter(edges, threshold, "~>=").select(*EDGE_ORDER, "confidence")
+    asked = J.undirected(strong).join(names.select("near").distinct(), "near", "left_semi")
+    # no answer needs more than the first `limit` edges of a name and relation, so a hub asked
+    # by many questions is cut before it meets them
+    order = [F.col("confidence").desc_nulls_last(), *[F.col(o) for o in EDGE_ORDER]]
+    few = top_k(asked, ["near", "relation"], order, limit, "_near_rank")
+    hit = few.join(names, "near").where(F.col("_asked").isNull() | (F.col("_asked") == F.col("relation")))
     once = hit.select("question", *EDGE_ORDER, "confidence").distinct()
-    best = top_k(once, ["question"], [F.col("confidence").desc_nulls_last(), *[F.col(o) for o in EDGE_ORDER]], limit)
+    best = top_k(once, ["question"], order, limit)
     traced = best.select("question", "rank", path_text(F.col("head"), F.col("relation"), F.col("tail")).alias("path"), "confidence")
     return (questions.select("question").join(traced, "question", "left")
             .select("question", F.coalesce("rank", F.lit(1)).alias("rank"), F.coalesce("path", F.lit(NO_ANSWER)).alias("path"), "confidence"))
@@ -212,13 +217,15 @@ def route(asked: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Unknown intents, and relation questions without a relation, take the general route.
     """
     between, by_rel, define = [name for name, _ in K.INTENT_KEYWORDS]
-    e = edges.select("head", "relation", "tail")
+    # a relation question gets at most 1000 edges, so hubs are cut before the join
+    e = edges.select(*EDGE_ORDER)
+    listed = top_k(e, ["head", "relation"], [F.col("row_no"), F.col("tail")], K.MAX_ROWS)
     pair = asked.where(F.col("intent") == between)
     fwd = pair.join(e.withColumnRenamed("relation", "r"), (F.col("e1") == F.col("head")) & (F.col("e2") == F.col("tail")))
     back = pair.where(F.col("e1") != F.col("e2")).join(e.withColumnRenamed("relation", "r"), (F.col("e2") == F.col("head")) & (F.col("e1") == F.col("tail")))
     out = lambda df, name: df.select("id", F.lit(name).alias("route"), F.col("head").alias("source"), F.col("r").alias("relation"), F.col("tail").alias("target"))
     rel = asked.where((F.col("intent") == by_rel) & F.col("relation").isNotNull()).withColumnRenamed("relation", "r")
-    ends = e.select(F.col("head").alias("e1"), F.col("relation").alias("r"), "tail")
+    ends = listed.select(F.col("head").alias("e1"), F.col("relation").alias("r"), "tail")
     found = rel.join(ends, ["e1", "r"]).withColumn("head", F.col("e1"))
     defined = asked.where(F.col("intent") == define).join(nodes.select(F.col("name").alias("e1"), "type", "description"), "e1")
     defs = defined.select("id", F.lit(define).alias("route"), F.col("e1").alias("source"), F.col("type").alias("relation"), F.col("description").alias("target"))

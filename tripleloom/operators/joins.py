@@ -54,9 +54,9 @@ def drop_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def last_filled(value: str, order: str) -> Column:
-    """Latest non-empty value of a group; combines on the map side."""
+    """Latest non-empty value of a group with its place; combines on the map side."""
     filled = F.col(value).isNotNull() & (F.col(value) != "")
-    return F.max_by(F.when(filled, F.col(value)), F.when(filled, F.col(order))).alias(value)
+    return F.max(F.when(filled, F.struct(F.col(order).alias("o"), F.col(value).alias("v")))).alias(value)
 
 
 def upsert_attributes(nodes: DataFrame, incoming: DataFrame, attributes: Sequence[str], order: str) -> DataFrame:
@@ -65,17 +65,20 @@ def upsert_attributes(nodes: DataFrame, incoming: DataFrame, attributes: Sequenc
     A record goes to the node of its type and name, else to the first node of its name,
     else it makes a new node; records of one new name join its first record.  Later
     non-empty values win; name and type never change.
+
+    Records are combined per name and type first, so the joins see each name a few times
+    however often it arrives.
     """
     attributes = list(attributes)
-    records = incoming.where(F.coalesce("name", F.lit("")) != "").select("name", "type", order, *attributes)
+    records = (incoming.where(F.coalesce("name", F.lit("")) != "").groupBy("name", "type")
+               .agg(F.min(order).alias("_at"), *[last_filled(a, order) for a in attributes]))
     exact = nodes.select("name", "type", F.col("type").alias("_exact"))
     by_name = nodes.groupBy("name").agg(F.min("type").alias("_any"))
-    first_type = records.groupBy("name").agg(F.min_by("type", order).alias("_new"))
+    first_type = records.groupBy("name").agg(F.min_by("type", "_at").alias("_new"))
     aimed = (records.join(exact, ["name", "type"], "left").join(by_name, "name", "left")
              .join(first_type, "name").withColumn("type", F.coalesce("_exact", "_any", "_new"))
              .withColumn("_there", F.coalesce("_exact", "_any").isNotNull()))
-    merged = (aimed.groupBy("name", "type").agg(F.first("_there").alias("_there"), *[last_filled(a, order) for a in attributes])
-              .select("name", "type", "_there", *[F.col(a).alias(f"_n_{a}") for a in attributes]))
+    merged = aimed.groupBy("name", "type").agg(F.first("_there").alias("_there"), *[F.max(a)["v"].alias(f"_n_{a}") for a in attributes])
     given = F.coalesce(*[F.col(f"_n_{a}") for a in attributes]).isNotNull()
     action = (F.when(F.col("_there").isNull(), "kept").when(~F.col("_there"), "inserted")
               .when(given, "updated").otherwise("skipped"))
@@ -97,14 +100,16 @@ def distant_label(samples: DataFrame, triples: DataFrame, order: str, fold_case:
 
 
 def synonym_hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame,
-                 anchor: int = 4, shortest: int = 1) -> DataFrame:
+                 anchor: int = 4, shortest: int = 1, scope: Sequence[str] = ()) -> DataFrame:
     """``(key, canonical, dict_no)`` for every canonical with a synonym inside the text.
 
     ``dictionary`` is ``(canonical, synonym, dict_no)`` of any size.  Each text gives its
     distinct grams of ``shortest``..``anchor`` characters, which meet the starts of the
     synonyms in an equi-join; only these candidates are looked up in the text.  No text
-    is paired with every word.  Synonyms have at least ``shortest`` characters.
+    is paired with every word.  Synonyms have at least ``shortest`` characters.  Columns in
+    ``scope`` must be equal on both sides, e.g. a topic that owns its words.
     """
+    scope = list(scope)
     words = dictionary.where(F.length("synonym") > 0).withColumn("_gram", F.left("synonym", F.lit(anchor)))
 
     def grams_of(chars: Column) -> Column:
@@ -112,10 +117,10 @@ def synonym_hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame,
             return F.transform(chars, lambda ch, i: F.concat(ch, *[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, n)]))
         return F.array_distinct(F.concat(*[at(n) for n in range(shortest, anchor + 1)]))
 
-    base = texts.select(key, text)
-    grams = base.select(key, F.explode(let(F.split(text, ""), grams_of)).alias("_gram"))
-    found = grams.join(words, "_gram").select(key, "canonical", "synonym", "dict_no")
-    hits = found.join(base, key).where(F.col(text).contains(F.col("synonym")))
+    base = texts.select(key, *scope, text)
+    grams = base.select(key, *scope, F.explode(let(F.split(text, ""), grams_of)).alias("_gram"))
+    found = grams.join(words, [*scope, "_gram"]).select(key, "canonical", "synonym", "dict_no")
+    hits = found.join(base.select(key, text), key).where(F.col(text).contains(F.col("synonym")))
     return hits.groupBy(key, "canonical").agg(F.min("dict_no").alias("dict_no"))
 
 

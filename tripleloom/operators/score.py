@@ -341,12 +341,18 @@ def piece_best(tokens: Column, size: int, score) -> Column:
 
 # ---- generated text --------------------------------------------------------------------------
 
-def entity_recall(texts: DataFrame, related: DataFrame, topic: str, text: str, entity: str) -> DataFrame:
-    """Per text: related entities of its topic, and how many of them occur in it."""
-    names = related.select(topic, F.col(entity).alias("_e")).distinct()
-    joined = texts.join(names, topic, "left")
-    rest = [c for c in texts.columns if c != text]
-    return joined.groupBy(*rest).agg(F.count("_e").alias("related"), F.count_if(F.contains(F.col(text), F.col("_e"))).alias("found"))
+def entity_recall(texts: DataFrame, related: DataFrame, topic: str, key: str, text: str, entity: str) -> DataFrame:
+    """Per text: related entities of its topic, and how many of them occur in it.
+
+    Occurrences come from the dictionary match inside the topic, so a topic with many
+    texts and many entities does not pair them all.
+    """
+    from tripleloom.operators.joins import synonym_hits
+    names = related.select(topic, F.col(entity).alias("synonym")).distinct()
+    sizes = names.groupBy(topic).agg(rows().alias("related"))
+    words = names.select(topic, F.col("synonym").alias("canonical"), "synonym", F.lit(0).alias("dict_no"))
+    found = synonym_hits(texts, key, text, words, scope=[topic]).groupBy(key).agg(rows().alias("found"))
+    return (texts.drop(text).join(sizes, topic, "left").join(found, key, "left").na.fill(0, ["related", "found"]))
 
 
 def ngrams(tokens: Column, n: int) -> Column:

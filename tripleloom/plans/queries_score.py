@@ -356,7 +356,8 @@ def _(t):
 SELECT c.conv_id, turn, count(e) AS related, count(*) FILTER (WHERE contains(text, e)) AS found FROM conversations c LEFT JOIN r ON r.conv_id = c.conv_id WHERE role <> 'user' GROUP BY 1, 2, text""")
 def _(t):
     words = t.conversations.where("role = 'user'").select("conv_id", F.explode(F.split("text", r"[^\p{L}]+")).alias("e")).where("length(e) >= 5")
-    return M.entity_recall(t.conversations.where("role <> 'user'").select("conv_id", "turn", "text"), words, "conv_id", "text", "e")
+    texts = t.conversations.where("role <> 'user'").select("conv_id", "turn", F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
+    return M.entity_recall(texts, words, "conv_id", "id", "text", "e").drop("id")
 
 
 def _answers(t):
