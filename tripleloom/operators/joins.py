@@ -88,12 +88,12 @@ def upsert_attributes(nodes: DataFrame, incoming: DataFrame, attributes: Sequenc
 
 # ---- labels and matching -----------------------------------------------------------------
 
-def distant_label(samples: DataFrame, triples: DataFrame, order: str, fold_case: bool = True,
+def distant_label(samples: DataFrame, triples: DataFrame, order: Sequence[str], fold_case: bool = True,
                   default: str = "None") -> DataFrame:
     """Relation of the first triple with the sample's head and tail, else ``default``."""
     fold = F.lower if fold_case else (lambda c: F.col(c))
-    known = (triples.select(fold("head").alias("_h"), fold("tail").alias("_t"), "relation", order)
-             .groupBy("_h", "_t").agg(F.min_by("relation", order).alias("_relation")))
+    known = (triples.select(fold("head").alias("_h"), fold("tail").alias("_t"), "relation", F.struct(*order).alias("_o"))
+             .groupBy("_h", "_t").agg(F.min_by("relation", "_o").alias("_relation")))
     probe = samples.withColumn("_h", fold("head")).withColumn("_t", fold("tail"))
     joined = salted_join(probe, known, ["_h", "_t"], "left")
     return joined.select(*samples.columns, F.coalesce("_relation", F.lit(default)).alias("relation"))

@@ -59,7 +59,7 @@ def raw_triples(t: Tables) -> DataFrame:
 
 
 def edges(t: Tables) -> DataFrame:
-    return first_seen(raw_triples(t), ["head", "relation", "tail"], ["row_no"])
+    return first_seen(raw_triples(t), ["head", "relation", "tail"], ["row_no", "confidence"])
 
 
 def nodes(t: Tables) -> DataFrame:
@@ -114,7 +114,7 @@ SELECT CAST(7000000000000 + l_orderkey * 10 + l_linenumber AS BIGINT), concat('O
        'Operation', 'appliesTo', s_name, 'Algorithm', NULL, NULL
 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_linestatus = 'F'
 ), kg_edges AS (
-SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY head, relation, tail ORDER BY row_no) AS rn
+SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY head, relation, tail ORDER BY row_no, confidence) AS rn
                             FROM kg_raw) WHERE rn = 1
 ), kg_nodes AS (
 SELECT c_name AS name, 'ApplicationScenario' AS type, c_mktsegment AS description,

@@ -157,7 +157,7 @@ def _(t):
 
 @query("s_dedup_triples", kg("SELECT row_no, head, relation, tail, sentence FROM kg_edges"))
 def _(t):
-    return S.dedup_triples(raw_triples(t), ["row_no"]).select("row_no", "head", "relation", "tail", "sentence")
+    return S.dedup_triples(raw_triples(t), ["row_no", "confidence"]).select("row_no", "head", "relation", "tail", "sentence")
 
 
 @query("w_first_seen", """SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS rn FROM events) WHERE rn = 1""")
