@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripleloom.functions.tags import find_first
-from tripleloom.functions.text import let
+from tripleloom.functions.text import let, strip
 
 NAN = "NAN"
 
@@ -119,7 +119,7 @@ def fix_unk(span: Column, text: Column, unk: str = "<unk>") -> Column:
     """Replace unknown pieces of a span by what stands there in the text; unchanged without a match."""
     literal = F.transform(F.split(span, unk), lambda p: F.concat(F.lit("\\Q"), F.trim(p), F.lit("\\E")))
     pattern = F.array_join(literal, r"\s*\S+\s*")
-    found = F.trim(F.call_function("regexp_extract", text, pattern, F.lit(0)))
+    found = strip(F.call_function("regexp_extract", text, pattern, F.lit(0)))
     return F.when(F.contains(span, F.lit(unk)) & (found != ""), found).otherwise(span)
 
 

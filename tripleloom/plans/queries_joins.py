@@ -55,7 +55,7 @@ def _(t):
 @query("j_upsert_attributes", kg(""", inc AS (
  SELECT c_custkey AS no, c_name AS name, 'ApplicationScenario' AS type, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE concat('acct ', c_mktsegment) END AS description,
    CAST(NULL AS VARCHAR) AS properties FROM customer
- UNION ALL SELECT 10000000 + p_partkey, concat('Part#', CAST(p_partkey AS VARCHAR)), 'Other', NULL, p_brand FROM part WHERE p_size > 25
+ UNION ALL SELECT 10000000 + p_partkey, concat('Part#', CAST(p_partkey AS VARCHAR)), 'Other', NULL, p_brand FROM part
  UNION ALL SELECT 20000000 + s_suppkey, concat('New ', n_name), 'Algorithm', s_name, CASE WHEN s_suppkey % 2 = 0 THEN n_name END FROM supplier JOIN nation ON s_nationkey = n_nationkey
 ), aim AS (SELECT i.*, x.type AS ex, (SELECT min(type) FROM kg_nodes k WHERE k.name = i.name) AS anyt,
    first_value(i.type) OVER (PARTITION BY i.name ORDER BY no) AS newt FROM inc i LEFT JOIN kg_nodes x ON x.name = i.name AND x.type = i.type),
@@ -69,7 +69,7 @@ def _(t):
     none = F.lit(None).cast("string")
     inc = (t.customer.select(c("c_custkey").alias("no"), c("c_name").alias("name"), F.lit("ApplicationScenario").alias("type"),
                              F.when(c("c_custkey") % 5 == 0, "").otherwise(F.concat(F.lit("acct "), "c_mktsegment")).alias("description"), none.alias("properties"))
-           .unionByName(t.part.where("p_size > 25").select((c("p_partkey") + 10000000).alias("no"), F.concat(F.lit("Part#"), c("p_partkey").cast("string")).alias("name"),
+           .unionByName(t.part.select((c("p_partkey") + 10000000).alias("no"), F.concat(F.lit("Part#"), c("p_partkey").cast("string")).alias("name"),
                         F.lit("Other").alias("type"), none.alias("description"), c("p_brand").alias("properties")))
            .unionByName(t.supplier.join(t.nation, c("s_nationkey") == c("n_nationkey")).select((c("s_suppkey") + 20000000).alias("no"),
                         F.concat(F.lit("New "), "n_name").alias("name"), F.lit("Algorithm").alias("type"), c("s_name").alias("description"),

@@ -167,7 +167,10 @@ def _(t):
     return schema.select("p_brand", N.schema_prefix(c("types"), c("roles")).alias("prefix"))
 
 
-@query("p_type_sort")
+@query("p_type_sort", rf"""WITH w AS (SELECT conv_id * 100 + turn AS doc_id, text, regexp_extract_all(text, '[A-Z]\p{{L}}{{3,}}') AS a FROM conversations),
+ u AS (SELECT doc_id, text, list_filter(a, lambda x, j: list_position(a, x) = j) AS ws FROM w),
+ r AS (SELECT doc_id, text, ws[k] AS head, ws[k + 1] AS tail, concat('R', length(ws[k + 1]) % 3) AS relation FROM (SELECT doc_id, text, ws, unnest(range(1, len(ws))) AS k FROM u WHERE len(ws) >= 2))
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {D.format(3, "relation")}, strpos(text, head), strpos(text, tail), head, relation, tail) - 1 AS INTEGER) AS i, head, relation, tail FROM r""")
 def _(t):
     df = _relations(t).select("doc_id", P.type_sort(c("rels"), c("text"), 3).alias("s"))
     return df.select("doc_id", F.posexplode("s").alias("i", "x")).select("doc_id", "i", "x.head", "x.relation", "x.tail")
@@ -197,7 +200,9 @@ def _(t):
     return out.select("conv_id", "turn", F.array_join("trigger_tags", " ").alias("trigger_tags"), F.array_join("role_tags", " ").alias("role_tags"))
 
 
-@query("p_pred_trigger")
+@query("p_pred_trigger", f"""WITH {EV}, x AS (SELECT conv_id, turn, len(tk) AS n, unnest(list_filter(range(0, len(tk)), lambda i: length(tk[i + 1]) = 11)) AS i FROM w)
+SELECT conv_id * 100 + turn AS line, 0 AS extra, array_to_string(list_transform(range(0, n), lambda j: CASE WHEN j = i THEN 'B-LONG' ELSE 'O' END), ' ') AS tags FROM e
+UNION ALL SELECT conv_id * 100 + turn, 1, array_to_string(list_transform(range(0, n), lambda j: CASE WHEN j = i THEN 'B-LONG' ELSE 'O' END), ' ') FROM x""")
 def _(t):
     key = (c("conv_id") * 100 + c("turn")).alias("line")
     gold = P.event_rows(_events(t), "n", "events").select(key, c("trigger_tags").alias("tags"))
@@ -206,7 +211,10 @@ def _(t):
     return out.select("line", "extra", F.array_join("tags", " ").alias("tags"))
 
 
-@query("p_overlap_entities")
+@query("p_overlap_entities", """WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS tk FROM conversations), p AS (SELECT conv_id, turn, i, i - row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS g FROM
+  (SELECT conv_id, turn, unnest(list_filter(range(0, len(tk)), lambda i: length(tk[i + 1]) >= 8)) AS i FROM w)),
+ r AS (SELECT conv_id, turn, i, (row_number() OVER (PARTITION BY conv_id, turn, g ORDER BY i) - 1) % 2 AS odd FROM p)
+SELECT w.conv_id, w.turn, CAST(count(i) FILTER (WHERE odd = 0) AS INTEGER) AS kept, coalesce(string_agg(concat(i, '>', i - 1), ',' ORDER BY i) FILTER (WHERE odd = 1), '') AS moved FROM w LEFT JOIN r ON r.conv_id = w.conv_id AND r.turn = w.turn GROUP BY 1, 2""")
 def _(t):
     at = F.transform(F.filter(F.transform(F.split("text", " "), lambda w, i: F.when(F.length(w) >= 8, i)), lambda i: i.isNotNull()), lambda i: F.struct(i.cast("string").alias("id"), i.alias("start"), (i + 2).alias("end")))
     out = t.conversations.select("conv_id", "turn", P.overlap_entities(at).alias("o"))
@@ -273,7 +281,11 @@ def _(t):
     return _offsets(_records(t), P.offsets_first(c("tk"), c("r")))
 
 
-@query("p_offsets_longest")
+@query("p_offsets_longest", """WITH d AS (SELECT conv_id, turn, string_split(text, ' ') AS tk FROM conversations), l AS (SELECT *, list_filter(range(0, len(tk)), lambda i: tk[i + 1] = 'de' AND tk[i + 2] = 'la')[1] AS two FROM d),
+ m AS (SELECT conv_id, turn, two, list_filter(range(0, len(tk)), lambda i: tk[i + 1] = 'de' AND i IS DISTINCT FROM two) AS de, list_filter(range(0, len(tk)), lambda i: tk[i + 1] = 'la' AND i IS DISTINCT FROM two + 1) AS la,
+  list_filter(range(0, len(tk)), lambda i: tk[i + 1] = 'und') AS und FROM l)
+SELECT conv_id, turn, 'A' AS type, two AS start, two + 1 AS "end" FROM m WHERE two IS NOT NULL UNION ALL SELECT conv_id, turn, 'P', de[1], de[1] FROM m WHERE len(de) >= 1 UNION ALL SELECT conv_id, turn, 'P', de[2], de[2] FROM m WHERE len(de) >= 2
+UNION ALL SELECT conv_id, turn, 'A', la[1], la[1] FROM m WHERE len(la) >= 1 UNION ALL SELECT conv_id, turn, 'B', und[1], und[1] FROM m WHERE len(und) >= 1""")
 def _(t):
     return _offsets(_records(t), P.offsets_longest(c("tk"), c("r")))
 
@@ -286,7 +298,8 @@ def _(t):
     return _offsets(df, P.offsets_closest(c("tk"), F.floor(F.size("tk") / 2).cast("int"), c("r")))
 
 
-@query("p_noise")
+@query("p_noise", f"""SELECT doc_id, CAST(len(ws) AS INTEGER) AS before, CAST(len(ws) + len(hit) AS INTEGER) AS after, CAST(len(hit) AS INTEGER) AS added FROM (SELECT doc_id, ws,
+ list_filter(range(0, len(ws)), lambda i: {D.format(11, "doc_id, '|', i")} < '{P.share(0.3)}') AS hit FROM (SELECT doc_id, list_distinct(regexp_extract_all(text, '[A-Z]\\p{{L}}{{3,}}')) AS ws FROM documents))""")
 def _(t):
     rec = _ents(t).select("doc_id", F.transform("labels", lambda x: F.struct(x["entity_type"].alias("label"), x["entity"].alias("span"))).alias("r"))
     out = rec.select("doc_id", F.size("r").alias("before"), P.noise(c("r"), SCHEMA, 0.3, 11, "doc_id").alias("n"))

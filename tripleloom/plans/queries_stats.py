@@ -202,12 +202,12 @@ def _(t):
     return S.node_union(raw_triples(t))
 
 
-@query("s_difference", """SELECT p_brand, array_to_string(list_sort(list_filter((SELECT list(DISTINCT p_type) FROM part), lambda x: NOT list_contains(have, x))), '|') AS missing
- FROM (SELECT p_brand, list(DISTINCT p_type) AS have FROM part WHERE p_size < 3 GROUP BY 1)""")
+@query("s_difference", """SELECT p_brand, p_size, array_to_string(list_sort(list_filter((SELECT list(DISTINCT p_type) FROM part), lambda x: NOT list_contains(have, x))), '|') AS missing
+ FROM (SELECT p_brand, p_size, list(DISTINCT p_type) AS have FROM part GROUP BY 1, 2)""")
 def _(t):
-    have = t.part.where("p_size < 3").groupBy("p_brand").agg(F.collect_set("p_type").alias("have"))
+    have = t.part.groupBy("p_brand", "p_size").agg(F.collect_set("p_type").alias("have"))
     every = t.part.agg(F.collect_set("p_type")).scalar()
-    return have.withColumn("every", every).select("p_brand", F.array_join(F.array_sort(F.array_except("every", "have")), "|").alias("missing"))
+    return have.withColumn("every", every).select("p_brand", "p_size", F.array_join(F.array_sort(F.array_except("every", "have")), "|").alias("missing"))
 
 
 GP = """g AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'), p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_linestatus = 'F')"""
@@ -234,7 +234,11 @@ def _sentences(t):
     return t.documents.select("doc_id", s.alias("sents"))
 
 
-@query("w_context_tokens")
+@query("w_context_tokens", r"""WITH s AS (SELECT doc_id, unnest(a) AS tk, generate_subscripts(a, 1) - 1 AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[。？！；.;!?]'),
+  lambda x: list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')), lambda t: len(t) > 0) AS a FROM documents)),
+ d AS (SELECT doc_id, flatten(list(tk ORDER BY i)) AS every FROM s GROUP BY 1), p AS (SELECT doc_id, i, len(tk) AS n, coalesce(sum(len(tk)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS st FROM s),
+ b AS (SELECT doc_id, i, n, st, every, greatest(0, least(CAST(floor((60 - n) / 2.0) AS BIGINT), CAST(st AS BIGINT))) AS l, greatest(0, least(60 - n - CAST(floor((60 - n) / 2.0) AS BIGINT), len(every) - CAST(st AS BIGINT) - n)) AS r FROM p JOIN d USING (doc_id))
+SELECT doc_id, CAST(i AS INTEGER) AS i, CAST(l + n + r AS INTEGER) AS n_tokens, CAST(l AS INTEGER) AS start, CAST(l + n AS INTEGER) AS "end", md5(array_to_string(list_slice(every, CAST(st AS BIGINT) - l + 1, CAST(st AS BIGINT) + n + r), ' ')) AS tokens_id FROM b""")
 def _(t):
     docs = _sentences(t)
     long = docs.select("doc_id", F.posexplode("sents").alias("i", "tokens")).withColumn("n", F.size("tokens"))
@@ -347,9 +351,9 @@ def _(t):
         l.select(F.lit("link").alias("kind"), c("head").alias("a"), "relation", c("tail").alias("b")))
 
 
-@query("t_length_sorted")
+@query("t_length_sorted", "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents")
 def _(t):
-    return S.length_sorted(t.documents.select("doc_id", "text"), "text").select("doc_id", F.spark_partition_id().alias("part"), F.length("text").alias("n"))
+    return S.length_sorted(t.documents.select("doc_id", "text"), "text").select("doc_id", F.length("text").alias("n"))
 
 
 @query("t_topic_pick", """WITH p AS (SELECT p_partkey AS no, concat(p_name, ' ', p_partkey) AS name, p_type AS type FROM part),

@@ -272,12 +272,14 @@ def _(t):
     return t.part.select("p_partkey", P.parse_generated(line, ["PRODUCT", "ORGANIZATION"]).alias("g")).where("g is not null").select("p_partkey", "g.*")
 
 
-@query("f_fix_unk", r"""SELECT doc_id, CASE WHEN regexp_matches(w, '^[a-zà-ÿ]{5,}$') THEN w ELSE 'none' END AS fixed FROM (SELECT doc_id, split_part(regexp_extract(text, ' ([a-zà-ÿ]{5,}) ', 0), ' ', 2) AS w FROM documents) WHERE w <> ''""")
+@query("f_fix_unk", r"""WITH d AS (SELECT doc_id, text, split_part(regexp_extract(text, ' ([a-zà-ÿ]{5,}) ', 0), ' ', 2) AS w FROM documents)
+SELECT doc_id, CASE WHEN m = '' THEN concat(left(w, 2), '<unk>', right(w, 2)) ELSE m END AS fixed FROM (SELECT doc_id, w, regexp_extract(text, concat(left(w, 2), '\s*\S+\s*', right(w, 2)), 0) AS m FROM d WHERE w <> '')""")
 def _(t):
+    # a word of each text loses its middle and is found again in the whole text
     word = F.split_part(F.regexp_extract("text", r" ([a-zà-ÿ]{5,}) ", 0), F.lit(" "), F.lit(2))
     d = t.documents.select("doc_id", "text", word.alias("w")).where("w <> ''")
-    hole = F.concat(F.substring("w", 1, 2), F.lit("<unk>"), F.expr("right(w, 2)"))
-    return d.select("doc_id", P.fix_unk(hole, F.concat(F.lit(" "), "w", F.lit(" "))).alias("fixed"))
+    hole = F.concat(F.left("w", F.lit(2)), F.lit("<unk>"), F.right("w", F.lit(2)))
+    return d.select("doc_id", P.fix_unk(hole, c("text")).alias("fixed"))
 
 
 WORD_EDGE = r"[^\p{L}\p{M}\p{N}_]"
