@@ -143,14 +143,15 @@ def _(t):
     return J.pair_ranges(_entities(t), "sid", ["e"]).select("sid", "e", c("rank").cast("long"), c("first").cast("long"), "last", c("pairs").cast("long"))
 
 
-GOLD = """gold AS (SELECT DISTINCT a.l_orderkey AS sid, a.l_partkey AS h, b.l_partkey AS t, a.l_returnflag AS label FROM lineitem a JOIN lineitem b
+GOLD = """gold AS (SELECT DISTINCT a.l_orderkey AS sid, a.l_partkey AS h, b.l_partkey AS t, a.l_returnflag AS label FROM lineitem a JOIN (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) b
   ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)"""
 
 
 def _gold(t):
-    """Relations between entities on neighbouring lines of an order."""
+    """Relations from each line's entity to the first entity of the next line of its order."""
     a = t.lineitem.select(c("l_orderkey").alias("sid"), c("l_linenumber").alias("n"), c("l_partkey").alias("head"), c("l_returnflag").alias("label"))
     b = t.lineitem.select(c("l_orderkey").alias("sid"), (c("l_linenumber") - 1).alias("n"), c("l_partkey").alias("tail"))
+    b = b.groupBy("sid", "n").agg(F.min("tail").alias("tail"))
     return a.join(b, ["sid", "n"]).where("head <> tail").select("sid", "head", "tail", "label").distinct()
 
 
@@ -184,7 +185,7 @@ def _(t):
 
 
 @query("j_mention_facts", """WITH m AS (SELECT DISTINCT l_orderkey AS doc, l_partkey AS e, p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey),
- f AS (SELECT DISTINCT a.l_orderkey AS doc, a.l_partkey AS h, b.l_partkey AS t, a.l_returnflag AS relation FROM lineitem a JOIN lineitem b
+ f AS (SELECT DISTINCT a.l_orderkey AS doc, a.l_partkey AS h, b.l_partkey AS t, a.l_returnflag AS relation FROM lineitem a JOIN (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1, 2) b
   ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_partkey <> b.l_partkey)
 SELECT DISTINCT x.name AS head_name, y.name AS tail_name, relation FROM f JOIN m x ON x.doc = f.doc AND x.e = h JOIN m y ON y.doc = f.doc AND y.e = t""")
 def _(t):
@@ -195,15 +196,17 @@ def _(t):
 
 @query("j_span_overlap", """WITH s AS (SELECT DISTINCT l_orderkey AS doc, l_linenumber AS s, l_linenumber + CAST(l_quantity AS INTEGER) % 3 + 1 AS e FROM lineitem WHERE l_linestatus = 'F'),
  r AS (SELECT a.l_orderkey AS doc, a.l_linenumber AS s1, a.l_linenumber + CAST(a.l_quantity AS INTEGER) % 3 + 1 AS e1, b.l_linenumber AS s2, b.l_linenumber + CAST(b.l_quantity AS INTEGER) % 3 + 1 AS e2
-  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)
+  FROM lineitem a JOIN (SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2) b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)
 SELECT count(*) AS relations, count(*) FILTER (WHERE NOT (e1 <= s2 OR s1 >= e2)) AS overlapping,
  count(*) FILTER (WHERE EXISTS (SELECT 1 FROM s WHERE s.doc = r.doc AND s = s1 AND e = e1) AND EXISTS (SELECT 1 FROM s WHERE s.doc = r.doc AND s = s2 AND e = e2)) AS covered,
  (SELECT CAST(sum(n * (n - 1)) AS BIGINT) FROM (SELECT count(*) AS n FROM s GROUP BY doc)) AS candidates FROM r""")
 def _(t):
     end = c("l_linenumber") + c("l_quantity").cast("int") % 3 + 1
+    first = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_quantity").alias("l_quantity"))
+    after = first.select(c("l_orderkey").alias("doc"), (c("l_linenumber") - 1).alias("n"), c("l_linenumber").alias("s2"), end.alias("e2"))
     line = t.lineitem.select(c("l_orderkey").alias("doc"), c("l_linenumber").alias("start"), end.alias("end"), "l_linestatus")
     rel = (line.select("doc", c("start").alias("n"), c("start").alias("s1"), c("end").alias("e1"))
-           .join(line.select("doc", (c("start") - 1).alias("n"), c("start").alias("s2"), c("end").alias("e2")), ["doc", "n"]).drop("n"))
+           .join(after, ["doc", "n"]).drop("n"))
     return J.relation_coverage(rel, line.where("l_linestatus = 'F'"))
 
 

@@ -221,10 +221,10 @@ def _(t):
     return out.select("conv_id", "turn", F.size("o.kept").alias("kept"), F.array_join(F.transform("o.moved", lambda m: F.concat(m["id"], F.lit(">"), m["to"])), ",").alias("moved"))
 
 
-@query("p_role_list", """SELECT l_orderkey, l_suppkey, l_returnflag, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey) AS rn FROM lineitem) WHERE rn = 1""")
+@query("p_role_list", """SELECT l_orderkey, l_suppkey, l_returnflag, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS rn FROM lineitem) WHERE rn = 1""")
 def _(t):
     rows = t.lineitem.select("l_orderkey", "l_suppkey", "l_returnflag", "l_linenumber", "l_partkey")
-    return P.role_list(rows, ["l_orderkey"], "l_suppkey", ["l_linenumber", "l_partkey"])
+    return P.role_list(rows, ["l_orderkey"], "l_suppkey", ["l_linenumber", "l_partkey", "l_returnflag"])
 
 
 @query("p_head_tail", r"""WITH e AS (SELECT doc_id, regexp_extract_all(text, '[A-ZÉ]\p{L}+') AS ws FROM documents)
