@@ -64,8 +64,8 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
     return lhs.join(rhs, [*keys, "_salt"], how).drop("_salt")
 
 
-def range_bucket(df: DataFrame, cols: Sequence[str], buckets: int) -> Column:
-    """Number of the range the row falls in, by split points of a hash sample.
+def range_bucket(df: DataFrame, cols: Sequence[str], buckets: int) -> tuple[Column, Column, Column]:
+    """Split points, key, and number of the range a row falls in, by a hash sample.
 
     The sample has about ``buckets * SAMPLE_PER_SPLIT`` rows whatever the size of
     the input, and depends on values only, so a task that is run again gives the

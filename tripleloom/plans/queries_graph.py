@@ -7,7 +7,6 @@ import re
 from pyspark.sql import functions as F
 
 from tripleloom.functions import constants as K
-from tripleloom.functions import text as X
 from tripleloom.operators import aggregate as A
 from tripleloom.operators import clean as C
 from tripleloom.operators import graph as G

@@ -9,8 +9,8 @@ from tripleloom.functions import tags as G
 from tripleloom.functions.session import shared_dir
 from tripleloom.operators import joins as J
 from tripleloom.plans.graph_tables import edges, kg, nodes, raw_triples
-from tripleloom.plans.queries_clean import FAMILIES, SCHEMA_SQL, sql_case, sql_ladder
-from tripleloom.plans.queries_stats import TAGS, word_tag
+from tripleloom.plans.queries_clean import FAMILIES, sql_case, sql_ladder
+from tripleloom.plans.queries_stats import word_tag
 from tripleloom.plans.registry import query
 from tripleloom.sources import readers as R
 from tripleloom.sources import writers as W

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripleloom.operators import joins as J
-from tripleloom.functions import text as X
 from tripleloom.plans.graph_tables import edges, kg, nodes, raw_triples
 from tripleloom.plans.registry import query
 

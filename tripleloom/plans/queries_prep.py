@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripleloom.functions import answers as N
-from tripleloom.functions import tags as G
 from tripleloom.operators import joins as J
 from tripleloom.operators import prep as P
-from tripleloom.operators import select as S
-from tripleloom.plans.graph_tables import edges, kg
 from tripleloom.plans.registry import query
 
 c = F.col

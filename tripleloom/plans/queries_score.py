@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripleloom.operators import score as M
-from tripleloom.plans.graph_tables import edges, kg, nodes
+from tripleloom.plans.graph_tables import kg, nodes
 from tripleloom.plans.registry import query
 
 c = F.col

@@ -9,7 +9,7 @@ from tripleloom.functions import tags as G
 from tripleloom.functions import text as X
 from tripleloom.operators import aggregate as A
 from tripleloom.operators import select as S
-from tripleloom.plans.graph_tables import edges, kg, raw_triples
+from tripleloom.plans.graph_tables import kg, raw_triples
 from tripleloom.plans.queries_stats import TAGS, word_tag
 from tripleloom.plans.registry import query
 
