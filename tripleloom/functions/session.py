@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,19 +16,28 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for tables cut from their lineage: the one the cluster names.
+    """A new path for a table cut from its lineage, in a folder that all executors share.
 
-    Only where no folder is set (local tests) is a temporary one made and recorded.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; where that is unset, as in
+    tests, the warehouse, which every session has.  Each application has its own folder there, which
+    goes when the application ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+    own = f"{base}/staged-{spark.sparkContext.applicationId}"
+    if own not in _OWN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+        _OWN.add(own)
+    return f"{own}/{uuid.uuid4().hex}"
+
+
+_OWN: set[str] = set()
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder once and read it back.
+    """Write a frame to the shared folder now and read it back.
 
     For inputs that are read several times and are costly to work out again; the table
     outlives lost executors.
