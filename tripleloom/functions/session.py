@@ -36,12 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
 _OWN: set[str] = set()
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write a frame to the shared folder now and read it back.
 
     For inputs that are read several times and are costly to work out again; the table
     outlives lost executors.
     """
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
