@@ -35,6 +35,7 @@ LENGTH = 400
 RADIUS = 32          # a power of two
 GRAM = 8
 BLOCK = 20_000       # rows of an interval that is refined in memory
+FLUSH = 500_000      # windows named before they are counted and passed on
 MOST_BITS = 28       # log2 of the largest bit array (32 MB)
 MULT = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(MULT), -1, 1 << 64))
@@ -65,11 +66,17 @@ def symbols(b: bytes, c: np.ndarray) -> list[int]:
     return [xxh3_64_intdigest(b[x:y]) for x, y in zip(c[:-1].tolist(), c[1:].tolist())]
 
 
+def passed(at: np.ndarray, n: int) -> np.ndarray:
+    """For each p below n how many of the ascending ``at`` are at most p."""
+    stops = np.concatenate([[0], np.clip(at, 0, n), [n]])
+    return np.repeat(np.arange(len(at) + 1, dtype=np.int32), np.diff(stops))
+
+
 def inner(c: np.ndarray, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For each window start: numbers of the first and the last cut that the window itself determines."""
-    p = np.arange(max(0, n - length + 1))
-    first = np.maximum(np.searchsorted(c, p + RADIUS), 1)
-    last = np.minimum(np.searchsorted(c, p + length - RADIUS - GRAM, side="right") - 1, len(c) - 2)
+    starts = max(0, n - length + 1)
+    first = np.maximum(passed(c - RADIUS + 1, starts), 1)
+    last = np.minimum(passed(c - (length - RADIUS - GRAM), starts) - 1, len(c) - 2)
     return first, last
 
 
@@ -228,19 +235,18 @@ class Windows:
         self.b, self.length, c = b, length, cuts(b)
         n = max(0, len(b) - length + 1)
         reach, step = np.zeros(len(c), np.int64), np.zeros(n + 1, np.int64)
-        for m in marks:
-            j, lcp = m["j"], m["lcp"]
-            if j >= 0:
-                reach[j] = c[j + lcp]
+        marks = np.asarray(marks, np.int64)
+        j = marks >> 32
+        reach[j] = c[j + (marks & 0xFFFFFFFF)]
         whole = np.flatnonzero(reach - length >= c) if n else []
         np.add.at(step, c[whole], 1)
         np.add.at(step, np.minimum(n, reach[whole] - length + 1), -1)
         self.known = np.cumsum(step[:-1]) > 0
-        self.first, self.last = inner(c, len(b), length)
-        self.bare = self.last <= self.first
-        at, to = np.minimum(self.first, len(c) - 1), np.clip(self.last, 0, len(c) - 1)
-        self.open = (self.bare | (reach[at] >= c[to])) & ~self.known
+        first, last = inner(c, len(b), length)
+        self.bare = last <= first
+        at, to = np.minimum(first, len(c) - 1), np.clip(last, 0, len(c) - 1)
         self.may = self.bare | (reach[at] >= c[to])
+        self.open = self.may & ~self.known
         self.at, self.to, self.c = at, to, c
 
     def classes(self, where: np.ndarray) -> np.ndarray:
@@ -267,9 +273,19 @@ class Windows:
         return np.flatnonzero(out)
 
 
-def window_batches(batches: Iterator[pd.DataFrame], length: int):
-    for batch in batches:
-        yield [(i, h, Windows(b, marks, length)) for i, h, b, marks in zip(batch["id"], batch["h"], batch["b"], batch["marks"])]
+def windows_of(batch: pd.DataFrame, length: int):
+    """The documents of a batch, one at a time."""
+    for i, h, b, marks in zip(batch["id"], batch["h"], batch["b"], batch["marks"]):
+        yield i, h, Windows(b, marks, length)
+
+
+def tally(names: list[np.ndarray]) -> pd.DataFrame:
+    both = np.concatenate(names)
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    new = np.ones(len(both), bool)
+    new[1:] = (both[1:] != both[:-1]).any(axis=1)
+    at = np.flatnonzero(new)
+    return pd.DataFrame({"w1": both[at, 0], "w2": both[at, 1], "c": np.diff(at, append=len(both))})
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
@@ -287,41 +303,44 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     twice = staged(phrases.select(F.explode("syms").alias("sym")).groupBy("sym").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sym"))
     shards = staged(shard_rows(phrases, bits_of(twice, "sym"), length))
     lcp = merged(shards).where("lcp > 0")
-    marks = shards.select("id", "h", "j", "s1", "s2").join(lcp, ["s1", "s2"]).select("id", "h", "j", F.col("lcp").cast("int").alias("lcp"))
-    marks = marks.unionByName(phrases.where("bare").select("id", "h", F.lit(-1).alias("j"), F.lit(0).alias("lcp")).distinct())
-    per_doc = staged(marks.groupBy("id", "h").agg(F.collect_set(F.struct("j", "lcp")).alias("marks")))
+    marks = shards.select("id", "h", "j", "s1", "s2").join(lcp, ["s1", "s2"]).select("id", "h", (F.shiftleft(F.col("j").cast("long"), 32) + F.col("lcp")).alias("mark"))
+    marks = marks.unionByName(phrases.where("bare").select("id", "h", F.lit(0).cast("long").alias("mark")))
+    per_doc = staged(marks.groupBy("id", "h").agg(F.collect_set("mark").alias("marks")))
     wanted = bits_of(per_doc.select(F.xxhash64("id", "h").alias("k")), "k")
     texts = rows.withColumn("k", F.xxhash64("id", "h")).where(marked_rows("k", wanted)).drop("k")
     held = staged(texts.join(per_doc, ["id", "h"]).select("id", "h", "b", "marks"), "zstd")
 
     def open_classes(batches):
-        for docs_ in window_batches(batches, length):
-            found = [w.classes(np.flatnonzero(w.open & ~w.bare)) for _, _, w in docs_ if (w.open & ~w.bare).any()]
-            yield pd.DataFrame({"k": np.unique(np.concatenate([np.zeros(0, np.uint64), *found])).view(np.int64)})
+        for batch in batches:
+            found = [np.zeros(0, np.uint64)]
+            for _, _, w in windows_of(batch, length):
+                p = np.flatnonzero(w.open & ~w.bare)
+                if len(p):
+                    found.append(np.unique(w.classes(p)))
+            yield pd.DataFrame({"k": np.unique(np.concatenate(found)).view(np.int64)})
     needed = bits_of(staged(held.mapInPandas(open_classes, "k long").distinct()), "k")
 
     def counted(batches):
-        for docs_ in window_batches(batches, length):
-            found = [w.names(w.chosen(needed.value)) for _, _, w in docs_]
-            both, n = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *found]).view([("a", "i8"), ("b", "i8")]).ravel(), return_counts=True)
-            yield pd.DataFrame({"w1": both["a"], "w2": both["b"], "c": n})
+        for batch in batches:
+            found, size = [np.zeros((0, 2), np.int64)], 0
+            for _, _, w in windows_of(batch, length):
+                found.append(w.names(w.chosen(needed.value)))
+                size += len(found[-1])
+                if size > FLUSH:
+                    yield tally(found)
+                    found, size = found[:1], 0
+            yield tally(found)
     more = staged(held.mapInPandas(counted, "w1 long, w2 long, c long").groupBy("w1", "w2").agg(F.sum("c").alias("c")).where("c > 1").select("w1", "w2"))
     seen = bits_of(more, "w1")
 
     def opened(batches):
-        for docs_ in window_batches(batches, length):
-            ids, hs, at, names = [], [], [], [np.zeros((0, 2), np.int64)]
-            for i, h, w in docs_:
+        for batch in batches:
+            for i, h, w in windows_of(batch, length):
                 p = np.flatnonzero(w.open)
-                got = w.names(p)
-                hit = marked(seen.value, np.ascontiguousarray(got[:, 0]).view(np.uint64))
-                at.append(p[hit])
-                names.append(got[hit])
-                ids.append(np.full(hit.sum(), i))
-                hs.append(np.full(hit.sum(), h))
-            both = np.concatenate(names)
-            flat = [np.concatenate([np.zeros(0, np.int64), *x]) for x in (ids, hs, at)]
-            yield pd.DataFrame({"id": flat[0], "h": flat[1], "at": flat[2], "w1": both[:, 0], "w2": both[:, 1]})
+                if len(p):
+                    names = w.names(p)
+                    hit = marked(seen.value, np.ascontiguousarray(names[:, 0]).view(np.uint64))
+                    yield pd.DataFrame({"id": i, "h": h, "at": p[hit], "w1": names[hit, 0], "w2": names[hit, 1]})
     ends = (held.mapInPandas(opened, "id long, h long, at long, w1 long, w2 long").join(more, ["w1", "w2"], "left_semi")
             .groupBy("id", "h").agg(F.collect_set(F.col("at").cast("int")).alias("at")))
 
