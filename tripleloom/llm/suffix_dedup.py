@@ -11,10 +11,11 @@ copies are cut alike.  Only phrases that occur twice take part.
    which it parted is its longest common prefix.  An interval is refined in memory once it is small;
    large ones go through another distributed round, so no phrase, however common, fills one task.
 3. A common prefix of n phrases covers all windows inside it.  What remains are windows at the ends of
-   matches, whose first or last bytes lie in phrases that differ, and windows without two cuts: their
-   contents are hashed to 128 bits and counted, also in the copies whose interior they match.
+   matches, whose first or last bytes lie in phrases that differ, and windows without two cuts.  Where
+   the core that their cuts follow from occurs twice, their contents are hashed to 128 bits and counted,
+   also in the copies whose interior they match.
 
-Bit arrays that mark repeated phrases, classes and windows are filters of bounded size: they save
+Bit arrays that mark repeated phrases, cores and windows are filters of bounded size: they save
 work, and every decision that follows from a set bit is checked exactly afterwards.
 """
 
@@ -38,7 +39,6 @@ BLOCK = 20_000       # rows of an interval that is refined in memory
 FLUSH = 500_000      # windows named before they are counted and passed on
 MOST_BITS = 28       # log2 of the largest bit array (32 MB)
 MULT = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(MULT), -1, 1 << 64))
 OUTSIDE = RADIUS * 2 + GRAM      # bytes of a window in which no cut follows from the window alone
 
 
@@ -229,7 +229,11 @@ def merged(rows: DataFrame) -> DataFrame:
 # Windows --------------------------------------------------------------------------------------------
 
 class Windows:
-    """Of one document, all window starts: which are known to be repeated, which may be."""
+    """Window starts of one document in runs [at[r], at[r + 1]) that determine the same inner cuts.
+
+    ``known`` marks starts that a common prefix covers.  A run may hold other repeated windows only if
+    the phrases between its inner cuts occur again (``may``).  What the cuts were derived from, the core
+    of its windows, must then occur again too; a run without an inner cut (``bare``) has no core."""
 
     def __init__(self, b: bytes, marks, length: int):
         self.b, self.length, c = b, length, cuts(b)
@@ -243,34 +247,38 @@ class Windows:
         np.add.at(step, np.minimum(n, reach[whole] - length + 1), -1)
         self.known = np.cumsum(step[:-1]) > 0
         first, last = inner(c, len(b), length)
-        self.bare = last <= first
-        at, to = np.minimum(first, len(c) - 1), np.clip(last, 0, len(c) - 1)
-        self.may = self.bare | (reach[at] >= c[to])
-        self.open = self.may & ~self.known
-        self.at, self.to, self.c = at, to, c
-
-    def classes(self, where: np.ndarray) -> np.ndarray:
-        """Hash of the phrases between the inner cuts and of their place in the window, at these starts."""
-        syms = np.array(symbols(self.b, self.c), np.uint64)
-        power = np.cumprod(np.full(len(syms), MULT)) if len(syms) else syms
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(syms * power)])
-        undo = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(len(syms), INVERSE))])
-        f, l = self.at[where], self.to[where]
-        chain = (total[l] - total[f]) * undo[f] + (l - f).astype(np.uint64)
-        mixed = (chain ^ (chain >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (self.c[f] - where).astype(np.uint64) * MULT
-        return (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        at = np.flatnonzero(np.diff(first, prepend=-1) | np.diff(last, prepend=-1))
+        self.at, self.first, self.last, self.c = np.append(at, n), first[at], last[at], c
+        self.bare = self.last < self.first
+        f, t = np.minimum(self.first, len(c) - 1), np.clip(self.last, 0, len(c) - 1)
+        self.may = (self.last <= self.first) | (reach[f] >= c[t])
+        covered = np.concatenate([[0], np.cumsum(self.known)])
+        self.open = self.may & (covered[self.at[1:]] - covered[self.at[:-1]] < np.diff(self.at))
+
+    def cores(self, runs: np.ndarray) -> np.ndarray:
+        c, b = self.c, self.b
+        return np.array([xxh3_64_intdigest(b[c[f] - RADIUS:c[t] + RADIUS + GRAM])
+                         for f, t in zip(self.first[runs].tolist(), self.last[runs].tolist())], np.uint64)
+
+    def chosen(self, twice: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of bare runs, and those of runs whose core occurs twice."""
+        runs = np.flatnonzero(self.may & ~self.bare)
+        runs = runs[marked(twice, self.cores(runs))] if len(runs) else runs
+        return tuple(np.concatenate([np.zeros(0, np.int64), *(np.arange(self.at[r], self.at[r + 1]) for r in some)])
+                     for some in (np.flatnonzero(self.bare), runs))
 
     def names(self, where: np.ndarray) -> np.ndarray:
         b, n = self.b, self.length
         return np.frombuffer(b"".join([xxh3_128_digest(b[p:p + n]) for p in where.tolist()]), "<i8").reshape(-1, 2)
 
-    def chosen(self, needed: np.ndarray) -> np.ndarray:
-        """Starts whose contents are counted: open ones, bare ones, and those an open one may equal."""
-        out = self.open | self.bare
-        ask = np.flatnonzero(self.may & ~out)
-        if len(ask):
-            out[ask[marked(needed, self.classes(ask))]] = True
-        return np.flatnonzero(out)
+    def again(self, where: np.ndarray) -> np.ndarray:
+        """Which of these windows occur twice among them."""
+        names = self.names(where)
+        order = np.lexsort((names[:, 1], names[:, 0]))
+        same = (names[order][1:] == names[order][:-1]).all(axis=1)
+        out = np.zeros(len(where), bool)
+        out[order[1:][same]] = out[order[:-1][same]] = True
+        return out
 
 
 def windows_of(batch: pd.DataFrame, length: int):
@@ -310,22 +318,24 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     texts = rows.withColumn("k", F.xxhash64("id", "h")).where(marked_rows("k", wanted)).drop("k")
     held = staged(texts.join(per_doc, ["id", "h"]).select("id", "h", "b", "marks"), "zstd")
 
-    def open_classes(batches):
+    def cores(batches):
         for batch in batches:
-            found = [np.zeros(0, np.uint64)]
+            found, asked = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
             for _, _, w in windows_of(batch, length):
-                p = np.flatnonzero(w.open & ~w.bare)
-                if len(p):
-                    found.append(np.unique(w.classes(p)))
-            yield pd.DataFrame({"k": np.unique(np.concatenate(found)).view(np.int64)})
-    needed = bits_of(staged(held.mapInPandas(open_classes, "k long").distinct()), "k")
+                runs = np.flatnonzero(w.may & ~w.bare)
+                found.append(w.cores(runs))
+                asked.append(w.open[runs])
+            core, at, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+            yield pd.DataFrame({"core": core.view(np.int64), "n": n, "asked": np.bincount(at, np.concatenate(asked), len(core)).astype(np.int64)})
+    twice = bits_of(staged(held.mapInPandas(cores, "core long, n long, asked long").groupBy("core").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked"))
+                           .where("n > 1 and asked > 0").select("core")), "core")
 
     def counted(batches):
         for batch in batches:
             found, size = [np.zeros((0, 2), np.int64)], 0
             for _, _, w in windows_of(batch, length):
-                found.append(w.names(w.chosen(needed.value)))
-                size += len(found[-1])
+                found += [w.names(p) for p in w.chosen(twice.value)]
+                size += len(found[-1]) + len(found[-2])
                 if size > FLUSH:
                     yield tally(found)
                     found, size = found[:1], 0
@@ -336,7 +346,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     def opened(batches):
         for batch in batches:
             for i, h, w in windows_of(batch, length):
-                p = np.flatnonzero(w.open)
+                bare, cored = w.chosen(twice.value)
+                p = np.concatenate([bare[~w.again(bare)], cored])        # finish() sees again() for itself
+                p = p[~w.known[p]]
                 if len(p):
                     names = w.names(p)
                     hit = marked(seen.value, np.ascontiguousarray(names[:, 0]).view(np.uint64))
@@ -350,6 +362,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             for i, h, b, marks_, at in zip(batch["id"], batch["h"], batch["b"], batch["marks"], batch["at"]):
                 w = Windows(b, marks_, length)
                 covered = w.known.copy()
+                bare = np.concatenate([np.zeros(0, np.int64), *(np.arange(w.at[r], w.at[r + 1]) for r in np.flatnonzero(w.bare))])
+                covered[bare[w.again(bare)]] = True
                 if at is not None:
                     covered[np.asarray(at, np.int64)] = True
                 step = np.zeros(len(b) + 1, np.int64)
