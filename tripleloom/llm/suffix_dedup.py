@@ -273,6 +273,8 @@ class Windows:
 
     def again(self, where: np.ndarray) -> np.ndarray:
         """Which of these windows occur twice among them."""
+        if len(where) < 2:
+            return np.zeros(len(where), bool)
         names = self.names(where)
         order = np.lexsort((names[:, 1], names[:, 0]))
         same = (names[order][1:] == names[order][:-1]).all(axis=1)
@@ -345,14 +347,22 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
 
     def opened(batches):
         for batch in batches:
+            found, size = [], 0
             for i, h, w in windows_of(batch, length):
                 bare, cored = w.chosen(twice.value)
                 p = np.concatenate([bare[~w.again(bare)], cored])        # finish() sees again() for itself
                 p = p[~w.known[p]]
-                if len(p):
-                    names = w.names(p)
-                    hit = marked(seen.value, np.ascontiguousarray(names[:, 0]).view(np.uint64))
-                    yield pd.DataFrame({"id": i, "h": h, "at": p[hit], "w1": names[hit, 0], "w2": names[hit, 1]})
+                if not len(p):
+                    continue
+                names = w.names(p)
+                hit = marked(seen.value, np.ascontiguousarray(names[:, 0]).view(np.uint64))
+                found.append(np.column_stack([np.full(hit.sum(), i), np.full(hit.sum(), h), p[hit], names[hit]]))
+                size += len(found[-1])
+                if size > FLUSH:
+                    yield pd.DataFrame(np.concatenate(found), columns=["id", "h", "at", "w1", "w2"])
+                    found, size = [], 0
+            if found:
+                yield pd.DataFrame(np.concatenate(found), columns=["id", "h", "at", "w1", "w2"])
     ends = (held.mapInPandas(opened, "id long, h long, at long, w1 long, w2 long").join(more, ["w1", "w2"], "left_semi")
             .groupBy("id", "h").agg(F.collect_set(F.col("at").cast("int")).alias("at")))
 
@@ -366,13 +376,13 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 covered[bare[w.again(bare)]] = True
                 if at is not None:
                     covered[np.asarray(at, np.int64)] = True
+                run = np.flatnonzero(np.diff(np.concatenate([[0], covered.view(np.int8), [0]])))
+                if not len(run):
+                    continue
                 step = np.zeros(len(b) + 1, np.int64)
-                p = np.flatnonzero(covered)
-                step[p] += 1
-                np.add.at(step, p + length, -1)
+                step[run[::2]] += 1
+                np.add.at(step, run[1::2] + length - 1, -1)
                 gone = np.cumsum(step[:-1]) > 0
-                if not gone.any():
-                    continue
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
                 kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
                 out.append((i, h, [{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])], int(gone.sum()),
