@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+MOST_BITS = 28       # log2 of the largest bit array (32 MB)
+
+
 def fold(id_col: str, parts: int) -> Column:
     """crc32 of the id written as text, modulo ``parts``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(parts))
@@ -63,3 +67,29 @@ def forest(n: int, chunks: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarra
             while (root != root[root]).any():
                 root = root[root]
     return root
+
+
+def bits_of(values: DataFrame, name: str):
+    """Broadcast bit array of a column of 64-bit hashes: 64 bits a value, at most 2^MOST_BITS bits in all.
+
+    A filter without false negatives; when the array is full it merely passes more."""
+    spark, n = values.sparkSession, values.count()
+    size = min(MOST_BITS, max(16, (64 * n).bit_length()))
+    slot = F.shiftrightunsigned(F.col(name), 64 - size)
+    words = (values.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({name}, {64 - size}) & 63 as int)))").alias("bits"))
+             .toArrow())
+    out = np.zeros(1 << (size - 6), np.uint64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return spark.sparkContext.broadcast(out)
+
+
+def marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = values >> np.uint64(64 - (len(bits).bit_length() + 5))
+    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def marked_rows(name: str, shared) -> Column:
+    @F.pandas_udf("boolean")
+    def of(values: pd.Series) -> pd.Series:
+        return pd.Series(marked(shared.value, values.to_numpy(np.int64).view(np.uint64)))
+    return of(F.col(name))

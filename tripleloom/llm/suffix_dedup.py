@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
 
 from tripleloom.functions.session import staged
+from tripleloom.llm.common import bits_of, marked, marked_rows
 
 LENGTH = 400
 RADIUS = 32          # a power of two
 GRAM = 8
 BLOCK = 20_000       # rows of an interval that is refined in memory
 FLUSH = 500_000      # windows named before they are counted and passed on
-MOST_BITS = 28       # log2 of the largest bit array (32 MB)
 MULT = np.uint64(0x9E3779B97F4A7C15)
 OUTSIDE = RADIUS * 2 + GRAM      # bytes of a window in which no cut follows from the window alone
 
@@ -80,32 +80,6 @@ def inner(c: np.ndarray, n: int, length: int) -> tuple[np.ndarray, np.ndarray]:
     return first, last
 
 
-# Bit arrays -----------------------------------------------------------------------------------------
-
-def bits_of(values: DataFrame, name: str):
-    """Broadcast bit array of a column of 64-bit hashes: 64 bits a value, at most 2^MOST_BITS bits in all."""
-    spark, n = values.sparkSession, values.count()
-    size = min(MOST_BITS, max(16, (64 * n).bit_length()))
-    slot = F.shiftrightunsigned(F.col(name), 64 - size)
-    words = (values.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned({name}, {64 - size}) & 63 as int)))").alias("bits"))
-             .toArrow())
-    out = np.zeros(1 << (size - 6), np.uint64)
-    out[words["at"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
-    return spark.sparkContext.broadcast(out)
-
-
-def marked(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    slot = values >> np.uint64(64 - (len(bits).bit_length() + 5))
-    return (bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-
-
-def marked_rows(name: str, shared) -> Column:
-    @F.pandas_udf("boolean")
-    def of(values: pd.Series) -> pd.Series:
-        return pd.Series(marked(shared.value, values.to_numpy(np.int64).view(np.uint64)))
-    return of(F.col(name))
-
-
 # Phrases and their order ----------------------------------------------------------------------------
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
