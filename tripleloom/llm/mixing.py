@@ -91,8 +91,9 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict | None = None, total
     featured = staged(docs.select("doc_id", word_count(F.col("text")).alias("t"), features(F.col("text")).alias("f")))
     model = classifier(featured, labelled)
     d = len(model["domains"])
-    soft = staged(featured.select("t", posterior(F.col("f"), model).alias("p"))) if d else None
+    soft = staged(featured.select("doc_id", "t", (posterior(F.col("f"), model) if d else F.array().cast("array<double>")).alias("p")))
     all_tokens = float((soft.agg(F.sum("t")).first()[0] if d else 0) or 0)
+    model["soft"] = soft
     if not all_tokens:
         return model | {"steps": [], "targets": [], "reached": []}
     p, share = F.col("p"), F.col("t") / all_tokens
@@ -116,25 +117,35 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict | None = None, total
     return model | {"steps": steps, "targets": list(want), "reached": list(now)}
 
 
-def rated(docs: DataFrame, fitted: dict, id_col: str = "doc_id", seed: int = 11) -> DataFrame:
-    """``docs`` with membership (map of domain to posterior), rate and copies.
+def drawn(rate_: Column, of: Column, seed: int = 11) -> Column:
+    """``rate_`` rounded up or down by a hash of ``of``, so that its mean is the rate."""
+    at = F.pmod(F.xxhash64(of, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+    return (F.floor(rate_) + F.when(at < rate_ - F.floor(rate_), 1).otherwise(0)).cast("int")
 
-    ``copies`` is the rate rounded up or down by a hash of the id, so that its mean is the rate; rows
-    that repeat an id get equal values, and a null id has a hash too.  Null and empty texts have a
-    rate as every text has."""
-    if not fitted["domains"]:
-        return docs.withColumns({"membership": F.create_map().cast("map<string,double>"), "rate": F.lit(1.0), "copies": F.lit(1).cast("int")})
-    out = docs.withColumn("_p", posterior(features(F.col("text")), fitted)).withColumn("rate", rate(F.col("_p"), fitted["steps"]))
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    names = F.array(*[F.lit(x) for x in fitted["domains"]])
-    return (out.withColumn("copies", (F.floor("rate") + F.when(drawn < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
-            .withColumn("membership", F.map_from_arrays(names, "_p")).select(*docs.columns, "membership", "rate", "copies"))
 
+def rated(fitted: dict) -> DataFrame:
+    """(doc_id, n_tokens, membership, rate, copies) of every row the fit saw; membership maps domains to
+    posteriors.
 
-def mixed(docs: DataFrame, fitted: dict) -> DataFrame:
-    """The mixture: each row as many times as its copies say, columns as given."""
-    out = rated(docs, fitted)
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+    Rows that repeat an id and text get equal values, a null id has a hash too, and null and empty
+    texts have a rate as every text has.  Without domains the rate is 1 and membership empty."""
+    names = F.array(*[F.lit(x) for x in fitted["domains"]]).cast("array<string>")
+    out = fitted["soft"].withColumn("rate", rate(F.col("p"), fitted["steps"]))
+    return out.select("doc_id", F.col("t").alias("n_tokens"), F.map_from_arrays(names, "p").alias("membership"), "rate", drawn(F.col("rate"), F.col("doc_id")).alias("copies"))
+
+
+def once(docs: DataFrame, **columns: Column) -> DataFrame:
+    """``docs`` with costly columns that Catalyst works out once, however often they are used."""
+    return docs.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def mixed(docs: DataFrame, fitted: dict, id_col: str = "doc_id") -> DataFrame:
+    """The mixture: each row as many times as its copies say, columns as given.  No row moves."""
+    if not fitted["steps"]:
+        return docs
+    out = once(once(docs, _f=features(F.col("text"))), _p=posterior(F.col("_f"), fitted))
+    out = once(out, _rate=rate(F.col("_p"), fitted["steps"]))
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), drawn(F.col("_rate"), F.col(id_col))))).select(*docs.columns)
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -145,5 +156,4 @@ def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    fitted = fit(docs, labelled_domains(docs, labels))
-    return rated(docs.select("doc_id", "text"), fitted).select("doc_id", word_count(F.col("text")).alias("n_tokens"), "membership", "rate", "copies")
+    return rated(fit(docs, labelled_domains(docs, labels)))
