@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions.session import staged
 from tripleloom.llm import mixing, packing, simhash, suffix_dedup, toxicity
-from tripleloom.llm.common import table
+from tripleloom.llm.common import small_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,15 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs).withColumnRenamed("id", "doc_id")
 
 
-STAGES = [("toxicity", drop_toxic), ("simhash", drop_near_copies), ("suffix_dedup", cut_repeats), ("mixing", mix), ("packing", pack)]
+def batched(stage):
+    def with_small_batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+    return with_small_batches
+
+
+STAGES = [(name, batched(stage)) for name, stage in (
+    ("toxicity", drop_toxic), ("simhash", drop_near_copies), ("suffix_dedup", cut_repeats), ("mixing", mix), ("packing", pack))]
 
 # No stage but the packing of known lengths can be stated in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from tripleloom.functions.session import staged
 
 
+BATCH_ROWS = 2000    # whole texts handed to Python at once
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

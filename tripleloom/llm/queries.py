@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripleloom.functions.session import configure
 from tripleloom.llm import langid, mixing, packing, simhash, suffix_dedup, tokens, topk, toxicity, vector_dedup, warc
-from tripleloom.llm.common import table
+from tripleloom.llm.common import small_batches, table
 
 
 def over(query: Callable[..., DataFrame], *names: str) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: query(*[table(configure(spark), sf_dir, n) for n in names])
+    return lambda spark, sf_dir: query(*[table(small_batches(configure(spark)), sf_dir, n) for n in names])
 
 
 QUERIES = {

@@ -37,7 +37,7 @@ LENGTH = 400
 RADIUS = 32          # a power of two
 GRAM = 8
 BLOCK = 20_000       # rows of an interval that is refined in memory
-FLUSH = 500_000      # windows named before they are counted and passed on
+FLUSH = 200_000      # windows named before they are counted and passed on
 MULT = np.uint64(0x9E3779B97F4A7C15)
 OUTSIDE = RADIUS * 2 + GRAM      # bytes of a window in which no cut follows from the window alone
 
@@ -132,7 +132,7 @@ def shard_rows(phrases: DataFrame, repeated, length: int) -> DataFrame:
                         name = xxh3_128_digest(seq.tobytes())
                         out.append((i, h, j, name, None if name in sent else seq))
                         sent.add(name)
-                if len(sent) > 200_000:
+                if len(sent) > FLUSH:
                     sent.clear()
             names = np.frombuffer(b"".join(r[3] for r in out), "<i8").reshape(-1, 2)
             yield pd.DataFrame({"id": [r[0] for r in out], "h": [r[1] for r in out], "j": [r[2] for r in out],
@@ -295,33 +295,43 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     held = staged(texts.join(per_doc, ["id", "h"]).select("id", "h", "b", "marks"), "zstd")
 
     def cores(batches):
+        found, asked, size = [], [], 0
+
+        def done():
+            core, at, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+            return pd.DataFrame({"core": core.view(np.int64), "n": n, "asked": np.bincount(at, np.concatenate(asked), len(core)).astype(np.int64)})
         for batch in batches:
-            found, asked = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
             for _, _, w in windows_of(batch, length):
                 runs = np.flatnonzero(w.may & ~w.bare)
                 found.append(w.cores(runs))
                 asked.append(w.open[runs])
-            core, at, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
-            yield pd.DataFrame({"core": core.view(np.int64), "n": n, "asked": np.bincount(at, np.concatenate(asked), len(core)).astype(np.int64)})
+                size += len(runs)
+                if size > FLUSH:
+                    yield done()
+                    found, asked, size = [], [], 0
+        if size:
+            yield done()
     twice = bits_of(staged(held.mapInPandas(cores, "core long, n long, asked long").groupBy("core").agg(F.sum("n").alias("n"), F.sum("asked").alias("asked"))
                            .where("n > 1 and asked > 0").select("core")), "core")
 
     def counted(batches):
+        found, size = [], 0
         for batch in batches:
-            found, size = [np.zeros((0, 2), np.int64)], 0
             for _, _, w in windows_of(batch, length):
                 found += [w.names(p) for p in w.chosen(twice.value)]
                 size += len(found[-1]) + len(found[-2])
                 if size > FLUSH:
                     yield tally(found)
-                    found, size = found[:1], 0
+                    found, size = [], 0
+        if size:
             yield tally(found)
     more = staged(held.mapInPandas(counted, "w1 long, w2 long, c long").groupBy("w1", "w2").agg(F.sum("c").alias("c")).where("c > 1").select("w1", "w2"))
     seen = bits_of(more, "w1")
 
     def opened(batches):
+        names_of = ["id", "h", "at", "w1", "w2"]
+        found, size = [], 0
         for batch in batches:
-            found, size = [], 0
             for i, h, w in windows_of(batch, length):
                 bare, cored = w.chosen(twice.value)
                 p = np.concatenate([bare[~w.again(bare)], cored])        # finish() sees again() for itself
@@ -333,10 +343,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 found.append(np.column_stack([np.full(hit.sum(), i), np.full(hit.sum(), h), p[hit], names[hit]]))
                 size += len(found[-1])
                 if size > FLUSH:
-                    yield pd.DataFrame(np.concatenate(found), columns=["id", "h", "at", "w1", "w2"])
+                    yield pd.DataFrame(np.concatenate(found), columns=names_of)
                     found, size = [], 0
-            if found:
-                yield pd.DataFrame(np.concatenate(found), columns=["id", "h", "at", "w1", "w2"])
+        if size:
+            yield pd.DataFrame(np.concatenate(found), columns=names_of)
     ends = (held.mapInPandas(opened, "id long, h long, at long, w1 long, w2 long").join(more, ["w1", "w2"], "left_semi")
             .groupBy("id", "h").agg(F.collect_set(F.col("at").cast("int")).alias("at")))
 
