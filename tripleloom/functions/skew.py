@@ -15,6 +15,7 @@ from tripleloom.functions.session import staged
 
 HOT_SHARE = 256      # a key is hot when it holds more than 1/HOT_SHARE of the rows
 SAMPLE_PER_SPLIT = 20
+RANGE_ROWS = 10_000_000   # a range holds about so many rows at most; more rows make more ranges
 
 
 def scalar(df: DataFrame) -> Column:
@@ -67,25 +68,26 @@ def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str
 def range_bucket(df: DataFrame, cols: Sequence[str], buckets: int) -> tuple[Column, Column, Column]:
     """Split points, key, and number of the range a row falls in, by a hash sample.
 
-    The sample has about ``buckets * SAMPLE_PER_SPLIT`` rows whatever the size of
-    the input, and depends on values only, so a task that is run again gives the
-    same answer.
+    There are ``buckets`` ranges, or as many as RANGE_ROWS asks for if that is more.  The sample has
+    about SAMPLE_PER_SPLIT rows a range and depends on values only, so a task that is run again gives
+    the same answer.
     """
     key = F.struct(*cols)
-    want = buckets * SAMPLE_PER_SPLIT
     total = scalar(df.agg(F.count(F.lit(1)).alias("n")))
-    drawn = df.select(key.alias("k")).where(
-        F.pmod(F.xxhash64("k"), F.lit(1 << 40)) * total <= F.lit(want) * F.lit(1 << 40).cast("double"))
+    want = F.greatest(F.lit(float(buckets)), total / float(RANGE_ROWS)) * float(SAMPLE_PER_SPLIT)
+    at = F.pmod(F.xxhash64("k"), F.lit(1 << 40)).cast("double") / float(1 << 40)      # doubles: no product of longs
+    drawn = df.select(key.alias("k")).where(at * total <= want)
     points = scalar(drawn.agg(F.filter(
         F.sort_array(F.collect_list("k")),
         lambda _, i: (i + 1) % F.lit(SAMPLE_PER_SPLIT) == 0).alias("points")))
-    steps = [1 << i for i in reversed(range(max(1, (2 * buckets).bit_length())))]
+    top = F.floor(F.log2(F.size(F.col("_ps_points")) + 1.0)).cast("int")
+    steps = F.transform(F.sequence(top, F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
 
     def halve(at: Column, step: Column) -> Column:
         inside = at + step <= F.size(F.col("_ps_points"))
         return F.when(inside & (F.get(F.col("_ps_points"), at + step - 1) < F.col("_ps_key")), at + step).otherwise(at)
 
-    search = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), halve)
+    search = F.aggregate(steps, F.lit(0), halve)
     return points, key, search
 
 
