@@ -233,7 +233,7 @@ def _(t):
 @query("st_ingest", kg("SELECT head, relation, tail, count(*) AS n FROM kg_edges GROUP BY 1, 2, 3"))
 def _(t):
     inbox, target, failed, check = (shared_dir(t.spark) for _ in range(4))
-    at = F.timestamp_seconds(F.lit(1704067200) + c("row_no") % 1000)
+    at = F.timestamp_seconds(F.lit(1704067200) + (c("row_no") * 7919) % 1000000)      # far more than any delay
     raw_triples(t).withColumn("arrival", at).repartition(4).write.parquet(inbox)
     schema = t.spark.read.parquet(inbox).schema
     arriving = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(inbox)

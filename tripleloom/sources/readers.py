@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripleloom.functions.skew import first_seen
+from tripleloom.functions.skew import first_seen, prefix_sum
 from tripleloom.functions.text import strip
 from tripleloom.sources import schemas
 
@@ -33,8 +33,10 @@ def with_file_order(df: DataFrame) -> DataFrame:
                      F.monotonically_increasing_id().alias("_row"))
 
 
-def triples_csv(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.csv(path, header=True, quote='"', escape='"')
+def triples_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Triples with a header; quoted fields may hold line breaks.  Files known to hold none can be read
+    with ``multiline=False``, which splits them."""
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multiline)
     return _filled(raw.select(*_aliased(raw)))
 
 
@@ -92,14 +94,18 @@ def ie_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def conll(spark: SparkSession, path: str) -> DataFrame:
-    """Sentences of ``token ... tag`` lines: one row per blank-line block, so large files split.
+    """Sentences of ``token ... tag`` lines, in files with either kind of line end.
 
-    First and last columns are kept; ``-DOCSTART`` lines are dropped.
+    Blank and ``-DOCSTART`` lines end a sentence; first and last columns are kept.  Lines are numbered by
+    a running count in ranges of each file, so large files split.
     """
-    blocks = spark.read.option("lineSep", "\n\n").text(path)
-    kept = F.filter(F.split("value", "\n"), lambda l: (F.trim(l) != "") & ~l.startswith("-DOCSTART"))
-    cols = F.transform(kept, lambda l: F.split(F.trim(l), r"\s+"))
-    return blocks.select(F.transform(cols, lambda c: c[0]).alias("tokens"), F.transform(cols, lambda c: F.element_at(c, -1)).alias("tags")).where(F.size("tokens") > 0)
+    line = strip(F.col("value"))
+    rows = with_file_order(spark.read.text(path)).withColumn("_edge", (line == "") | line.startswith("-DOCSTART"))
+    numbered = prefix_sum(rows, ["_file"], ["_block", "_row"], F.col("_edge").cast("long"), "_sentence", stage=True)
+    parts = F.split(line, r"\s+")
+    words = numbered.where(~F.col("_edge")).select("_file", "_sentence", F.struct("_block", "_row", parts[0].alias("token"), F.element_at(parts, -1).alias("tag")).alias("w"))
+    one = words.groupBy("_file", "_sentence").agg(F.array_sort(F.collect_list("w")).alias("w"))
+    return one.select(F.col("w.token").alias("tokens"), F.col("w.tag").alias("tags"))
 
 
 def tsv_tagged(spark: SparkSession, path: str, sep: str = "\x02") -> DataFrame:

@@ -27,20 +27,20 @@ def clean_triples(triples: DataFrame) -> DataFrame:
     return named.where(C.valid_triple(F.col("head"), F.col("relation"), F.col("tail")))
 
 
-def ingest_stream(triples: DataFrame, arrival: str, target: str, failed: str, checkpoint: str, delay: str = "1 hour",
+def ingest_stream(triples: DataFrame, arrival: str, target: str, failed: str, checkpoint: str,
                   store: Callable[[DataFrame, str], None] | None = None) -> StreamingQuery:
-    """Clean and deduplicate arriving triples and store them batch by batch.
+    """Clean arriving triples and store them batch by batch, each batch without its own duplicates.
 
-    Duplicates inside the delay are dropped by keyed state that the watermark bounds.  A
-    batch is written to a folder of its number, so a batch that runs again replaces itself;
+    Nothing is dropped for being late: ``stored`` keeps the first arrival per triple over all batches.
+    A batch is written to a folder of its number, so a batch that runs again replaces itself;
     a batch that cannot be stored is put aside and the stream goes on.
     """
-    fresh = clean_triples(triples).withWatermark(arrival, delay).dropDuplicatesWithinWatermark(KEY)
+    fresh = clean_triples(triples)
     store = store or (lambda df, path: df.write.mode("overwrite").parquet(path))
 
     def save(batch: DataFrame, number: int) -> None:
         try:
-            store(batch, f"{target}/batch={number}")
+            store(first_seen(batch, KEY, [c for c in (arrival, "row_no") if c in batch.columns]), f"{target}/batch={number}")
         except Exception as err:  # the batch is kept for a second look
             reason = F.lit(str(err)[:500])
             batch.withColumn("reason", reason).write.mode("overwrite").parquet(f"{failed}/batch={number}")
