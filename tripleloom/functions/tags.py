@@ -23,7 +23,7 @@ def _islands(tags: Column, opens) -> Column:
         inside = lambda x: F.coalesce(x != "O", F.lit(False))
         starts = _places(t, lambda x, i: inside(x) & opens(t, x, i))
         ends = _places(t, lambda x, i: inside(x) & (~inside(F.get(t, i + 1)) | opens(t, F.get(t, i + 1), i + 1)))
-        return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e + 1).alias("end"), F.substring(F.get(t, s), 3, 1000).alias("type")))
+        return F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("start"), (e + 1).alias("end"), F.substring(F.get(t, s), F.lit(3), F.length(F.get(t, s))).alias("type")))
     return let(tags, run)
 
 
@@ -34,7 +34,7 @@ def bio_to_spans(tags: Column) -> Column:
 
 def chunks_typed(tags: Column) -> Column:
     """Chunks that also break where the type changes."""
-    kind = lambda x: F.substring(x, 3, 1000)
+    kind = lambda x: F.substring(x, F.lit(3), F.length(x))
     return _islands(tags, lambda t, x, i: x.startswith("B") | (i == 0) | (F.get(t, i - 1) == "O") | (kind(x) != kind(F.get(t, i - 1))))
 
 
@@ -53,7 +53,7 @@ def tagged_merge(items: Column) -> Column:
         return F.when(acc["text"].isNotNull(), F.array_append(acc["done"], F.struct(acc["text"].alias("text"), acc["type"].alias("type")))).otherwise(acc["done"])
 
     def step(acc: Column, x: Column) -> Column:
-        kind = F.substring(x["tag"], 3, 1000)
+        kind = F.substring(x["tag"], F.lit(3), F.length(x["tag"]))
         opens, joins = x["tag"].startswith("B"), acc["type"].isNull() | (acc["type"] == kind)
         text = F.when(opens, x["token"]).when(joins, F.concat(F.coalesce(acc["text"], F.lit("")), x["token"])).otherwise(acc["text"])
         return F.struct(F.when(opens, close(acc)).otherwise(acc["done"]).alias("done"), text.alias("text"),

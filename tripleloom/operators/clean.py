@@ -30,15 +30,16 @@ def valid_triple(head: Column, relation: Column, tail: Column) -> Column:
     return filled[0] & filled[1] & filled[2] & (head != tail)
 
 
-def sanitize_name(name: Column) -> Column:
-    """Letters, digits, ``_``, space and ``-`` only, at most 100 characters, trimmed; null gives ''."""
+def sanitize_name(name: Column, longest: int | None = None) -> Column:
+    """Letters, digits, ``_``, space and ``-`` only, trimmed; null gives ''.  ``longest`` cuts names when stated."""
     kept = F.regexp_replace(name, r"[^\p{L}\p{N}_\s\-]", "")
-    return F.coalesce(F.trim(F.substring(kept, 1, K.MAX_NAME_LENGTH)), F.lit(""))
+    return F.coalesce(F.trim(kept if longest is None else F.substring(kept, 1, longest)), F.lit(""))
 
 
-def validate_entities(names: Column) -> Column:
-    """The first 50 names of an array, sanitised, without the empty ones."""
-    return F.filter(F.transform(F.slice(names, 1, K.MAX_NAMES), sanitize_name), lambda n: n != "")
+def validate_entities(names: Column, most: int | None = None) -> Column:
+    """The names of an array, sanitised, without the empty ones; the first ``most`` when stated."""
+    first = names if most is None else F.slice(names, 1, most)
+    return F.filter(F.transform(first, lambda n: sanitize_name(n)), lambda n: n != "")
 
 
 def suspicious(text: Column) -> Column:
@@ -178,12 +179,15 @@ def default_relation(text: Column, relation: Column, has_entities: Column, listi
     return F.when(relation.isNotNull(), relation).when(has_entities & lists, F.lit(value))
 
 
-def valid_relation(answer: Column, relations: Sequence[str], default: str = K.NO_RELATION) -> Column:
-    """Free answer to a closed list: exact, else the first relation whose two-letter start it has."""
+def valid_relation(answer: Column, relations: Sequence[str], default: str = K.NO_RELATION, compat: bool = False) -> Column:
+    """Free answer to a closed list: exact, else the longest relation that the answer names in full.
+
+    ``compat`` takes the first relation whose two-letter start the answer has instead, which confuses
+    relations with a common start."""
     text = F.trim(answer)
     out = F.when(text.isin(list(relations)), text)
-    for rel in relations:
-        out = out.when(text.startswith(rel[:2]), F.lit(rel))
+    for rel in relations if compat else sorted(relations, key=lambda r: (-len(r), r)):
+        out = out.when(text.startswith(rel[:2]) if compat else F.contains(text, F.lit(rel)), F.lit(rel))
     return out.otherwise(F.lit(default))
 
 

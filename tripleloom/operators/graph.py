@@ -6,11 +6,11 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripleloom.functions import constants as K
-from tripleloom.functions.skew import top_k
+from tripleloom.functions.skew import ranked, top_k
 from tripleloom.operators import aggregate as A
 from tripleloom.operators import clean as C
 from tripleloom.operators import joins as J
@@ -22,35 +22,35 @@ NO_ANSWER = "暂无可靠知识支持"
 
 
 def with_attributes(found: DataFrame, nodes: DataFrame, a: str, b: str, attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
-    """Attributes of both ends for a limited result.  ``found`` has at most 1000 rows, so it
-    is the broadcast side and the node table is read without a shuffle."""
+    """Attributes of both ends of each row found; the optimiser's size check picks the joins."""
     out = found
     for i, end in enumerate((a, b), 1):
         side = nodes.select(F.col("name").alias(end), *[F.col(x).alias(f"entity{i}_{x}") for x in attributes])
-        out = F.broadcast(out).join(side, end)
+        out = out.join(side, end)
     return out
 
 
-def _limit(n: int) -> int:
-    return min(n, K.MAX_ROWS)
+def _first(df: DataFrame, limit: int | None, *order: str) -> DataFrame:
+    """All rows, or the first ``limit`` when the caller states one."""
+    return df if limit is None else df.orderBy(*order).limit(limit)
 
 
 # ---- lookups by part of a name -----------------------------------------------------------
 
-def entity_relations(edges: DataFrame, nodes: DataFrame, text: str, limit: int = 50) -> DataFrame:
-    """Edges of the nodes whose name contains the text, seen from that node, in edge order."""
-    near = J.undirected(edges).where(F.col("near").contains(text)).orderBy(*EDGE_ORDER, "near").limit(_limit(limit))
+def entity_relations(edges: DataFrame, nodes: DataFrame, text: str, limit: int | None = None) -> DataFrame:
+    """Edges of the nodes whose name contains the text, seen from that node."""
+    near = _first(J.undirected(edges).where(F.col("near").contains(text)), limit, *EDGE_ORDER, "near")
     return with_attributes(near.select("row_no", "near", "relation", "far"), nodes, "near", "far")
 
 
-def entities_by_relation(edges: DataFrame, nodes: DataFrame, names: Sequence[str], relation: str) -> DataFrame:
+def entities_by_relation(edges: DataFrame, nodes: DataFrame, names: Sequence[str], relation: str, limit: int | None = None) -> DataFrame:
     """Directed edges whose source contains any of the names and whose relation contains the text."""
-    source = reduce(or_, [F.col("head").contains(n) for n in names[:K.MAX_NAMES]])
-    hit = edges.where(source & F.col("relation").contains(relation)).orderBy(*EDGE_ORDER).limit(K.MAX_ROWS)
+    source = reduce(or_, [F.col("head").contains(n) for n in names])
+    hit = _first(edges.where(source & F.col("relation").contains(relation)), limit, *EDGE_ORDER)
     return with_attributes(hit.select("row_no", "head", "relation", "tail"), nodes, "head", "tail")
 
 
-def relations_between(edges: DataFrame, nodes: DataFrame, a: str, b: str, bidirectional: bool = True) -> DataFrame:
+def relations_between(edges: DataFrame, nodes: DataFrame, a: str, b: str, bidirectional: bool = True, limit: int | None = None) -> DataFrame:
     """Edges between names containing a and b; in both directions every edge is seen from both ends."""
     if bidirectional:
         seen = J.undirected(edges)
@@ -59,8 +59,7 @@ def relations_between(edges: DataFrame, nodes: DataFrame, a: str, b: str, bidire
     else:
         hit = edges.withColumn("near", F.col("head")).withColumn("far", F.col("tail"))
         hit = hit.where(F.col("near").contains(a) & F.col("far").contains(b))
-    top = hit.orderBy(*EDGE_ORDER, "near").limit(K.MAX_ROWS)
-    return with_attributes(top.select("row_no", "near", "relation", "far"), nodes, "near", "far")
+    return with_attributes(_first(hit, limit, *EDGE_ORDER, "near").select("row_no", "near", "relation", "far"), nodes, "near", "far")
 
 
 # ---- lookups by exact name ---------------------------------------------------------------
@@ -85,22 +84,23 @@ def path_text(head: Column, relation: Column, tail: Column) -> Column:
     return F.concat_ws(" → ", head, relation, tail)
 
 
-def answer_questions(edges: DataFrame, questions: DataFrame, threshold: float = 0.8, limit: int = K.MAX_ROWS) -> DataFrame:
+def answer_questions(edges: DataFrame, questions: DataFrame, threshold: float = 0.8, limit: int | None = None) -> DataFrame:
     """Answers and traces of a whole table of questions ``(question, names, relation)`` in one job.
 
     Without a relation, all edges of the names; with one, only edges of that relation.
-    Rank 1 is the answer; a question without an edge gets the fixed text.
+    Rank 1 is the answer; a question without an edge gets the fixed text.  ``limit`` keeps the best
+    so many edges of a question when the caller states it.
     """
     names = questions.select("question", F.col("relation").alias("_asked"), F.explode(F.array_distinct("names")).alias("near"))
     strong = C.conf_filter(edges, threshold, "~>=").select(*EDGE_ORDER, "confidence")
     asked = J.undirected(strong).join(names.select("near").distinct(), "near", "left_semi")
-    # no answer needs more than the first `limit` edges of a name and relation, so a hub asked
-    # by many questions is cut before it meets them
     order = [F.col("confidence").desc_nulls_last(), *[F.col(o) for o in EDGE_ORDER]]
-    few = top_k(asked, ["near", "relation"], order, limit, "_near_rank")
-    hit = few.join(names, "near").where(F.col("_asked").isNull() | (F.col("_asked") == F.col("relation")))
+    if limit is not None:       # no answer needs more of a name and relation, so a hub is cut before the join
+        asked = top_k(asked, ["near", "relation"], order, limit, "_near_rank")
+    hit = asked.join(names, "near").where(F.col("_asked").isNull() | (F.col("_asked") == F.col("relation")))
     once = hit.select("question", *EDGE_ORDER, "confidence").distinct()
-    best = top_k(once, ["question"], order, limit)
+    best = once.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(*order)))
+    best = best if limit is None else best.where(F.col("rank") <= limit)
     traced = best.select("question", "rank", path_text(F.col("head"), F.col("relation"), F.col("tail")).alias("path"), "confidence")
     return (questions.select("question").join(traced, "question", "left")
             .select("question", F.coalesce("rank", F.lit(1)).alias("rank"), F.coalesce("path", F.lit(NO_ANSWER)).alias("path"), "confidence"))
@@ -116,19 +116,19 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 # ---- contexts ------------------------------------------------------------------------------
 
-def pick_attributes(seen: DataFrame, topic: str, order: Sequence[str], attributes: Sequence[str], length: int = 300) -> DataFrame:
-    """First filled value of each attribute over the edges of a topic, cut to 300 characters.
+def pick_attributes(seen: DataFrame, topic: str, order: Sequence[str], attributes: Sequence[str], length: int | None = None) -> DataFrame:
+    """First filled value of each attribute over the edges of a topic, cut to ``length`` when stated.
 
     ``seen`` holds the attributes of the topic's own end of each edge.
     """
     def first(a: str) -> Column:
         value = F.trim(a)
-        filled = F.when(value != "", F.substring(value, 1, length))
+        filled = F.when(value != "", value if length is None else F.substring(value, 1, length))
         return F.min_by(filled, F.when(filled.isNotNull(), F.struct(*order))).alias(a)
     return seen.groupBy(topic).agg(*[first(a) for a in attributes])
 
 
-def context_batch(edges: DataFrame, nodes: DataFrame, topics: DataFrame, limit: int = 8, words: Sequence[str] = K.SCORING_WORDS) -> DataFrame:
+def context_batch(edges: DataFrame, nodes: DataFrame, topics: DataFrame, limit: int = 8, words: Sequence[str] = K.SCORING_WORDS, length: int | None = None) -> DataFrame:
     """The best ``limit`` relations of every topic, with the topic's attributes.
 
     A hub's edges are cut to ``limit`` per task before the shuffle, by the group limit of
@@ -138,7 +138,7 @@ def context_batch(edges: DataFrame, nodes: DataFrame, topics: DataFrame, limit:
     seen = J.undirected(edges.select(*EDGE_ORDER)).join(named, "near")
     score = S.relation_score(F.col("near"), F.col("head"), F.col("relation"), F.col("tail"), words)
     best = top_k(seen.withColumn("score", score), ["near"], [F.desc("score"), *[F.col(o) for o in EDGE_ORDER]], limit)
-    own = nodes.select(F.col("name").alias("near"), *[F.substring(F.trim(a), 1, 300).alias(a) for a in ATTRIBUTES])
+    own = nodes.select(F.col("name").alias("near"), *[(F.trim(a) if length is None else F.substring(F.trim(a), 1, length)).alias(a) for a in ATTRIBUTES])
     return best.join(own, "near", "left").select(F.col("near").alias("topic"), "rank", "score", "head", "relation", "tail", *ATTRIBUTES)
 
 
@@ -150,9 +150,10 @@ def context_json(batch: DataFrame) -> DataFrame:
         "topic", F.to_json(F.struct("topic", F.struct(*ATTRIBUTES).alias("attributes"), "relations")).alias("context"))
 
 
-def evidence_lines(batch: DataFrame) -> DataFrame:
-    """Evidence of each topic, one line per attribute and relation."""
-    attrs = F.filter(F.array(*[F.when(F.col(a) != "", F.concat(F.lit(f"属性-{a}："), F.substring(a, 1, 100))) for a in ATTRIBUTES]), lambda x: x.isNotNull())
+def evidence_lines(batch: DataFrame, length: int | None = None) -> DataFrame:
+    """Evidence of each topic, one line per attribute and relation; attributes cut when a length is stated."""
+    part = lambda a: F.col(a) if length is None else F.substring(a, 1, length)
+    attrs = F.filter(F.array(*[F.when(F.col(a) != "", F.concat(F.lit(f"属性-{a}："), part(a))) for a in ATTRIBUTES]), lambda x: x.isNotNull())
     own = batch.where("rank = 1").select("topic", F.posexplode(attrs).alias("line", "text")).withColumn("line", F.col("line") - 100)
     rels = batch.select("topic", F.col("rank").alias("line"), F.concat(F.lit("关系"), F.col("rank").cast("string"), F.lit("："),
                         F.concat_ws(" ", "head", "relation", "tail")).alias("text"))
@@ -160,9 +161,8 @@ def evidence_lines(batch: DataFrame) -> DataFrame:
 
 
 def relation_lines(found: DataFrame, order: Sequence[str], detailed: int = 5) -> DataFrame:
-    """Numbered lines of a limited result; the first five carry the attributes of both ends."""
-    from pyspark.sql import Window  # the result is limited to 1000 rows before it is numbered
-    numbered = found.orderBy(*order).limit(K.MAX_ROWS).withColumn("no", F.row_number().over(Window.orderBy(*order)))
+    """Numbered lines of a result, ``order`` being unique; the first five carry the attributes of both ends."""
+    numbered = ranked(found, [], order, "no")
     def detail(i):
         return F.concat_ws("，", *[F.concat(F.lit(f"{a}: "), F.col(f"entity{i}_{a}")) for a in ATTRIBUTES])
     details = F.concat_ws("；", detail(1), detail(2))
@@ -217,15 +217,13 @@ def route(asked: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     Unknown intents, and relation questions without a relation, take the general route.
     """
     between, by_rel, define = [name for name, _ in K.INTENT_KEYWORDS]
-    # a relation question gets at most 1000 edges, so hubs are cut before the join
     e = edges.select(*EDGE_ORDER)
-    listed = top_k(e, ["head", "relation"], [F.col("row_no"), F.col("tail")], K.MAX_ROWS)
     pair = asked.where(F.col("intent") == between)
     fwd = pair.join(e.withColumnRenamed("relation", "r"), (F.col("e1") == F.col("head")) & (F.col("e2") == F.col("tail")))
     back = pair.where(F.col("e1") != F.col("e2")).join(e.withColumnRenamed("relation", "r"), (F.col("e2") == F.col("head")) & (F.col("e1") == F.col("tail")))
     out = lambda df, name: df.select("id", F.lit(name).alias("route"), F.col("head").alias("source"), F.col("r").alias("relation"), F.col("tail").alias("target"))
     rel = asked.where((F.col("intent") == by_rel) & F.col("relation").isNotNull()).withColumnRenamed("relation", "r")
-    ends = listed.select(F.col("head").alias("e1"), F.col("relation").alias("r"), "tail")
+    ends = e.select(F.col("head").alias("e1"), F.col("relation").alias("r"), "tail")
     found = rel.join(ends, ["e1", "r"]).withColumn("head", F.col("e1"))
     defined = asked.where(F.col("intent") == define).join(nodes.select(F.col("name").alias("e1"), "type", "description"), "e1")
     defs = defined.select("id", F.lit(define).alias("route"), F.col("e1").alias("source"), F.col("type").alias("relation"), F.col("description").alias("target"))

@@ -110,17 +110,19 @@ def tag_islands(tokens: DataFrame, by: str, pos: str, tag: str) -> DataFrame:
     opens = F.col(tag).startswith("B") | F.coalesce(F.col("_before") == "O", F.lit(True))
     numbered = prefix_sum(inside, [by], [pos], opens.cast("long"), "_chunk", stage=True)
     return numbered.groupBy(by, "_chunk").agg(F.min(pos).alias("start"), (F.max(pos) + 1).alias("end"),
-                                              F.min_by(F.substring(tag, 3, 100), pos).alias("type")).drop("_chunk")
+                                              F.min_by(F.substring(tag, F.lit(3), F.length(tag)), pos).alias("type")).drop("_chunk")
 
 
 # ---- ordering and top-k --------------------------------------------------------------------
 
-def by_confidence(df: DataFrame, order: Sequence[str], limit: int = K.MAX_ROWS, compat: bool = False,
+def by_confidence(df: DataFrame, order: Sequence[str], limit: int | None = None, compat: bool = False,
                   threshold: float | None = None) -> DataFrame:
-    """Best rows by confidence.  Null confidences come last; ``compat`` puts them first and
+    """Best rows by confidence, all of them unless a limit is stated.  Null confidences come last; ``compat`` puts them first and
     takes the limit before the threshold, as a graph database would."""
     first = F.col("confidence").desc_nulls_first() if compat else F.col("confidence").desc_nulls_last()
     keep = df if threshold is None else df.where(F.col("confidence") >= threshold - 1e-10)
+    if limit is None:
+        return keep.orderBy(first, *order)
     if compat:
         top = df.orderBy(first, *order).limit(limit)
         return top if threshold is None else top.where(F.col("confidence") >= threshold - 1e-10)

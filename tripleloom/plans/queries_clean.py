@@ -136,14 +136,14 @@ def _(t):
                       *[F.col(c).cast("long") for c in ("head_start", "head_end", "tail_start", "tail_end")])
 
 
-@query("sanitize_name", r"""SELECT page_id, trim(substr(regexp_replace(url, '[^\p{L}\p{N}_\s\-]', '', 'g'), 1, 100)) AS url_name,
- trim(substr(regexp_replace(html, '[^\p{L}\p{N}_\s\-]', '', 'g'), 1, 100)) AS html_name FROM pages""")
+@query("sanitize_name", r"""SELECT page_id, trim(regexp_replace(url, '[^\p{L}\p{N}_\s\-]', '', 'g')) AS url_name,
+ trim(regexp_replace(html, '[^\p{L}\p{N}_\s\-]', '', 'g')) AS html_name FROM pages""")
 def _(t):
     return t.pages.select("page_id", C.sanitize_name(F.col("url")).alias("url_name"), C.sanitize_name(F.col("html")).alias("html_name"))
 
 
-@query("validate_entities", r"""SELECT doc_id, array_to_string(list_filter(list_transform(list_slice(string_split(text, ' '), 1, 50),
- lambda w: trim(substr(regexp_replace(w, '[^\p{L}\p{N}_\s\-]', '', 'g'), 1, 100))), lambda w: w <> ''), '|') AS names FROM documents""")
+@query("validate_entities", r"""SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, ' '),
+ lambda w: trim(regexp_replace(w, '[^\p{L}\p{N}_\s\-]', '', 'g'))), lambda w: w <> ''), '|') AS names FROM documents""")
 def _(t):
     return t.documents.select("doc_id", F.array_join(C.validate_entities(F.split("text", " ")), "|").alias("names"))
 
@@ -196,11 +196,11 @@ def _(t):
     return out.select("doc_id", "chunk_no", "chunk", F.length("chunk").alias("n_chars"))
 
 
-@query("length_gate", """SELECT doc_id, substr(text, 1, 128) AS head, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_tokens
+@query("length_gate", """SELECT doc_id, md5(text) AS whole, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_tokens
  FROM documents WHERE len(string_split(text, ' ')) <= 512""")
 def _(t):
     toks = t.documents.withColumn("toks", F.split("text", " "))
-    return X.length_gate(toks, "toks", 512).select("doc_id", F.substring("text", 1, 128).alias("head"), F.size("toks").cast("long").alias("n_tokens"))
+    return X.length_gate(toks, "toks", 512).select("doc_id", F.md5("text").alias("whole"), F.size("toks").cast("long").alias("n_tokens"))
 
 
 DELETE_SQL = ", ".join(str(r) for r in K.DELETE_RULES)
@@ -234,10 +234,10 @@ RELS = ["click through", "clean up", "error seen", "view page"]
 
 
 @query("valid_llm_relation", """SELECT event_id, CASE WHEN a IN ('click through', 'clean up', 'error seen', 'view page') THEN a
- WHEN starts_with(a, 'cl') THEN 'click through' WHEN starts_with(a, 'er') THEN 'error seen' WHEN starts_with(a, 'vi') THEN 'view page'
- ELSE '无关系' END AS relation FROM (SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'clean up' ELSE trim(concat(' ', event_type)) END AS a FROM events)""")
+ WHEN contains(a, 'click through') THEN 'click through' WHEN contains(a, 'error seen') THEN 'error seen' WHEN contains(a, 'view page') THEN 'view page' WHEN contains(a, 'clean up') THEN 'clean up'
+ ELSE '无关系' END AS relation FROM (SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'clean up' WHEN user_id % 5 = 1 THEN concat('it is click through ', event_type) ELSE trim(concat(' ', event_type)) END AS a FROM events)""")
 def _(t):
-    answer = F.when(F.col("user_id") % 5 == 0, "clean up").otherwise(F.concat(F.lit(" "), "event_type"))
+    answer = F.when(F.col("user_id") % 5 == 0, "clean up").when(F.col("user_id") % 5 == 1, F.concat(F.lit("it is click through "), "event_type")).otherwise(F.concat(F.lit(" "), "event_type"))
     return t.events.select("event_id", C.valid_relation(answer, RELS).alias("relation"))
 
 

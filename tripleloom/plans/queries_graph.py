@@ -23,25 +23,23 @@ ATTR = ", ".join(f"{a}.{x} AS entity{i}_{x}" for i, a in ((1, "a"), (2, "b")) fo
 SEEN = ", seen AS (SELECT *, head AS near, tail AS far FROM kg_edges UNION ALL SELECT *, tail, head FROM kg_edges WHERE head <> tail)"
 
 
-@query("g_entity_relations", kg(f"""{SEEN}, hit AS (SELECT row_no, near, relation, far FROM seen WHERE contains(near, 'Supplier#00000000') ORDER BY row_no, head, relation, tail, near LIMIT 50)
+@query("g_entity_relations", kg(f"""{SEEN}, hit AS (SELECT row_no, near, relation, far FROM seen WHERE contains(near, 'Supplier#00000000'))
 SELECT row_no, near, relation, far, {ATTR} FROM hit JOIN kg_nodes a ON a.name = near JOIN kg_nodes b ON b.name = far"""))
 def _(t):
     return G.entity_relations(edges(t), nodes(t), "Supplier#00000000")
 
 
-@query("g_entities_by_relation", kg(f""", hit AS (SELECT row_no, head, relation, tail FROM kg_edges WHERE (contains(head, 'Supplier#00000001') OR contains(head, 'Order#11')) AND contains(relation, 'pp')
- ORDER BY row_no, head, relation, tail LIMIT 1000) SELECT row_no, head, relation, tail, {ATTR} FROM hit JOIN kg_nodes a ON a.name = head JOIN kg_nodes b ON b.name = tail"""))
+@query("g_entities_by_relation", kg(f""", hit AS (SELECT row_no, head, relation, tail FROM kg_edges WHERE (contains(head, 'Supplier#00000001') OR contains(head, 'Order#11')) AND contains(relation, 'pp')) SELECT row_no, head, relation, tail, {ATTR} FROM hit JOIN kg_nodes a ON a.name = head JOIN kg_nodes b ON b.name = tail"""))
 def _(t):
     return G.entities_by_relation(edges(t), nodes(t), ["Supplier#00000001", "Order#11"], "pp")
 
 
-@query("g_relations_between", kg(f"""{SEEN}, hit AS (SELECT row_no, near, relation, far FROM seen WHERE (contains(near, 'Supplier') AND contains(far, 'Part#12')) OR (contains(near, 'Part#12') AND contains(far, 'Supplier'))
- ORDER BY row_no, head, relation, tail, near LIMIT 1000) SELECT row_no, near, relation, far, {ATTR} FROM hit JOIN kg_nodes a ON a.name = near JOIN kg_nodes b ON b.name = far"""))
+@query("g_relations_between", kg(f"""{SEEN}, hit AS (SELECT row_no, near, relation, far FROM seen WHERE (contains(near, 'Supplier') AND contains(far, 'Part#12')) OR (contains(near, 'Part#12') AND contains(far, 'Supplier'))) SELECT row_no, near, relation, far, {ATTR} FROM hit JOIN kg_nodes a ON a.name = near JOIN kg_nodes b ON b.name = far"""))
 def _(t):
     return G.relations_between(edges(t), nodes(t), "Supplier", "Part#12")
 
 
-EXACT = "SELECT row_no, head, relation, tail, confidence FROM kg_edges WHERE {0} AND confidence >= 0.8 - 1e-10 ORDER BY confidence DESC, row_no, head, relation, tail LIMIT 1000"
+EXACT = "SELECT row_no, head, relation, tail, confidence FROM kg_edges WHERE {0} AND confidence >= 0.8 - 1e-10"
 KEEP = ["row_no", "head", "relation", "tail", "confidence"]
 NAMES = ["Supplier#000000001", "Supplier#000000002", "NATION_3"]
 IN = ", ".join(f"'{n}'" for n in NAMES)
@@ -58,7 +56,7 @@ def _(t):
 
 
 @query("g_relations_between_exact", kg("""SELECT row_no, head, relation, tail, CASE WHEN head = 'AFRICA' THEN 'forward' ELSE 'reverse' END AS direction FROM kg_edges
- WHERE ((head = 'AFRICA' AND tail = 'NATION_0') OR (head = 'NATION_0' AND tail = 'AFRICA')) AND confidence >= 0.8 ORDER BY confidence DESC, row_no LIMIT 1000"""))
+ WHERE ((head = 'AFRICA' AND tail = 'NATION_0') OR (head = 'NATION_0' AND tail = 'AFRICA')) AND confidence >= 0.8"""))
 def _(t):
     return G.relations_between_exact(edges(t).select(*KEEP), "AFRICA", "NATION_0").drop("confidence")
 
@@ -67,7 +65,7 @@ def _(t):
  n AS (SELECT question, asked, unnest(names) AS near FROM q),
  hit AS (SELECT DISTINCT question, row_no, head, relation, tail, confidence FROM n JOIN seen USING (near) WHERE confidence >= 0.8 - 1e-10 AND (asked IS NULL OR asked = relation)),
  r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY confidence DESC, row_no, head, relation, tail) AS rank FROM hit)
-SELECT question, coalesce(rank, 1) AS rank, coalesce(concat_ws(' → ', head, relation, tail), '{G.NO_ANSWER}') AS path, confidence FROM (SELECT question FROM q) LEFT JOIN (SELECT question, rank, concat_ws(' → ', head) AS x, head, relation, tail, confidence FROM r WHERE rank <= 1000) USING (question)""".replace("coalesce(concat_ws(' → ', head, relation, tail),", "coalesce(CASE WHEN head IS NOT NULL THEN concat_ws(' → ', head, relation, tail) END,")))
+SELECT question, coalesce(rank, 1) AS rank, coalesce(concat_ws(' → ', head, relation, tail), '{G.NO_ANSWER}') AS path, confidence FROM (SELECT question FROM q) LEFT JOIN (SELECT question, rank, concat_ws(' → ', head) AS x, head, relation, tail, confidence FROM r) USING (question)""".replace("coalesce(concat_ws(' → ', head, relation, tail),", "coalesce(CASE WHEN head IS NOT NULL THEN concat_ws(' → ', head, relation, tail) END,")))
 def _(t):
     q = t.supplier.select(F.concat(F.lit("q"), "s_suppkey").alias("question"), F.array("s_name", F.concat(F.lit("Part#"), (c("s_suppkey") * 3).cast("string"))).alias("names"),
                           F.when(c("s_nationkey") < 8, "uses").when(c("s_nationkey") < 12, "none").alias("relation"))
@@ -129,7 +127,7 @@ def _(t):
 @query("g_relation_lines", kg("""SELECT no, CASE WHEN no <= 5 THEN concat(line, chr(10), 'type: ', at, coalesce('，description: ' || ad, ''), coalesce('，properties: ' || ap, ''), coalesce('，time_complexity: ' || ac, ''),
   '；type: ', bt, coalesce('，description: ' || bd, ''), coalesce('，properties: ' || bp, ''), coalesce('，time_complexity: ' || bc, '')) ELSE line END AS text FROM (
  SELECT row_number() OVER (ORDER BY row_no, head, tail) AS no, concat(row_number() OVER (ORDER BY row_no, head, tail), '. ', head, ' ', relation, ' ', tail) AS line, a.type AS at, a.description AS ad, a.properties AS ap, a.time_complexity AS ac,
-  b.type AS bt, b.description AS bd, b.properties AS bp, b.time_complexity AS bc FROM (SELECT * FROM kg_edges WHERE contains(head, 'Supplier#00000001') AND contains(relation, 'uses') ORDER BY row_no, head, tail LIMIT 1000) JOIN kg_nodes a ON a.name = head JOIN kg_nodes b ON b.name = tail)""".replace(" AS at,", " AS at_,").replace("', at,", "', at_,")))
+  b.type AS bt, b.description AS bd, b.properties AS bp, b.time_complexity AS bc FROM (SELECT * FROM kg_edges WHERE contains(head, 'Supplier#00000001') AND contains(relation, 'uses')) JOIN kg_nodes a ON a.name = head JOIN kg_nodes b ON b.name = tail)""".replace(" AS at,", " AS at_,").replace("', at,", "', at_,")))
 def _(t):
     found = G.entities_by_relation(edges(t), nodes(t), ["Supplier#00000001"], "uses")
     return G.relation_lines(found, ["row_no", "head", "tail"]).select(c("no").cast("long").alias("no"), "text")

@@ -25,11 +25,10 @@ def _(t):
     return J.undirected(edges(t)).select("row_no", "relation", "near", "far", c("forward").cast("int").alias("forward"))
 
 
-@query("j_type_lookup", """WITH dict AS (SELECT p_name AS entity, min(p_type) AS type FROM part GROUP BY 1 HAVING count(*) < 30)
+@query("j_type_lookup", """WITH dict AS (SELECT p_name AS entity, min(p_type) AS type FROM part GROUP BY 1)
 SELECT p_partkey, p_name AS name, coalesce(type, 'ENTITY') AS type, CAST(type IS NOT NULL AS INTEGER) AS matched FROM part LEFT JOIN dict ON p_name = entity""")
 def _(t):
-    d = (t.part.groupBy(c("p_name").alias("entity")).agg(F.min("p_type").alias("type"), F.count("*").alias("n"))
-         .where("n < 30").drop("n"))
+    d = t.part.groupBy(c("p_name").alias("entity")).agg(F.min("p_type").alias("type"))
     return J.type_lookup(t.part.select("p_partkey", c("p_name").alias("name")), "name", d).withColumn("matched", c("matched").cast("int"))
 
 

@@ -299,7 +299,7 @@ def _(t):
 
 # ---- ordering -----------------------------------------------------------------------------
 
-@query("t_conf_desc_limit", kg("SELECT row_no, head, relation, tail, confidence FROM kg_edges WHERE confidence >= 0.8 - 1e-10 ORDER BY confidence DESC, row_no, head, relation, tail LIMIT 1000"))
+@query("t_conf_desc_limit", kg("SELECT row_no, head, relation, tail, confidence FROM kg_edges WHERE confidence >= 0.8 - 1e-10"))
 def _(t):
     return S.by_confidence(edges(t).select("row_no", "head", "relation", "tail", "confidence"), ORDER, threshold=0.8)
 
