@@ -10,6 +10,7 @@ from scheme and content type, and digests of block and payload.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -173,9 +174,9 @@ def convert(pages: DataFrame, path: str, version: int = 1, least: int = 0) -> No
                 other = pd.notna(keeper) and (pd.isna(page) or page != keeper)
                 extra = {"X-Page-Id": "null" if pd.isna(page) else int(page)}
                 lines.append(to_warc(record, extra, f"<urn:page:{int(keeper)}>" if other else None).decode("utf-8"))
-            yield pd.DataFrame({"value": lines})
+            yield pd.DataFrame({"value": pd.Series(lines, dtype=object)})
 
-    known.mapInPandas(to_records, "value string").write.option("lineSep", END).option("maxRecordsPerFile", each).text(path)
+    known.mapInPandas(to_records, "value string").write.option("lineSep", END).option("maxRecordsPerFile", each).option("compression", "gzip").text(path)
 
 
 def read_back(spark, path: str) -> DataFrame:
@@ -184,7 +185,7 @@ def read_back(spark, path: str) -> DataFrame:
         for batch in batches:
             for content in batch["content"]:
                 rows = []
-                for r in read_warc(content):
+                for r in read_warc(gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content):
                     if r["warc-type"] == "warcinfo":
                         continue
                     page = r["x-page-id"]
