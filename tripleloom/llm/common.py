@@ -37,6 +37,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` under a key that Spark does not take for the one it is grouped by: a join on it deals both
+    sides anew, and adaptive execution may split a hub's partition, which it may not after a grouping."""
+    return df.withColumn("u", F.coalesce("u", F.lit(0).cast("long")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node reachable over undirected edges (a, b): rows (node, component).
 
@@ -49,10 +55,10 @@ def components(edges: DataFrame) -> DataFrame:
     stars, seen = staged(edges.where(F.col("a") != F.col("b")).select(u, v).distinct()), None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = dealt(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(dealt(low), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = staged(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
         mark = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
