@@ -148,8 +148,11 @@ def fit(docs: DataFrame, lang: Column, learn: Column, vocabulary: str = VOCABULA
     """
     path = vocabulary_path(vocabulary)
     ids = docs.where(learn & lang.isNotNull()).select("doc_id", lang.alias("lang"))
-    by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = ids.withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_language).select("doc_id").distinct()
+    share = ids.groupBy("lang").agg((F.lit(2.0 * per_language) / F.count(F.lit(1))).alias("share"))     # a row a language
+    at = F.xxhash64("doc_id")
+    by = Window.partitionBy("lang").orderBy(at, "doc_id")
+    low = ids.join(F.broadcast(share), "lang").where(at < F.col("share") * float(1 << 64) - float(1 << 63))
+    drawn = low.withColumn("r", F.row_number().over(by)).where(F.col("r") <= per_language).select("doc_id").distinct()
     texts = (docs.where(learn & lang.isNotNull()).select("doc_id", lang.alias("lang"), "text")
              .join(F.broadcast(drawn), "doc_id", "left_semi"))     # at most per_language rows a language
 
@@ -160,7 +163,8 @@ def fit(docs: DataFrame, lang: Column, learn: Column, vocabulary: str = VOCABULA
                 for text in part["text"]:
                     for w in LETTERS.findall((text or "").lower()):
                         found[w] = found.get(w, 0) + 1
-                yield pd.DataFrame({"lang": tag, "word": list(found), "n": list(found.values())})
+                if found:
+                    yield pd.DataFrame({"lang": tag, "word": pd.Series(list(found), dtype=object), "n": list(found.values())})
 
     counts = staged(texts.mapInPandas(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
@@ -212,7 +216,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
             post = np.exp(total - total.max())
             names.append(langs[int(total.argmax())])
             best.append(float(post.max() / post.sum()))
-        return pd.DataFrame({"lang_pred": names, "score": best})
+        return pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": best})
     return docs.withColumn("_p", of(F.col(text_col))).select(*docs.columns, "_p.lang_pred", "_p.score")
 
 
