@@ -52,8 +52,8 @@ def classifier(featured: DataFrame, labelled: DataFrame) -> dict:
     domains = sorted(counts["domain"].unique())
     table = np.full((CELLS, len(domains)), SMOOTH)
     table[counts["cell"], [domains.index(d) for d in counts["domain"]]] += counts["n"]
-    by_marker = table.reshape(-1, BINS, len(domains))
-    weights = np.log(by_marker / by_marker.sum(axis=1, keepdims=True)).reshape(CELLS, -1)
+    by_marker = table.reshape(len(MARKERS) + 1, BINS, len(domains))
+    weights = np.log(by_marker / by_marker.sum(axis=1, keepdims=True)).reshape(CELLS, len(domains))
     docs = by_marker[0].sum(axis=0) if domains else np.zeros(0)
     return {"domains": domains, "weights": weights, "prior": np.log(docs / docs.sum()) if domains else docs}
 

@@ -134,6 +134,8 @@ def shard_rows(phrases: DataFrame, repeated, length: int) -> DataFrame:
                         sent.add(name)
                 if len(sent) > FLUSH:
                     sent.clear()
+            if not out:
+                continue
             names = np.frombuffer(b"".join(r[3] for r in out), "<i8").reshape(-1, 2)
             yield pd.DataFrame({"id": [r[0] for r in out], "h": [r[1] for r in out], "j": [r[2] for r in out],
                                 "s1": names[:, 0], "s2": names[:, 1], "seq": [r[4] for r in out]})
@@ -371,7 +373,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
                 out.append((i, h, [{"start": int(x), "end": int(y)} for x, y in zip(edge[::2], edge[1::2])], int(gone.sum()),
                             len(edge) // 2, hashlib.sha256(kept).hexdigest()))
-            yield pd.DataFrame(out, columns=["id", "h", "spans", "n_removed", "n_spans", "kept_sha"])
+            if out:
+                yield pd.DataFrame(out, columns=["id", "h", "spans", "n_removed", "n_spans", "kept_sha"])
     removed = held.join(ends, ["id", "h"], "left").mapInPandas(
         finish, "id long, h long, spans array<struct<start: int, end: int>>, n_removed long, n_spans long, kept_sha string")
     removed = staged(removed.groupBy("id", "h").agg(*[F.max(c).alias(c) for c in ("spans", "n_removed", "n_spans", "kept_sha")]))
@@ -384,17 +387,18 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A span that begins or ends inside a character is narrowed to whole characters, so that the text
     stays text.  Rows with nothing to remove do not move."""
     _, removed = repeats(docs, id_col, text_col, length)
-    spans = removed.select(F.col("id").alias("_id"), F.col("h").alias("_h"), "spans")
-    hit = bits_of(spans.select(F.xxhash64("_id", "_h").alias("k")), "k")
+    spans = removed.select("id", "h", "spans")
+    hit = bits_of(spans.select(F.xxhash64("id", "h").alias("k")), "k")
     text = F.col(text_col).cast("string")
-    rows = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_h": F.xxhash64(text)})
-    rows = rows.withColumn("_k", F.xxhash64("_id", "_h")).withColumn("_may", marked_rows("_k", hit))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"),
+                       F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("h"))
+    rows = rows.withColumn("k", F.xxhash64("id", "h")).withColumn("may", marked_rows("k", hit))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans_: pd.Series) -> pd.Series:
-        return pd.Series([t if s is None else cut_text(t, s) for t, s in zip(texts, spans_)])
-    changed = rows.where("_may").join(spans, ["_id", "_h"], "left").withColumn(text_col, cut(text, F.col("spans")))
-    return rows.where("not _may").select(*docs.columns).unionByName(changed.select(*docs.columns))
+        return pd.Series([t if s is None else cut_text(t, s) for t, s in zip(texts, spans_)], dtype=object)
+    changed = rows.where("may").join(spans, ["id", "h"], "left").withColumn("row", F.col("row").withField(f"`{text_col}`", cut("text", "spans")))
+    return rows.where("not may").select("row.*").unionByName(changed.select("row.*"))
 
 
 def cut_text(text: str | None, spans) -> str | None:
