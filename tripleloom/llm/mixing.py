@@ -48,10 +48,11 @@ def classifier(featured: DataFrame, labelled: DataFrame) -> dict:
     Rows with a null domain or without a document are left out; what comes to the driver is a table
     of cells x domains."""
     seen = featured.select("doc_id", "f").join(labelled.where("domain is not null"), "doc_id")
-    counts = seen.select("domain", F.explode("f").alias("cell")).groupBy("domain", "cell").agg(F.count(F.lit(1)).alias("n")).toPandas()
-    domains = sorted(counts["domain"].unique())
+    counts = seen.select("domain", F.explode("f").alias("cell")).groupBy("domain", "cell").agg(F.count(F.lit(1)).alias("n")).collect()
+    domains = sorted({r["domain"] for r in counts})
     table = np.full((CELLS, len(domains)), SMOOTH)
-    table[counts["cell"], [domains.index(d) for d in counts["domain"]]] += counts["n"]
+    for r in counts:
+        table[r["cell"], domains.index(r["domain"])] += r["n"]
     by_marker = table.reshape(len(MARKERS) + 1, BINS, len(domains))
     weights = np.log(by_marker / by_marker.sum(axis=1, keepdims=True)).reshape(CELLS, len(domains))
     docs = by_marker[0].sum(axis=0) if domains else np.zeros(0)
@@ -140,12 +141,14 @@ def once(docs: DataFrame, **columns: Column) -> DataFrame:
 
 
 def mixed(docs: DataFrame, fitted: dict, id_col: str = "doc_id") -> DataFrame:
-    """The mixture: each row as many times as its copies say, columns as given.  No row moves."""
+    """The mixture: each row as many times as its copies say, columns as given, whatever their names.
+    No row moves."""
     if not fitted["steps"]:
         return docs
-    out = once(once(docs, _f=features(F.col("text"))), _p=posterior(F.col("_f"), fitted))
-    out = once(out, _rate=rate(F.col("_p"), fitted["steps"]))
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), drawn(F.col("_rate"), F.col(id_col))))).select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col("text").alias("text"))
+    out = once(once(rows, f=features(F.col("text"))), p=posterior(F.col("f"), fitted))
+    out = once(out, rate=rate(F.col("p"), fitted["steps"]))
+    return out.select("row", F.explode(F.array_repeat(F.lit(1), drawn(F.col("rate"), F.col("id"))))).select("row.*")
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
