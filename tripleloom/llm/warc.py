@@ -4,7 +4,7 @@ An ARC file starts with a ``filedesc://`` record whose second line names the ver
 have five header fields, version 2 ten, and both end with the length of what follows.  Fields are read
 from the right, so that blanks in old URLs do no harm, and the body is taken by its declared length.
 A WARC record gets an identifier that follows from its content, the timestamp in ISO form, a type
-from scheme and content type, and digests of block and payload.
+that follows from scheme and content type, and digests of block and payload.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ VERSION = "WARC/1.1"
 END = "\r\n\r\n"
 FILE_BYTES = 32 << 20      # wanted size of an archive file; a reader takes one whole
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 NAMES = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")      # the URL name space of RFC 4122
 
 
@@ -91,15 +92,23 @@ def stamp(date: str) -> str:
     return f"{full[:4]}-{full[4:6]}-{full[6:8]}T{full[8:10]}:{full[10:12]}:{full[12:14]}Z"
 
 
+def http_header(body: bytes) -> int:
+    """Bytes of the HTTP header that ``body`` starts with, with the empty line after it; 0 without one."""
+    return body.find(b"\r\n\r\n") + 4 if body.startswith(b"HTTP/") and b"\r\n\r\n" in body else 0
+
+
 def to_warc(record: dict, extra: dict | None = None, revisit_of: str | None = None) -> bytes:
     """The WARC record equivalent to an ARC record, without the two line ends that follow it.
 
-    Types: ``warcinfo`` for the file description, ``response`` for every other record, ``revisit`` with an empty block when ``revisit_of`` names an earlier record.  The
-    payload is the part after the HTTP header when the body starts with one, else the body."""
+    Types: ``warcinfo`` for the file description, ``resource`` for a name look-up (text/dns), ``response``
+    for every other record, and ``revisit``, whose block is the HTTP header alone, when ``revisit_of``
+    names another record.  The payload is the part after the HTTP header when the body starts with
+    one, else the body."""
     body = record["body"]
-    head = body.find(b"\r\n\r\n") + 4 if body.startswith(b"HTTP/") and b"\r\n\r\n" in body else 0
+    head = http_header(body)
     payload = body[head:]
-    kind = "warcinfo" if record["url"].startswith("filedesc://") else "revisit" if revisit_of is not None else "response"
+    kind = ("warcinfo" if record["url"].startswith("filedesc://") else "resource" if record["type"] == "text/dns"
+            else "revisit" if revisit_of is not None else "response")
     block = body[:head] if kind == "revisit" else body
     identity = " ".join([record["url"], record["date"], digest(body), *(f"{k}={v}" for k, v in (extra or {}).items())])
     lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMES, identity)}>", f"WARC-Date: {stamp(record['date'])}"]
@@ -152,8 +161,10 @@ def convert(pages: DataFrame, path: str, version: int = 1, least: int = 0) -> No
     Payloads of at least ``least`` bytes that are equal are stored once, in the record with the largest
     page_id (of rows that repeat that id, and of null ids when all are null, all are stored); the others
     become revisits of it.  Files hold so many records that an average one stays under FILE_BYTES and
-    none can pass 1 GiB unless one record does.  Null html is an empty payload, a null url is '-'.  Spark's text writer lays
-    down the records, so that a task which is run again leaves no double records.
+    none can pass 1 GiB unless one record does.  Every record is an HTTP response with the html as its
+    payload, also html that itself looks like a response.  Null html is an empty payload, a null url
+    is '-'.  Spark's text writer lays down the records, so that a task which is run again leaves no
+    double records.
     """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
@@ -169,7 +180,7 @@ def convert(pages: DataFrame, path: str, version: int = 1, least: int = 0) -> No
         for batch in batches:
             lines = []
             ids = batch["page_id"].astype("Int64")
-            arc = write_arc([{"url": u, "type": "text/html", "ip": "0.0.0.0", "body": h.encode("utf-8")} for u, h in zip(batch["url"], batch["html"])], version)
+            arc = write_arc([{"url": u, "type": "text/html", "ip": "0.0.0.0", "body": HTTP + h.encode("utf-8")} for u, h in zip(batch["url"], batch["html"])], version)
             for record, page, keeper in zip(list(read_arc(arc))[1:], ids, batch["keeper"].astype("Int64")):
                 other = pd.notna(keeper) and (pd.isna(page) or page != keeper)
                 extra = {"X-Page-Id": "null" if pd.isna(page) else int(page)}
@@ -190,10 +201,11 @@ def read_back(spark, path: str) -> DataFrame:
                         continue
                     page = r["x-page-id"]
                     revisit = r["warc-type"] == "revisit"
-                    stated, own = r["warc-payload-digest"].removeprefix("sha1:"), digest(r["block"])
+                    payload = r["block"][http_header(r["block"]):] if r["content-type"].startswith("application/http") else r["block"]
+                    stated, own = r["warc-payload-digest"].removeprefix("sha1:"), digest(payload)
                     if not revisit and own != stated:
                         raise BadArchive(f"page {page}: digest does not fit")
-                    rows.append((None if page == "null" else int(page), int(r["x-payload-length"]) if revisit else len(r["block"]), stated,
+                    rows.append((None if page == "null" else int(page), int(r["x-payload-length"]) if revisit else len(payload), stated,
                                  r["warc-type"], int(r["warc-refers-to"].removeprefix("<urn:page:").removesuffix(">")) if revisit else None))
                 yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype(
                     {"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
