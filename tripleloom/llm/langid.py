@@ -194,7 +194,8 @@ def fit(docs: DataFrame, lang: Column, learn: Column, vocabulary: str = VOCABULA
 def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred and score (the posterior under equal priors; equal posteriors: first by name).
 
-    Null text, text without a letter, and a model without languages give ``und`` and 0.
+    Null text, text without a letter, and a model without languages give ``und`` and 0.  Columns of
+    these two names are replaced.
     """
     langs, prob, path = model["langs"], model["prob"], model["path"]
 
@@ -217,7 +218,8 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
             names.append(langs[int(total.argmax())])
             best.append(float(post.max() / post.sum()))
         return pd.DataFrame({"lang_pred": pd.Series(names, dtype=object), "score": best})
-    return docs.withColumn("_p", of(F.col(text_col))).select(*docs.columns, "_p.lang_pred", "_p.score")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
+    return docs.select(*kept, of(F.col(text_col)).alias("_p")).select(*kept, "_p.lang_pred", "_p.score")
 
 
 def query(docs: DataFrame) -> DataFrame:
