@@ -209,6 +209,18 @@ def test_pages_with_edges(spark):
     assert warc.read_back(spark, path).where("record_type = 'revisit'").count() == 0
 
 
+def test_payload_that_looks_like_a_response(spark):
+    html = ["HTTP/1.1 200 OK\r\n\r\nbody", "HTTP/1.0 404", "\r\n\r\n", "HTTP/1.1 200 OK\r\n\r\nbody"]
+    df = spark.createDataFrame([(i, f"dns:{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.query(df).collect()}
+    assert got == {i: (len(h), warc.digest(h.encode()), "revisit" if i == 0 else "response", 3 if i == 0 else None) for i, h in enumerate(html)}
+
+
+def test_name_look_ups_are_resources():
+    arc = warc.write_arc([{"url": "dns:a.org", "type": "text/dns", "body": b"a.org. 300 IN A 1.2.3.4"}])
+    assert b"WARC-Type: resource" in warc.to_warc(list(warc.read_arc(arc))[1])
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_rows_as_sql(spark, duck, name):
     state, n, _, note = compare(spark, duck, name, queries.QUERIES[name], queries.SQL[name], "/root/testdata/sf0.001")

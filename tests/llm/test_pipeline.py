@@ -1,5 +1,7 @@
 """The stages in order: each works on what the one before kept, and its decisions take effect."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tripleloom.functions.session import staged
 from tripleloom.llm import mixing, simhash, suffix_dedup, toxicity
@@ -32,6 +34,16 @@ def test_stages(spark):
     assert ids(packed) == ids(mix)
 
 
+def test_stages_keep_other_columns_whatever_their_names(spark):
+    names = ["score", "predicted", "id", "fp", "h", "k", "b", "row", "may", "f", "p", "_f", "_p", "rate", "n", "word", "component"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = staged(stage(spark, docs, SF))
+        assert kept.columns == docs.columns and kept.count() > 0
+        assert kept.where(" or ".join(f"`{n}` <> concat('{n}', doc_id)" for n in names)).count() == 0
+        docs = kept
+
+
 def test_run_on_the_smallest_tables(spark):
     out = corpus_pipeline.run(spark, SF).collect()
     assert out and {"doc_id", "n_tokens", "bucket", "padded_tokens", "batch_id", "slot"} <= set(out[0].asDict())

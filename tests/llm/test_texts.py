@@ -139,6 +139,25 @@ def test_toxicity_edges(spark):
     assert toxicity.query(docs.limit(0), labels).count() == 0
 
 
+def test_tables_grow_with_the_words(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "LEAST_SLOTS", 4)
+    monkeypatch.setattr(toxicity, "MOST_SLOTS", 12)
+    counts = spark.range(1, 5000).select((F.col("id") * 7919).alias("word"), F.lit(1).cast("long").alias("n1"), F.lit(2).cast("long").alias("n0"))
+    few, some, many = (toxicity.fit(counts.limit(n))["tables"] for n in (3, 100, 4000))
+    assert few.shape == (2, 2, 16) and some.shape == (2, 2, 512) and many.shape == (2, 2, 4096)
+    assert (many.sum(axis=2) == [[8000, 8000], [4000, 4000]]).all()
+
+
+def test_names_that_clash_with_a_score(spark):
+    docs, labels = toxic_corpus(spark, 120)
+    clash = docs.withColumns({"score": F.lit("mine"), "predicted": F.lit(9), "lang_pred": F.lit("mine")})
+    out = toxicity.score(clash, toxicity.trained_on(clash, labels))
+    assert sorted(out.columns) == sorted(clash.columns) and dict(out.dtypes)["score"] == "double"
+    model = langid.fit(docs, F.lit("en"), F.lit(True))
+    said = langid.predict(clash, model)
+    assert sorted(said.columns) == sorted(clash.columns) and {r["lang_pred"] for r in said.collect()} == {"en"}
+
+
 # mixing ---------------------------------------------------------------------------------------------
 
 def test_rates_meet_targets(spark, docs):
