@@ -18,7 +18,8 @@ from tripleloom.llm.common import small_batches, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     trained = toxicity.trained_on(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, trained).where("predicted = 0").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")     # names may clash with the score's
+    return toxicity.score(rows, trained).where("predicted = 0").select("row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
