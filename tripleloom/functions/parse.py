@@ -64,8 +64,14 @@ def _kind(v: str) -> Column:
     return F.schema_of_variant(v)
 
 
+def malformed(answer: Column) -> Column:
+    """True for an answer that is null or no JSON object, which ``parse_ie_json`` gives no tuples for."""
+    return ~F.coalesce(F.schema_of_variant(F.try_parse_json(answer)).startswith("OBJECT"), F.lit(False))
+
+
 def parse_ie_json(df: DataFrame, answer: str, task: str, keep: Sequence[str]) -> DataFrame:
-    """Tuples of a model's JSON answer, one row each; members of a wrong type are skipped.
+    """Tuples of a model's JSON answer, one row each; members of a wrong type are skipped
+    (``malformed`` tells answers that are no object at all).
 
     NER: type, entity.  RE: relation, head, tail.  EE: type, trigger, argument, role (no
     argument: nulls).  EET: type, trigger.  KG: type, entity, attribute, value.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tripleloom.functions import constants as K
 from tripleloom.functions.skew import ranked, top_k
 from tripleloom.operators import aggregate as A
+from tripleloom.functions.session import staged
 from tripleloom.operators import clean as C
 from tripleloom.operators import joins as J
 from tripleloom.operators import select as S
@@ -267,10 +268,11 @@ def curate_report(edges: DataFrame) -> DataFrame:
 def expand(known: DataFrame, sentences: DataFrame, scorer, threshold: float = 0.5) -> DataFrame:
     """One expansion round: score sentences with a user scorer, keep what is new and sure, merge.
 
-    ``scorer`` maps batches of ``sentences`` to (sentence, head, relation, tail, confidence)
-    and receives each sentence's entities, so pairs are tried inside the batch and only
-    scored triples come out.
+    ``scorer`` maps batches of ``sentences``, with all their columns, to (sentence, head, relation, tail,
+    confidence); pairs are tried inside the batch and only scored triples come out.  ``known``, which
+    may itself come from a model, is written once and read twice.
     """
+    known = staged(known)
     scored = sentences.mapInPandas(scorer, "sentence string, head string, relation string, tail string, confidence double")
     sure = C.conf_filter(scored, threshold, ">")
     a, b = F.least("head", "tail").alias("_a"), F.greatest("head", "tail").alias("_b")

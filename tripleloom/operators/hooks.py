@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,25 +15,27 @@ TRIPLE_SCHEMA = ("sentence_id bigint, sentence string, head string, head_type st
                  "tail string, tail_type string, confidence double")
 
 
-def annotate(sentences: DataFrame, entity_fn: Callable[[str], list[dict]]) -> DataFrame:
-    """Entities of each sentence by a user function; sentences with fewer than two are dropped."""
+def annotate(sentences: DataFrame, entity_fn: Callable[[pd.Series], Iterable[list[dict]]]) -> DataFrame:
+    """Entities of each sentence by a user function that is given a batch of sentences and returns a list
+    of entities for each; sentences with fewer than two are dropped."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(entities=[entity_fn(s) for s in pdf["sentence"]])[["sentence_id", "sentence", "entities"]]
+            yield pdf.assign(entities=list(entity_fn(pdf["sentence"])))[["sentence_id", "sentence", "entities"]]
     found = sentences.select("sentence_id", "sentence").mapInPandas(run, ENTITY_SCHEMA)
     return found.where(F.size("entities") >= 2)
 
 
-def relate(annotated: DataFrame, relation_fn: Callable[[str, list[dict]], Iterator[tuple]], threshold: float = 0.5,
+def relate(annotated: DataFrame, relation_fn: Callable[[pd.Series, pd.Series], Iterable[Iterable[tuple]]], threshold: float = 0.5,
            none: str = "NA") -> DataFrame:
-    """Triples by a user function that walks the pairs of one sentence and yields
-    ``(i, j, relation, confidence)``; only confident ones leave the task."""
+    """Triples by a user function that is given a batch of sentences and of their entities, walks the pairs
+    inside each sentence and gives ``(i, j, relation, confidence)`` rows for each; only confident ones
+    leave the task."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for sid, sentence, entities in zip(pdf["sentence_id"], pdf["sentence"], pdf["entities"]):
-                ents = list(entities)
-                for i, j, rel, conf in relation_fn(sentence, ents):
+            entities = pdf["entities"].map(list)
+            for sid, sentence, ents, related in zip(pdf["sentence_id"], pdf["sentence"], entities, relation_fn(pdf["sentence"], entities)):
+                for i, j, rel, conf in related:
                     if conf > threshold and rel != none:
                         out.append((sid, sentence, ents[i]["text"], ents[i]["label"], rel, ents[j]["text"], ents[j]["label"], float(conf)))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in TRIPLE_SCHEMA.split(", ")])

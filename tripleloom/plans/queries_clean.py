@@ -189,7 +189,12 @@ def _(t):
     return out.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.length(X.strip(F.col("s")))).cast("long").alias("longest"))
 
 
-@query("pack_sentences")
+@query("pack_sentences", rf"""WITH RECURSIVE s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r, s FROM (
+  SELECT doc_id, i, trim(p, E' \n\t\r') AS s FROM (SELECT doc_id, unnest(a) AS p, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, string_split_regex(text, '[{X.SENTENCE_MARKS}]') AS a FROM documents))) WHERE s <> ''),
+ f AS (SELECT doc_id, CAST(0 AS BIGINT) AS r, '' AS cur, CAST(NULL AS VARCHAR) AS done FROM s WHERE r = 1
+  UNION ALL SELECT f.doc_id, s.r, CASE WHEN length(cur) + length(s) + 1 > 480 THEN concat(s, ' ') ELSE concat(cur, s, ' ') END, CASE WHEN length(cur) + length(s) + 1 > 480 THEN trim(cur) END FROM f JOIN s ON s.doc_id = f.doc_id AND s.r = f.r + 1),
+ x AS (SELECT doc_id, r, done AS chunk FROM f UNION ALL SELECT doc_id, max(r) + 1, trim(arg_max(cur, r)) FROM f GROUP BY 1)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY r) - 1 AS INTEGER) AS chunk_no, chunk, CAST(length(chunk) AS INTEGER) AS n_chars FROM x WHERE chunk <> ''""")
 def _(t):
     docs = t.documents.select("doc_id", F.filter(F.transform(X.split_dropping(F.col("text")), X.strip), lambda s: s != "").alias("s"))
     out = docs.select("doc_id", F.posexplode(X.pack_sentences(F.col("s"), 480)).alias("chunk_no", "chunk"))

@@ -111,7 +111,10 @@ def _(t):
     return _batch(t).withColumn("rank", c("rank").cast("long"))
 
 
-@query("g_context")
+@query("g_context", kg(f"""{CONTEXT}, e AS (SELECT near, rank, type, trim(description) AS description, trim(properties) AS properties, trim(time_complexity) AS time_complexity,
+  concat('{{"entity1":', to_json(head), ',"relation":', to_json(relation), ',"entity2":', to_json(tail), '}}') AS rel FROM r JOIN kg_nodes ON name = near WHERE rank <= 8)
+SELECT near AS topic, concat('{{"topic":', to_json(near), ',"attributes":{{', concat_ws(',', {', '.join(f"""'"{a}":' || to_json({a})""" for a in G.ATTRIBUTES)}), '}},"relations":[', string_agg(rel, ',' ORDER BY rank), ']}}') AS context
+FROM e GROUP BY near, type, description, properties, time_complexity"""))
 def _(t):
     return G.context_json(_batch(t))
 
@@ -229,34 +232,41 @@ def _(t):
 
 # ---- hooks with small stand-in models -------------------------------------------------------
 
-def capital_words(sentence: str) -> list[dict]:
-    return [{"text": m.group(), "label": "NAME", "start": m.start(), "end": m.end(), "confidence": 1.0} for m in re.finditer(r"\b[A-ZÉÈ]\w{3,}", sentence)]
+def capital_words(sentences):
+    return [[{"text": m.group(), "label": "NAME", "start": m.start(), "end": m.end(), "confidence": 1.0} for m in re.finditer(r"\b[A-ZÉÈ]\w{3,}", s)] for s in sentences]
 
 
-def neighbours(sentence: str, entities: list[dict]):
-    for i in range(len(entities) - 1):
-        gap = entities[i + 1]["start"] - entities[i]["end"]
-        yield i, i + 1, "near", 1.0 / (1 + gap / 40)
+def neighbours(sentences, entities):
+    return [[(i, i + 1, "near", 1.0 / (1 + (b["start"] - a["end"]) / 40)) for i, (a, b) in enumerate(zip(ents, ents[1:]))] for ents in entities]
 
 
 def _lines(t):
     return t.conversations.select((c("conv_id") * 100 + c("turn")).alias("sentence_id"), c("text").alias("sentence"))
 
 
-@query("g_extract_batch")
+# A word is a run of word characters; names are those that begin with a capital and have four characters or more.
+NEAR = r"""WITH p AS (SELECT sid, sentence, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM (SELECT conv_id * 100 + turn AS sid, text AS sentence, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS a FROM conversations)),
+ o AS (SELECT *, sum(length(w)) OVER (PARTITION BY sid ORDER BY i) AS e FROM p), n AS (SELECT sid, sentence, i, w, e, e - length(w) AS st FROM o WHERE regexp_matches(w, '^[A-ZÉÈ][\p{L}\p{N}_]{3,}')),
+ t AS (SELECT sid, sentence, w AS head, lead(w) OVER s AS tail, CAST(1 AS DOUBLE) / (1 + CAST(lead(st) OVER s - e AS DOUBLE) / 40) AS conf FROM n WINDOW s AS (PARTITION BY sid ORDER BY i)),
+ near AS (SELECT * FROM t WHERE tail IS NOT NULL AND conf > 0.5)"""
+
+
+@query("g_extract_batch", f"{NEAR} SELECT sid AS sentence_id, sentence, head, 'NAME' AS head_type, 'near' AS relation, tail, 'NAME' AS tail_type, round(conf, 6) AS confidence FROM near")
 def _(t):
     return H.extract(_lines(t), capital_words, neighbours).withColumn("confidence", F.round("confidence", 6))
 
 
-@query("g_iterate")
+@query("g_iterate", f"""{NEAR}, known AS (SELECT * FROM near WHERE conf > 0.9)
+SELECT md5(sentence) AS sentence_id, head, 'near' AS relation, tail, round(conf, 6) AS confidence, 0 AS is_new FROM known
+UNION ALL SELECT md5(sentence), head, 'near', tail, round(conf, 6), 1 FROM near a WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.sentence = a.sentence AND least(k.head, k.tail) = least(a.head, a.tail) AND greatest(k.head, k.tail) = greatest(a.head, a.tail))""")
 def _(t):
     def score(batches):
         import pandas as pd
         for pdf in batches:
             out = []
-            for s in pdf["sentence"]:
-                ents = capital_words(s)
-                out += [(s, ents[i]["text"], r, ents[j]["text"], conf) for i, j, r, conf in neighbours(s, ents)]
+            found = capital_words(pdf["sentence"])
+            for s, ents, related in zip(pdf["sentence"], found, neighbours(pdf["sentence"], found)):
+                out += [(s, ents[i]["text"], r, ents[j]["text"], conf) for i, j, r, conf in related]
             yield pd.DataFrame(out, columns=["sentence", "head", "relation", "tail", "confidence"])
     lines = _lines(t)
     known = H.extract(lines, capital_words, neighbours, threshold=0.9).select("sentence", "head", "relation", "tail", "confidence")

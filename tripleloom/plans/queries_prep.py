@@ -234,12 +234,19 @@ def _(t):
         rest.select("doc_id", F.lit(0).alias("found"), none.alias("head"), none.alias("tail")))
 
 
-@query("p_resolve_longest")
+@query("p_resolve_longest", r"""WITH RECURSIVE a AS (SELECT conv_id, turn, text, regexp_extract_all(text, '\p{L}+') AS w FROM conversations),
+ b AS (SELECT conv_id, turn, text, list_concat(w, list_transform(w, lambda x: substr(x, 1, 3))) AS v FROM (SELECT * REPLACE (list_filter(w, lambda x, j: list_position(w, x) = j) AS w) FROM a)),
+ e AS (SELECT conv_id, turn, x, min(i) AS i, any_value(strpos(text, x) - 1) AS st FROM (SELECT conv_id, turn, text, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM b) GROUP BY ALL),
+ s AS (SELECT conv_id, turn, x, st, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(x) DESC, i) AS r FROM e WHERE length(x) > 1 AND x NOT IN ('dans', 'nicht')),
+ f AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(x VARCHAR, st BIGINT)[]) AS k FROM conversations
+  UNION ALL SELECT f.conv_id, f.turn, s.r, CASE WHEN s.st >= 0 AND len(list_filter(k, lambda q: q.st >= 0 AND s.st + length(s.x) > q.st AND s.st < q.st + length(q.x))) > 0 THEN k
+   ELSE list_append(k, {'x': s.x, 'st': s.st}) END FROM f JOIN s ON s.conv_id = f.conv_id AND s.turn = f.turn AND s.r = f.r + 1)
+SELECT conv_id, turn, CAST(len(k) AS INTEGER) AS n, coalesce(array_to_string(list_transform(k, lambda q: q.x), '|'), '') AS longest FROM (SELECT conv_id, turn, arg_max(k, r) AS k FROM f GROUP BY 1, 2)""")
 def _(t):
     words = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
     cands = F.transform(F.array_union(F.array_distinct(words), F.transform(F.array_distinct(words), lambda w: F.substring(w, 1, 3))), lambda w: F.struct(w.alias("text"), (F.call_function("instr", c("text"), w) - 1).alias("start")))
     out = t.conversations.select("conv_id", "turn", P.resolve_longest(cands, ["dans", "nicht"]).alias("k"))
-    return out.select("conv_id", "turn", F.size("k").alias("n"), F.array_join(F.slice("k.text", 1, 5), "|").alias("longest"))
+    return out.select("conv_id", "turn", F.size("k").alias("n"), F.array_join("k.text", "|").alias("longest"))
 
 
 @query("p_candidates", r"""SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter(list_concat(CASE WHEN contains(text, 'sch') THEN ['sch'] ELSE [] END, regexp_extract_all(text, '(\p{L}+) (?:und|et|and|y) (\p{L}+)', 1), regexp_extract_all(text, '(\p{L}+) (?:und|et|and|y) (\p{L}+)', 2)), lambda x: x <> ''))), '|') AS names FROM conversations""")

@@ -91,9 +91,8 @@ def _(t):
     return out.where("p >= lead").select("conv_id", "turn", (c("p") - c("lead") + 1).cast("long").alias("nth"), c("e.text").alias("entity"), "e.type")
 
 
-@query("f_spans_to_bio", f"""WITH {TAGS}, s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS no, pos AS st, pos + 3 AS en FROM tags WHERE tag = 'I-LONG'),
- x AS (SELECT doc_id, unnest(range(st, en)) AS pos, st, no FROM s), l AS (SELECT doc_id, pos, arg_max(CASE WHEN pos = st THEN 'B-S' ELSE 'I-S' END, no) AS tag FROM x GROUP BY 1, 2)
-SELECT tags.doc_id, CAST(tags.pos AS BIGINT) AS pos, coalesce(l.tag, 'O') AS tag FROM tags LEFT JOIN l ON l.doc_id = tags.doc_id AND l.pos = tags.pos""")
+@query("f_spans_to_bio", f"""WITH {TAGS} SELECT doc_id, CAST(pos AS BIGINT) AS pos, CASE WHEN tag = 'I-LONG' THEN 'B-S'
+ WHEN 'I-LONG' IN (lag(tag, 1, 'O') OVER (PARTITION BY doc_id ORDER BY pos), lag(tag, 2, 'O') OVER (PARTITION BY doc_id ORDER BY pos)) THEN 'I-S' ELSE 'O' END AS tag FROM tags""")
 def _(t):
     toks = _tags(t).select("doc_id", F.posexplode("tags").alias("pos", "t"))
     spans = toks.where("t = 'I-LONG'").select("doc_id", c("pos").alias("no"), c("pos").alias("start"), (c("pos") + 3).alias("end"), F.lit("S").alias("type"))
@@ -164,10 +163,12 @@ def _(t):
     return P.tokens_to_ids(tokens, A.vocab(words, ["item_id", "pos"])).select("doc_id", L(c("pos")).alias("pos"), L(c("id")).alias("id"))
 
 
-@query("f_tokenize_basic")
+@query("f_tokenize_basic", r"""WITH w AS (SELECT doc_id, strip_accents(lower(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\p{Cf}]|\x{FFFD}', '', 'g'), '([\p{Han}\p{P}$+<=>^`|~])', ' \1 ', 'g'))) AS s FROM documents),
+ t AS (SELECT doc_id, list_filter(string_split_regex(s, '\s+'), lambda x: x <> '') AS t FROM w)
+SELECT doc_id, CAST(len(t) AS INTEGER) AS n, CAST(len(list_distinct(t)) AS INTEGER) AS distinct_n, md5(coalesce(array_to_string(t, ' '), '')) AS tokens_md5 FROM t""")
 def _(t):
     toks = t.documents.select("doc_id", P.tokenize_basic(c("text")).alias("t"))
-    return toks.select("doc_id", F.size("t").alias("n"), F.array_distinct("t").alias("u")).select("doc_id", "n", F.size("u").alias("distinct_n"))
+    return toks.select("doc_id", F.size("t").alias("n"), F.array_distinct("t").alias("u"), F.md5(F.array_join("t", " ")).alias("tokens_md5")).select("doc_id", "n", F.size("u").alias("distinct_n"), "tokens_md5")
 
 
 @query("f_word_pairs", f"""WITH {TAGS}, s AS (SELECT doc_id, pos FROM tags WHERE tag = 'I-LONG')
@@ -241,6 +242,13 @@ def _(t):
     return t.part.select("p_partkey", F.array_join(P.parse_entity_json(text), "|").alias("names"))
 
 
+@query("f_parse_malformed", """SELECT p_partkey, CAST(p_size % 5 IN (0, 1) AS INTEGER) AS malformed FROM part""")
+def _(t):
+    s, fine = c("p_size") % 5, F.concat(F.lit('{"names": ["'), c("p_name"), F.lit('"]}'))
+    answer = F.when(s == 0, F.lit('{"broken": [')).when(s == 1, F.concat(F.lit('["'), c("p_name"), F.lit('"]'))).when(s == 2, F.lit("{}")).otherwise(fine)
+    return t.part.select("p_partkey", P.malformed(answer).cast("int").alias("malformed"))
+
+
 @query("f_parse_ie_json", """SELECT p_partkey, 'NER' AS task, p_type AS a, p_name AS b, NULL AS c, NULL AS d FROM part WHERE p_size % 5 <> 0 UNION ALL SELECT p_partkey, 'NER', p_type, p_brand, NULL, NULL FROM part WHERE p_size % 5 <> 0
  UNION ALL SELECT p_partkey, 'RE', 'uses', p_name, p_brand, NULL FROM part WHERE p_size % 5 <> 0
  UNION ALL SELECT p_partkey, 'EE', p_type, p_name, 'buyer', p_brand FROM part WHERE p_size % 5 <> 0 UNION ALL SELECT p_partkey, 'EE', p_type, p_name, 'place', 'here' FROM part WHERE p_size % 5 <> 0
