@@ -126,15 +126,22 @@ def marker_tokens(tokens: Column, subj: Column, obj: Column, subj_type: Column,
     return let(v, widen)
 
 
+def places(length: Column) -> Column:
+    """0 to length - 1; empty for 0."""
+    return F.slice(F.sequence(F.lit(0), F.greatest(length - 1, F.lit(0))), F.lit(1), length)
+
+
 def rel_positions(length: Column, at: Column, limit: int) -> Column:
     """Clipped relative positions of 0..length-1 to ``at``, shifted to 1..2*limit+1."""
     return let(F.struct(length.alias("n"), at.alias("p")), lambda v: F.transform(
-        F.sequence(F.lit(0), v["n"] - 1), lambda i: F.greatest(F.lit(-limit), F.least(F.lit(limit), i - v["p"])) + limit + 1))
+        places(v["n"]), lambda i: F.greatest(F.lit(-limit), F.least(F.lit(limit), i - v["p"])) + limit + 1))
 
 
 def segments3(length: Column, first: Column, second: Column) -> Column:
-    """1 up to the first entity, 2 between, 3 from the second on."""
-    return F.concat(F.array_repeat(F.lit(1), first + 1), F.array_repeat(F.lit(2), second - first - 1), F.array_repeat(F.lit(3), length - second))
+    """1 up to the first entity, 2 between, 3 from the second on; a text may end before either, and the
+    second may come first."""
+    return let(F.struct(length.alias("n"), first.alias("a"), second.alias("b")), lambda v: F.transform(
+        places(v["n"]), lambda i: F.when(i <= v["a"], 1).when(i < v["b"], 2).otherwise(3)))
 
 
 def word_pairs(spans: Column) -> Column:

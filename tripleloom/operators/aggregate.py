@@ -31,8 +31,9 @@ def weight_hist(df: DataFrame, weight: str) -> DataFrame:
 def context_coverage(edges: DataFrame) -> DataFrame:
     """Edges per relation, edges with a context sentence, and the share of all edges that have one."""
     has = F.count_if(F.col("sentence").isNotNull())
-    total = edges.agg(F.round(F.coalesce(F.try_divide(has, rows()), F.lit(0.0)), 6)).scalar()
-    return edges.groupBy("relation").agg(rows().alias("edges"), has.alias("with_context")).withColumn("graph_ratio", total)
+    per = edges.groupBy("relation").agg(rows().alias("edges"), has.alias("with_context"))
+    total = per.agg(F.round(F.coalesce(F.try_divide(F.sum("with_context"), F.sum("edges")), F.lit(0.0)), 6)).scalar()
+    return per.withColumn("graph_ratio", total)
 
 
 def attribute_fill(nodes: DataFrame, attributes: Sequence[str]) -> DataFrame:
@@ -70,14 +71,15 @@ def extract_stats(triples: DataFrame) -> DataFrame:
 
 
 def class_dist(df: DataFrame, label: str) -> DataFrame:
-    total = df.agg(rows()).scalar()
-    return value_counts(df, label).withColumn("ratio", F.col("n") / total)
+    counts = value_counts(df, label)
+    return counts.withColumn("ratio", F.col("n") / counts.agg(F.sum("n")).scalar())
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weight n / (classes * n_c) and inverse weight n / n_c."""
-    total, classes = df.agg(rows()).scalar(), df.agg(F.count_distinct(label)).scalar()
-    return value_counts(df, label).select(label, "n", (total / (classes * F.col("n"))).alias("balanced"),
+    counts = value_counts(df, label)
+    total, classes = counts.agg(F.sum("n")).scalar(), counts.agg(F.count(label)).scalar()
+    return counts.select(label, "n", (total / (classes * F.col("n"))).alias("balanced"),
                                           (total / F.col("n")).alias("inverse"))
 
 

@@ -121,14 +121,14 @@ def _(t):
 
 
 @query("align_tokens", r"""WITH d AS (SELECT doc_id, regexp_split_to_array(text, '\s+') AS toks FROM documents),
- m AS (SELECT doc_id, toks, [toks[2], toks[3]] AS head, [toks[len(toks) - 1]] AS tail FROM d WHERE len(toks) >= 4),
+ m AS (SELECT doc_id, toks, toks[2:3] AS head, [toks[len(toks) - 1]] AS tail FROM d WHERE len(toks) >= 2),
  x AS (SELECT doc_id, toks, head, tail,
-   list_filter(range(1, len(toks)), lambda i: toks[i] = head[1] AND toks[i + 1] = head[2]) AS h,
+   list_filter(range(1, len(toks) + 1), lambda i: toks[i] = head[1] AND (len(head) = 1 OR toks[i + 1] = head[2])) AS h,
    list_position(toks, tail[1]) AS tp FROM m)
 SELECT doc_id, array_to_string(head, ' ') AS head, array_to_string(tail, ' ') AS tail, CAST(h[1] - 1 AS BIGINT) AS head_start,
-  CAST(h[1] AS BIGINT) AS head_end, CAST(tp - 1 AS BIGINT) AS tail_start, CAST(tp - 1 AS BIGINT) AS tail_end FROM x""")
+  CAST(h[1] + len(head) - 2 AS BIGINT) AS head_end, CAST(tp - 1 AS BIGINT) AS tail_start, CAST(tp - 1 AS BIGINT) AS tail_end FROM x""")
 def _(t):
-    toks = t.documents.select("doc_id", F.split("text", r"\s+").alias("toks")).where(F.size("toks") >= 4)
+    toks = t.documents.select("doc_id", F.split("text", r"\s+").alias("toks"))
     mentions = toks.select("doc_id", "toks", F.slice("toks", 2, 2).alias("h"),
                            F.array(F.get("toks", F.size("toks") - 2)).alias("tl"))
     out = X.align_tokens(mentions, "toks", "h", "tl")

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from tripleloom.functions import constants as K
+from tripleloom.functions.session import staged
 from tripleloom.operators import aggregate as A
 from tripleloom.operators import clean as C
 from tripleloom.operators import graph as G
@@ -94,16 +95,12 @@ SCORE = """CASE WHEN head = near THEN 3 WHEN contains(head, near) THEN 2 ELSE 0
 WORDS = ["appl", "impl"]
 
 
-def _topics(t):
-    return nodes(t).where("type in ('Algorithm', 'ApplicationScenario')")
-
-
 def _batch(t):
-    return G.context_batch(edges(t), nodes(t), _topics(t), words=WORDS)
+    return G.context_batch(edges(t), nodes(t), nodes(t), words=WORDS)
 
 
 CONTEXT = f"""{SEEN}, r AS (SELECT near, head, relation, tail, CAST({SCORE} AS INTEGER) AS score, row_number() OVER (PARTITION BY near ORDER BY {SCORE} DESC, row_no, head, relation, tail) AS rank FROM seen
- WHERE near IN (SELECT name FROM kg_nodes WHERE type IN ('Algorithm', 'ApplicationScenario')))"""
+ WHERE near IN (SELECT name FROM kg_nodes))"""
 
 
 @query("g_context_batch", kg(f"""{CONTEXT} SELECT near AS topic, rank, score, head, relation, tail, type, description, properties, time_complexity FROM r JOIN kg_nodes ON name = near WHERE rank <= 8"""))
@@ -137,9 +134,9 @@ def _(t):
 
 
 @query("f_pick_attrs", kg(f"""{SEEN} SELECT near AS topic, any_value(type) AS type, any_value(nullif(trim(description), '')) AS description, any_value(nullif(trim(properties), '')) AS properties
- FROM seen JOIN kg_nodes ON name = near WHERE type IN ('Algorithm', 'ApplicationScenario') GROUP BY 1"""))
+ FROM seen JOIN kg_nodes ON name = near GROUP BY 1"""))
 def _(t):
-    seen = J.undirected(edges(t).select(*ORDER)).join(_topics(t).withColumnRenamed("name", "near"), "near")
+    seen = J.undirected(edges(t).select(*ORDER)).join(nodes(t).withColumnRenamed("name", "near"), "near")
     return G.pick_attributes(seen, "near", ORDER, ["type", "description", "properties"]).withColumnRenamed("near", "topic")
 
 
@@ -227,7 +224,7 @@ def _(t):
 SELECT (SELECT count(*) FROM kg_edges) - count(*) AS deleted, count(*) FILTER (WHERE renamed) AS renamed, count(*) FILTER (WHERE sentence IS NULL) AS filled, count(*) AS edges,
  (SELECT count(DISTINCT name) FROM d WHERE d > 15) AS hubs, (SELECT count(*) FROM d WHERE d > 15 AND n > 10 AND CAST(n AS DOUBLE) / d > 0.7) AS flagged FROM fixed"""))
 def _(t):
-    return G.curate_report(edges(t))
+    return G.curate_report(staged(edges(t)))
 
 
 # ---- hooks with small stand-in models -------------------------------------------------------

@@ -80,14 +80,14 @@ def _(t):
     return t.documents.select("doc_id", "lang", "n_chars").join(t.labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
 
 
-@query("j_distant_label", kg(""", known AS (SELECT lower(upper(head)) AS h, lower(tail) AS tl, first(relation ORDER BY row_no, relation) AS relation FROM kg_raw WHERE head_type = 'Algorithm' GROUP BY 1, 2)
+@query("j_distant_label", kg(""", known AS (SELECT lower(upper(head)) AS h, lower(tail) AS tl, first(relation ORDER BY row_no, relation) AS relation FROM kg_raw GROUP BY 1, 2)
 SELECT l_orderkey, l_linenumber, l_partkey, concat('supplier#', lpad(CAST(l_suppkey AS VARCHAR), 9, '0')) AS head,
  concat('PART#', CAST((l_partkey * 7) % 2500 AS VARCHAR)) AS tail, coalesce(relation, 'None') AS relation
 FROM lineitem LEFT JOIN known ON h = concat('supplier#', lpad(CAST(l_suppkey AS VARCHAR), 9, '0')) AND tl = concat('part#', CAST((l_partkey * 7) % 2500 AS VARCHAR))"""))
 def _(t):
     samples = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("supplier#"), F.lpad(c("l_suppkey").cast("string"), 9, "0")).alias("head"),
                                 F.concat(F.lit("PART#"), (c("l_partkey") * 7 % 2500).cast("string")).alias("tail"))
-    known = raw_triples(t).where("head_type = 'Algorithm'").withColumn("head", F.upper("head"))
+    known = raw_triples(t).withColumn("head", F.upper("head"))
     return J.distant_label(samples, known, ["row_no", "relation"])
 
 

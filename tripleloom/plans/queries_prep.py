@@ -136,7 +136,7 @@ def _relations(t):
                       _type(F.get(c("ws"), i)).alias("head_type"), _type(w).alias("tail_type")))
     ws = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z]\p{L}{3,}"), F.lit(0)))
     conv = t.conversations.select((c("conv_id") * 100 + c("turn")).alias("doc_id"), "text", ws.alias("ws"))
-    return conv.where(F.size("ws") >= 2).select("doc_id", "text", "ws", rel.alias("rels"))
+    return conv.select("doc_id", "text", "ws", rel.alias("rels"))
 
 
 @query("p_answers_tasks")
@@ -236,8 +236,8 @@ def _(t):
 
 @query("p_resolve_longest", r"""WITH RECURSIVE a AS (SELECT conv_id, turn, text, regexp_extract_all(text, '\p{L}+') AS w FROM conversations),
  b AS (SELECT conv_id, turn, text, list_concat(w, list_transform(w, lambda x: substr(x, 1, 3))) AS v FROM (SELECT * REPLACE (list_filter(w, lambda x, j: list_position(w, x) = j) AS w) FROM a)),
- e AS (SELECT conv_id, turn, x, min(i) AS i, any_value(strpos(text, x) - 1) AS st FROM (SELECT conv_id, turn, text, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM b) GROUP BY ALL),
- s AS (SELECT conv_id, turn, x, st, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(x) DESC, i) AS r FROM e WHERE length(x) > 1 AND x NOT IN ('dans', 'nicht')),
+ e AS (SELECT conv_id, turn, x, min(i) AS i, any_value(strpos(text, x) - 1) AS st FROM (SELECT conv_id, turn, text, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM b) GROUP BY 1, 2, 3),
+ s AS MATERIALIZED (SELECT conv_id, turn, x, st, row_number() OVER (PARTITION BY conv_id, turn ORDER BY length(x) DESC, i) AS r FROM e WHERE length(x) > 1 AND x NOT IN ('dans', 'nicht')),
  f AS (SELECT conv_id, turn, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(x VARCHAR, st BIGINT)[]) AS k FROM conversations
   UNION ALL SELECT f.conv_id, f.turn, s.r, CASE WHEN s.st >= 0 AND len(list_filter(k, lambda q: q.st >= 0 AND s.st + length(s.x) > q.st AND s.st < q.st + length(q.x))) > 0 THEN k
    ELSE list_append(k, {'x': s.x, 'st': s.st}) END FROM f JOIN s ON s.conv_id = f.conv_id AND s.turn = f.turn AND s.r = f.r + 1)

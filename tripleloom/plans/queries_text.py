@@ -133,10 +133,10 @@ def _(t):
 
 
 @query("f_marker_tokens", """WITH d AS (SELECT doc_id, lang, string_split(text, ' ') AS tk FROM documents)
-SELECT doc_id, md5(array_to_string(list_concat(tk[1:1], ['[SUBJ_START=' || lang || ']'], tk[2:3], ['[SUBJ_END=' || lang || ']'], tk[4:len(tk) - 2], ['[OBJ_START=END]', tk[len(tk) - 1], '[OBJ_END=END]'], tk[len(tk):]), ' ')) AS marked,
- CAST(len(tk) + 4 AS BIGINT) AS n FROM d WHERE len(tk) >= 8""")
+SELECT doc_id, md5(array_to_string(m, ' ')) AS marked, CAST(len(m) AS BIGINT) AS n FROM (SELECT doc_id, flatten(list_transform(range(0, len(tk)), lambda i: list_filter([CASE WHEN i = 1 THEN '[SUBJ_START=' || lang || ']' END,
+ CASE WHEN i = len(tk) - 2 THEN '[OBJ_START=END]' END, tk[i + 1], CASE WHEN i = 2 THEN '[SUBJ_END=' || lang || ']' END, CASE WHEN i = len(tk) - 2 THEN '[OBJ_END=END]' END], lambda x: x IS NOT NULL))) AS m FROM d)""")
 def _(t):
-    d = t.documents.select("doc_id", "lang", F.split("text", " ").alias("tk")).where(F.size("tk") >= 8)
+    d = t.documents.select("doc_id", "lang", F.split("text", " ").alias("tk"))
     span = lambda a, b: F.struct(a.alias("start"), b.alias("end"))
     m = G.marker_tokens(c("tk"), span(F.lit(1), F.lit(2)), span(F.size("tk") - 2, F.size("tk") - 2), c("lang"), F.lit("END"))
     return d.select("doc_id", m.alias("m")).select("doc_id", F.md5(F.array_join("m", " ")).alias("marked"), L(F.size("m")).alias("n"))
@@ -148,9 +148,9 @@ def _(t):
     return d.select("doc_id", L(c("n")).alias("n"), F.md5(F.array_join(G.rel_positions(c("n"), F.lit(3), 30).cast("array<string>"), ",")).alias("pos_id"))
 
 
-@query("f_segments3", """SELECT doc_id, md5(array_to_string(list_transform(range(0, n), lambda i: CASE WHEN i <= 1 THEN 1 WHEN i < n // 2 THEN 2 ELSE 3 END), '')) AS mask FROM (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents) WHERE n >= 8""")
+@query("f_segments3", """SELECT doc_id, md5(array_to_string(list_transform(range(0, n), lambda i: CASE WHEN i <= 1 THEN 1 WHEN i < n // 2 THEN 2 ELSE 3 END), '')) AS mask FROM (SELECT doc_id, len(string_split(text, ' ')) AS n FROM documents)""")
 def _(t):
-    d = t.documents.select("doc_id", F.size(F.split("text", " ")).alias("n")).where("n >= 8")
+    d = t.documents.select("doc_id", F.size(F.split("text", " ")).alias("n"))
     return d.select("doc_id", F.md5(F.array_join(G.segments3(c("n"), F.lit(1), F.floor(c("n") / 2).cast("int")).cast("array<string>"), "")).alias("mask"))
 
 
