@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -170,6 +171,22 @@ def test_topk_of_large_numbers(spark):
     assert got[50, 1] == (s[0][1], -s[0][0]) and got[50, 5] == (s[4][1], -s[4][0])
 
 
+@pytest.mark.parametrize("equal", [0, 3000])
+def test_topk_reads_large_blocks_to_their_end(equal):
+    rnd = np.random.default_rng(4)
+    x = rnd.integers(-300, 300, size=(topk.DEPTHS[-1] + 900, 4))
+    x[:equal] = x[0]
+    x[-1] = 0           # as a query, equal scores everywhere
+    ids = rnd.permutation(len(x))
+    block = pd.DataFrame({"vec_id": ids, "v": list(x)})
+    asked = [0, len(x) - 2, len(x) - 1]
+    got = topk.best_pairs(block, block.iloc[asked], 5)
+    for at in asked:
+        best = sorted((-int(x[at] @ x[c]), int(ids[c])) for c in range(len(x)) if c != at)[:5]
+        mine = got[got["query_id"] == ids[at]]
+        assert list(zip(-mine["score"], mine["vec_id"])) == best
+
+
 # archives -------------------------------------------------------------------------------------------
 
 def test_arc_round_trip():

@@ -23,7 +23,7 @@ from tripleloom.functions.skew import top_k
 
 CANDIDATES = 4096        # rows of a block of sorted lists
 QUERIES = 1024
-DEPTHS = (64, 256, 1024, 4096)      # entries of each list read before the bounds are looked at again
+DEPTHS = (64, 256, 1024, 4096)      # entries of each list read before the bounds are looked at again; then the lists to their end
 FEW = 4                  # times k candidates left: resolve
 
 
@@ -38,8 +38,8 @@ def nearest(lists: "Lists", queries: np.ndarray, own: np.ndarray, k: int):
     """For each query (rows of ``queries``) the candidates that can be among its k best, with scores."""
     n, plus, minus = len(lists.x), np.maximum(queries, 0), np.minimum(queries, 0)
     left = np.arange(len(queries))
-    for depth in DEPTHS:
-        end = depth >= n
+    for depth in (*(d for d in DEPTHS if d < n), n):
+        end = depth == n
         top, bottom = lists.seen(depth)
         lower = plus[left] @ np.where(top, lists.x, 0).T + minus[left] @ np.where(bottom, lists.x, 0).T
         if end:
