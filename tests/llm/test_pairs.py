@@ -105,6 +105,16 @@ def test_simhash_edges(spark):
     assert simhash.query(df.limit(0)).count() == 0 and simhash.keep_one(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_group_stays_whatever_its_ids(spark):
+    one, two, three, four = ("a b c d e", "f g h i j", "k l m n o", "p q r s t")
+    rows = [(5, one), (5, two), (3, one.upper()), (None, three), (None, three), (None, four), (None, two), (8, four), (9, None), (None, ""), (None, "x y z"), (5, "u v w"), (5, "u v w")]
+    prints = [plain_fingerprint(t) for _, t in rows]
+    groups = closure(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3])
+    want = [min((rows[i][0] is None, rows[i][0] or 0, (rows[i][1] or "").lower()) for i in range(len(rows)) if groups[i] == g) for g in set(groups)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, (r["text"] or "").lower()) for r in kept) == sorted(want) and len(want) == 7
+
+
 # vectors --------------------------------------------------------------------------------------------
 
 def test_pruned_products_lose_nothing():

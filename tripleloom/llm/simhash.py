@@ -124,23 +124,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Only ``id_col`` and ``text_col`` are read, so other columns never clash.
     """
     each = staged(fingerprints(docs, id_col, text_col, width))
+    return each.join(rooted(each, radius), "fp").select("id", "fp", "component")
+
+
+def rooted(each: DataFrame, radius: int = 3) -> DataFrame:
+    """(fp, component): of every fingerprint in ``each`` (id, fp) the smallest id of its component."""
     distinct = staged(each.groupBy("fp").agg(F.min("id").alias("first")))
     linked = components(links(distinct, radius))
     root = (distinct.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
             .select("fp", "first", F.coalesce("component", "fp").alias("root")))
     least = root.groupBy("root").agg(F.min("first").alias("component"))
-    return each.join(root.select("fp", "root").join(least, "root").drop("root"), "fp").select("id", "fp", "component")
+    return root.select("fp", "root").join(least, "root").drop("root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest id, all columns as given.
+    """One row of each component, all columns as given: the one with the smallest id, null after all others.
 
-    Rows that repeat an id become one (the smallest by content hash); null ids count as one id that is
-    kept only when its whole component has no other.
+    Rows that repeat an id, null included, are rows of their own: each counts in the component of its
+    text.  Among rows of one id in one component hashes of text and content choose.
     """
-    found = near_duplicates(docs, id_col, text_col, width, radius)
-    stays = found.where(F.col("id").eqNullSafe(F.col("component"))).select(F.struct("id").alias("_key")).distinct()
-    first = top_k(docs.withColumn("_key", F.struct(F.col(id_col).alias("id"))), ["_key"], [F.xxhash64(*docs.columns)], 1, "_first")
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),       # equal keys: equal texts, one component
+                   F.xxhash64(text_col).alias("h"), F.xxhash64(F.lit(SEED), text_col).alias("g"))
+    each = staged(fingerprints(docs.select(key.alias("id"), F.col(text_col).alias("text")), "id", "text", width))
+    stays = rooted(each, radius).select(F.col("component").alias("_key")).distinct()
+    first = top_k(docs.withColumn("_key", key), ["_key"], [F.xxhash64(*docs.columns)], 1, "_first")
     return first.join(stays, "_key", "left_semi").select(*docs.columns)
 
 
