@@ -128,6 +128,15 @@ def test_counts_are_of_contexts(spark):
     assert got[ids["b"]] == (1, 2) and got[ids["a"]] == (1, 1) and got[ids["x"]] == (0, 1)
 
 
+@pytest.mark.parametrize("flush", [7, 1_000_000])
+def test_counts_do_not_switch_with_size(spark, monkeypatch, flush):
+    monkeypatch.setattr(toxicity, "FLUSH", flush)
+    rows = [(f"b{i} hot a{i}", 0) for i in range(700)] * 2 + [(f"b{i} hot a{i}", 1) for i in range(200)] * 3
+    got = {r["word"]: (r["n1"], r["n0"]) for r in toxicity.word_counts(spark.createDataFrame(rows, "text string, label int")).collect()}
+    assert got[int(toxicity.word_ids("hot")[0].view(np.int64))] == (200, 700)
+    assert got[int(toxicity.word_ids("b5")[0].view(np.int64))] == (1, 1) and len(got) == 1401
+
+
 def test_toxicity_edges(spark):
     docs, labels = toxic_corpus(spark, 200)
     labels = labels.unionByName(spark.createDataFrame([(None, 1), (1, None), (2, 7), (5, 1), (999, 1)], "doc_id long, toxic int"))
