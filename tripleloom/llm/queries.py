@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tripleloom.functions.session import configure
-from tripleloom.llm import alignment, langid, mixing, packing, simhash, suffix_dedup, tokens, topk, toxicity, vector_dedup, warc, whitening
+from tripleloom.llm import alignment, langid, mixing, packing, personal, simhash, suffix_dedup, tokens, topk, toxicity, vector_dedup, warc, whitening
 from tripleloom.llm.common import small_batches, table
 
 
@@ -28,6 +28,7 @@ QUERIES = {
     "op10_simhash": over(simhash.query, "documents"),
     "op11_alignment": over(alignment.query, "documents"),
     "op12_whitening": over(whitening.query, "embeddings"),
+    "op13_personal": over(personal.query, "documents"),
 }
 
 SQL = {"op4_vector_dedup": vector_dedup.ORACLE, "op7_warc": warc.ORACLE, "op9_topk": topk.ORACLE}
