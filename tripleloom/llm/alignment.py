@@ -32,7 +32,7 @@ from tripleloom.llm.tokens import PLAIN, byte_letters, vocabulary_path
 
 A_NAME, B_NAME = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PIECE = 1 << 15          # ends that one piece merges
-BLOCK_BYTES = 8 << 20    # text of a block, unless a single text has more
+BLOCK_BYTES = 2 << 20    # text of a block, unless a single text has more
 LONGEST_RUN = 10_000     # longest run without a break that the faster library is given
 SPREAD = 1 << 32         # a pair (a, b) is the number a * SPREAD + b
 BLANK = "▁"              # stands for a blank in pieces
@@ -82,9 +82,11 @@ class Tokenizers:
         if not text:
             return [], []
         line = " " + text
-        whole, a, b = line.encode(), self.a_ids(line), self.b.encode(text)
-        same = b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole
-        return (a, b) if same else ([], [])
+        whole, b = line.encode(), self.b.encode(text)
+        if b"".join(map(self.b_bytes.__getitem__, b)) != whole:
+            return [], []
+        a = self.a_ids(line)
+        return (a, b) if b"".join(map(self.a_bytes.__getitem__, a)) == whole else ([], [])
 
 
 def _long_run():
@@ -140,8 +142,8 @@ class Aligned:
     """Texts of one block side by side: tokens, links and groups of all, and where each text's begin."""
 
     def __init__(self, texts: list, tools: Tokenizers, a_lengths: np.ndarray, b_lengths: np.ndarray):
-        ids = [tools.encode(t) for t in texts]
-        self.a, self.b = (np.fromiter((x for pair in ids for x in pair[k]), np.int64, sum(len(pair[k]) for pair in ids)) for k in (0, 1))
+        ids = [tuple(np.array(side, np.int32) for side in tools.encode(t)) for t in texts]
+        self.a, self.b = (np.concatenate([pair[k] for pair in ids] or [np.zeros(0, np.int32)]).astype(np.int64) for k in (0, 1))
         self.a_from, self.b_from = (np.concatenate([[0], np.cumsum([len(pair[k]) for pair in ids])]).astype(np.int64) for k in (0, 1))
         self.a_ends, self.b_ends = np.cumsum(a_lengths[self.a]), np.cumsum(b_lengths[self.b])
         parts = [*merge_path(self.a_ends, self.b_ends)]
