@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions.skew import first_seen, ranked, salted_join
 from tripleloom.functions.text import let
+from tripleloom.operators.dictionary import hits as synonym_hits  # noqa: F401  (dictionary joins are listed here too)
+from tripleloom.operators.dictionary import words_inside
 
 
 # ---- edges and nodes ---------------------------------------------------------------------
@@ -99,31 +101,6 @@ def distant_label(samples: DataFrame, triples: DataFrame, order: Sequence[str],
     return joined.select(*samples.columns, F.coalesce("_relation", F.lit(default)).alias("relation"))
 
 
-def synonym_hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame,
-                 anchor: int = 4, shortest: int = 1, scope: Sequence[str] = ()) -> DataFrame:
-    """``(key, canonical, dict_no)`` for every canonical with a synonym inside the text.
-
-    ``dictionary`` is ``(canonical, synonym, dict_no)`` of any size.  Each text gives its
-    distinct grams of ``shortest``..``anchor`` characters, which meet the starts of the
-    synonyms in an equi-join; only these candidates are looked up in the text.  No text
-    is paired with every word.  Synonyms have at least ``shortest`` characters.  Columns in
-    ``scope`` must be equal on both sides, e.g. a topic that owns its words.
-    """
-    scope = list(scope)
-    words = dictionary.where(F.length("synonym") > 0).withColumn("_gram", F.left("synonym", F.lit(anchor)))
-
-    def grams_of(chars: Column) -> Column:
-        def at(n: int) -> Column:
-            return F.transform(chars, lambda ch, i: F.concat(ch, *[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, n)]))
-        return F.array_distinct(F.concat(*[at(n) for n in range(shortest, anchor + 1)]))
-
-    base = texts.select(key, *scope, text)
-    grams = base.select(key, *scope, F.explode(let(F.split(text, ""), grams_of)).alias("_gram"))
-    found = grams.join(words, [*scope, "_gram"]).select(key, "canonical", "synonym", "dict_no")
-    hits = found.join(base.select(key, text), key).where(F.col(text).contains(F.col("synonym")))
-    return hits.groupBy(key, "canonical").agg(F.min("dict_no").alias("dict_no"))
-
-
 def synonyms_inside(text: Column, dictionary: Sequence[tuple[str, Sequence[str]]]) -> Column:
     """Canonical names with a synonym inside the text, in dictionary order; for a list the caller holds."""
     hits = [F.when(_any(text, words), F.lit(name)) for name, words in dictionary]
@@ -136,8 +113,7 @@ def _any(text: Column, words: Sequence[str]) -> Column:
 
 def kg_membership(names: DataFrame, nodes: DataFrame) -> DataFrame:
     """Rank names: those inside some node name first, then longer ones."""
-    words = names.select(F.col("name").alias("canonical"), F.col("name").alias("synonym"), F.lit(0).alias("dict_no"))
-    inside = synonym_hits(nodes.select("name").distinct(), "name", "name", words).select(F.col("canonical").alias("name")).distinct()
+    inside = words_inside(nodes, "name", names, "name")
     flagged = names.join(inside.withColumn("_in", F.lit(True)), "name", "left")
     keyed = flagged.select("name", F.coalesce("_in", F.lit(False)).alias("in_graph"),
                            F.when(F.col("_in"), 0).otherwise(1).alias("_a"), (-F.length("name")).alias("_b"))

@@ -347,11 +347,11 @@ def entity_recall(texts: DataFrame, related: DataFrame, topic: str, key: str, te
     Occurrences come from the dictionary match inside the topic, so a topic with many
     texts and many entities does not pair them all.
     """
-    from tripleloom.operators.joins import synonym_hits
+    from tripleloom.operators.dictionary import hits
     names = related.select(topic, F.col(entity).alias("synonym")).distinct()
     sizes = names.groupBy(topic).agg(rows().alias("related"))
     words = names.select(topic, F.col("synonym").alias("canonical"), "synonym", F.lit(0).alias("dict_no"))
-    found = synonym_hits(texts, key, text, words, scope=[topic]).groupBy(key).agg(rows().alias("found"))
+    found = hits(texts, key, text, words, scope=[topic]).groupBy(key).agg(rows().alias("found"))
     return (texts.drop(text).join(sizes, topic, "left").join(found, key, "left").na.fill(0, ["related", "found"]))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tripleloom.operators import joins as J
+from tripleloom.operators.dictionary import hits
 from tripleloom.plans.graph_tables import edges, kg, nodes, raw_triples
 from tripleloom.plans.registry import query
 
@@ -102,7 +103,7 @@ def _dictionary(t):
 
 @query("j_synonym_contains", f"""WITH {WORDS} SELECT doc_id, canonical FROM documents JOIN dict ON contains(text, synonym) GROUP BY 1, 2""")
 def _(t):
-    return J.synonym_hits(t.documents, "doc_id", "text", _dictionary(t), shortest=4).select("doc_id", "canonical")
+    return hits(t.documents, "doc_id", "text", _dictionary(t)).select("doc_id", "canonical")
 
 
 @query("j_gold_pred", """WITH g AS (SELECT l_orderkey, l_suppkey, arg_max(l_partkey, l_linenumber * 1000000 + l_partkey) AS gold FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2),
