@@ -8,7 +8,7 @@ import pytest
 NAMES = ["norm_entity", "enforce_schema", "fill_context", "j_edge_endpoints", "j_upsert_attributes", "j_pairs_ordered", "j_distant_label", "a_hub_skew", "a_group_sentence",
          "a_vocab", "s_undirected_links", "w_running_offset", "w_bio_islands", "w_kfold", "t_link_by_degree", "g_query_graph", "g_context_batch", "g_route", "g_curate_report",
          "f_parse_ie_json", "f_format_attr", "f_spans_to_bio", "m_tuple_f1", "m_nested_event", "m_doc_relation", "m_bleu", "p_balance", "p_answers", "p_neg_sample",
-         "src_conll", "src_type_dict", "snk_edges", "g_import", "st_annotate", "st_ingest"]
+         "src_conll", "src_type_dict", "snk_edges", "g_import", "g_import_overwrite", "g_iterate_rounds", "st_annotate", "st_ingest", "st_upsert"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -22,16 +22,3 @@ def test_same_rows(spark, duck, name):
 def test_entry(spark):
     import __spark_entry__ as entry
     assert entry.entry(spark).count() > 0
-
-
-def test_failing_batch_is_put_aside(spark, tmp_path):
-    from tripleloom.streaming.jobs import ingest_stream
-    src, out, bad = (str(tmp_path / x) for x in ("in", "out", "bad"))
-    df = spark.createDataFrame([("a", "r", "b", 1), ("c", "r", "d", 2)], "head string, relation string, tail string, at long").selectExpr("head", "relation", "tail", "timestamp_seconds(at) AS arrival")
-    df.write.parquet(src)
-    def broken(batch, path):
-        raise IOError("no space")
-    stream = spark.readStream.schema(df.schema).parquet(src)
-    ingest_stream(stream, "arrival", out, bad, str(tmp_path / "check"), store=broken).awaitTermination()
-    back = spark.read.parquet(bad)
-    assert back.count() == 2 and back.first()["reason"] == "no space"

@@ -71,9 +71,18 @@ def upsert_attributes(nodes: DataFrame, incoming: DataFrame, attributes: Sequenc
     Records are combined per name and type first, so the joins see each name a few times
     however often it arrives.
     """
+    return merge_records(nodes, attribute_records(incoming, attributes, order), attributes)
+
+
+def attribute_records(incoming: DataFrame, attributes: Sequence[str], order: str) -> DataFrame:
+    """One record per name and type: when it first came (``_at``) and each attribute's last filled value with its place."""
+    return (incoming.where(F.coalesce("name", F.lit("")) != "").groupBy("name", "type")
+            .agg(F.min(order).alias("_at"), *[last_filled(a, order) for a in attributes]))
+
+
+def merge_records(nodes: DataFrame, records: DataFrame, attributes: Sequence[str]) -> DataFrame:
+    """``upsert_attributes`` for records that are one per name and type already."""
     attributes = list(attributes)
-    records = (incoming.where(F.coalesce("name", F.lit("")) != "").groupBy("name", "type")
-               .agg(F.min(order).alias("_at"), *[last_filled(a, order) for a in attributes]))
     exact = nodes.select("name", "type", F.col("type").alias("_exact"))
     by_name = nodes.groupBy("name").agg(F.min("type").alias("_any"))
     first_type = records.groupBy("name").agg(F.min_by("type", "_at").alias("_new"))
@@ -81,7 +90,7 @@ def upsert_attributes(nodes: DataFrame, incoming: DataFrame, attributes: Sequenc
              .join(first_type, "name").withColumn("type", F.coalesce("_exact", "_any", "_new"))
              .withColumn("_there", F.coalesce("_exact", "_any").isNotNull()))
     merged = aimed.groupBy("name", "type").agg(F.first("_there").alias("_there"), *[F.max(a)["v"].alias(f"_n_{a}") for a in attributes])
-    given = F.coalesce(*[F.col(f"_n_{a}") for a in attributes]).isNotNull()
+    given = F.coalesce(*[F.col(f"_n_{a}") for a in attributes], F.lit(None)).isNotNull()
     action = (F.when(F.col("_there").isNull(), "kept").when(~F.col("_there"), "inserted")
               .when(given, "updated").otherwise("skipped"))
     both = nodes.join(merged, ["name", "type"], "full")

@@ -7,13 +7,14 @@ import re
 from pyspark.sql import functions as F
 
 from tripleloom.functions import constants as K
-from tripleloom.functions.session import staged
+from tripleloom.functions.session import shared_dir, staged
 from tripleloom.operators import aggregate as A
 from tripleloom.operators import clean as C
 from tripleloom.operators import graph as G
 from tripleloom.operators import hooks as H
 from tripleloom.operators import joins as J
 from tripleloom.operators import select as S
+from tripleloom.operators.rounds import expand_rounds
 from tripleloom.plans.graph_tables import ORDER, edges, kg, nodes, raw_triples
 from tripleloom.plans.queries_clean import FAMILIES, SCHEMA_SQL, sql_case, sql_ladder
 from tripleloom.plans.queries_clean import DELETE_SQL, FILL, EXACT_SQL, RENAME_SQL
@@ -269,3 +270,42 @@ def _(t):
     known = H.extract(lines, capital_words, neighbours, threshold=0.9).select("sentence", "head", "relation", "tail", "confidence")
     out = G.expand(known, lines.select("sentence"), score)
     return out.select(F.md5("sentence").alias("sentence_id"), "head", "relation", "tail", F.round("confidence", 6).alias("confidence"), c("is_new").cast("int").alias("is_new"))
+
+
+def linked_through(batches):
+    """Names that share a related name are related, too."""
+    import pandas as pd
+    for pdf in batches:
+        out = []
+        for sentence, known in zip(pdf["sentence"], pdf["known_pairs"]):
+            near: dict = {}
+            pairs = {(p["a"], p["b"]) for p in known if p["a"] != p["b"]}
+            for a, b in pairs:
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+            found = {(x, y) for names in near.values() for x in names for y in names if x < y} - pairs
+            out += [(sentence, x, "via", y, 0.75) for x, y in found]
+        yield pd.DataFrame(out, columns=["sentence", "head", "relation", "tail", "confidence"])
+
+
+def _round_sql(n: int) -> str:
+    return f""" u{n} AS (SELECT sentence, a, b FROM p{n} WHERE a <> b UNION SELECT sentence, b, a FROM p{n} WHERE a <> b),
+ n{n + 1} AS (SELECT DISTINCT x.sentence, x.b AS head, y.b AS tail FROM u{n} x JOIN u{n} y ON x.sentence = y.sentence AND x.a = y.a AND x.b < y.b
+  WHERE NOT EXISTS (SELECT 1 FROM p{n} p WHERE p.sentence = x.sentence AND p.a = x.b AND p.b = y.b)),
+ p{n + 1} AS (SELECT * FROM p{n} UNION SELECT sentence, head, tail FROM n{n + 1})"""
+
+
+@query("g_iterate_rounds", f"""{NEAR}, k0 AS (SELECT sentence, head, tail, conf FROM near WHERE conf > 0.9), p0 AS (SELECT DISTINCT sentence, least(head, tail) AS a, greatest(head, tail) AS b FROM k0),
+{_round_sql(0)}, {_round_sql(1)},
+ every AS (SELECT sentence, head, 'near' AS relation, tail, conf, 0 AS is_new, 0 AS round FROM k0 UNION ALL SELECT sentence, head, 'via', tail, 0.75, 0, 1 FROM n1
+  UNION ALL SELECT sentence, head, 'via', tail, 0.75, 1, 2 FROM n2)
+SELECT md5(sentence) AS sentence_id, head, relation, tail, round(conf, 6) AS confidence, is_new, round, row_number() OVER (PARTITION BY sentence ORDER BY conf DESC, is_new, head, relation, tail) AS rank FROM every""")
+def _(t):
+    """Two rounds; the run is stopped after the first one and taken up again."""
+    lines, folder = _lines(t), shared_dir(t.spark)
+    known = H.extract(lines, capital_words, neighbours, threshold=0.9).select("sentence", "head", "relation", "tail", "confidence")
+    rounds = lambda most: expand_rounds(known, lines.select("sentence"), linked_through, folder, max_rounds=most, least_ratio=0.0)
+    rounds(1)
+    out = rounds(2)
+    return out.select(F.md5("sentence").alias("sentence_id"), "head", "relation", "tail", F.round("confidence", 6).alias("confidence"),
+                      c("is_new").cast("int").alias("is_new"), "round", c("rank").cast("long").alias("rank"))

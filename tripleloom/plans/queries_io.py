@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from tripleloom.functions import constants as K
 from tripleloom.functions import tags as G
 from tripleloom.functions.session import shared_dir
-from tripleloom.operators import joins as J
 from tripleloom.plans.graph_tables import edges, kg, nodes, raw_triples
 from tripleloom.plans.queries_clean import FAMILIES, sql_case, sql_ladder
 from tripleloom.plans.queries_stats import word_tag
 from tripleloom.plans.registry import query
+from tripleloom.sources import importer as I
 from tripleloom.sources import readers as R
 from tripleloom.sources import writers as W
 from tripleloom.streaming import jobs
@@ -203,14 +203,35 @@ def _(t):
     return edges(t).select("row_no", "head", W.jsonld(c("head"), c("relation"), c("tail"), {"uses": "https://schema.example/uses"}).alias("doc"))
 
 
-@query("g_import", kg(f"""SELECT source, target, relation FROM ({EXPORT} WHERE head_type <> 'Algorithm' AND tail_type <> 'Algorithm')"""))
+@query("g_import", kg(f"""SELECT source, target, relation, confidence, source_sentence FROM ({EXPORT} WHERE head_type <> 'Algorithm' AND tail_type <> 'Algorithm')"""))
 def _(t):
-    npath, epath = shared_dir(t.spark), shared_dir(t.spark)
-    W.write_json(W.export_nodes(nodes(t).where("type <> 'Algorithm'"), ATTR), npath)
-    W.write_json(W.export_edges(edges(t)), epath)
-    n = t.spark.read.json(npath, schema="name string")
-    e = t.spark.read.json(epath, schema=EDGE).select(c("source").alias("head"), c("target").alias("tail"), "relation")
-    return J.drop_dangling(e, n).select(c("head").alias("source"), c("tail").alias("target"), "relation")
+    path = shared_dir(t.spark)
+    W.write_json(W.export_nodes(nodes(t).where("type <> 'Algorithm'"), ATTR), f"{path}/nodes")
+    W.write_json(W.export_edges(edges(t)), f"{path}/edges")
+    graph = I.ImportedGraph(t.spark, shared_dir(t.spark))
+    I.import_graph(t.spark, path, graph, 0)
+    own = lambda name: F.try_element_at("properties", F.lit(name))
+    return graph.edges().select("source", "target", "relation", own("confidence").cast("double").alias("confidence"), own("source_sentence").alias("source_sentence"))
+
+
+@query("g_import_overwrite", kg(f"""SELECT name, {sql_case(K.EXPORT_TYPE_NAMES, 'type', 'type')} AS label, CASE WHEN type = 'DataStructure' THEN concat(description, ' v2') ELSE description END AS description,
+ properties, CASE WHEN type = 'DataStructure' THEN NULL ELSE time_complexity END AS time_complexity FROM kg_nodes
+UNION ALL SELECT concat('New#', n_name), '{I.DEFAULT_LABEL}', NULL, NULL, NULL FROM nation"""))
+def _(t):
+    """Export, import, change a part and add nodes without labels, import that, export again, import the export."""
+    first, change, more, last = (shared_dir(t.spark) for _ in range(4))
+    W.write_json(W.export_nodes(nodes(t), ATTR), first)
+    graph = I.ImportedGraph(t.spark, shared_dir(t.spark))
+    I.import_nodes(t.spark, first, graph, 0, clean=True)
+    changed = nodes(t).where("type = 'DataStructure'").withColumn("description", F.concat("description", F.lit(" v2")))
+    W.write_json(W.export_nodes(changed, ["description"]), change)
+    I.import_nodes(t.spark, change, graph, 1)
+    t.nation.select(F.concat(F.lit("New#"), "n_name").alias("name"), F.array().cast("array<string>").alias("labels")).write.json(more)
+    I.import_nodes(t.spark, more, graph, 2)
+    W.write_json(graph.nodes(), last)
+    again = I.ImportedGraph(t.spark, shared_dir(t.spark))
+    I.import_nodes(t.spark, last, again, 0, clean=True)
+    return again.nodes().select("name", c("labels")[0].alias("label"), *[F.try_element_at("properties", F.lit(a)).alias(a) for a in ATTR])
 
 
 # ---- streams ---------------------------------------------------------------------------------
@@ -239,3 +260,27 @@ def _(t):
     arriving = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(inbox)
     jobs.ingest_stream(arriving, "arrival", target, failed, check).awaitTermination()
     return jobs.stored(t.spark, target, schema).groupBy("head", "relation", "tail").agg(F.count("*").alias("n"))
+
+
+AT = "1704067200 + (row_no * 7919) % 1000000"
+
+
+@query("st_upsert", kg(f""", sides AS (SELECT head AS name, {AT} AS came, row_no, 0 AS side, sentence FROM kg_raw UNION ALL SELECT tail, {AT}, row_no, 1, NULL FROM kg_raw),
+ known AS (SELECT s_name AS name, 'Maker' AS type, 'known' AS description FROM supplier),
+ kinds AS (SELECT s_name AS entity, 'Maker' AS type FROM supplier UNION ALL SELECT n_name, 'Place' FROM nation),
+ found AS (SELECT name, arg_max(sentence, CAST(came AS HUGEINT) * 100000000000000 + row_no) FILTER (WHERE sentence <> '') AS description FROM sides GROUP BY 1)
+SELECT name, coalesce(kinds.type, 'ENTITY') AS type, coalesce(found.description, known.description) AS description,
+ CASE WHEN known.name IS NULL THEN 'inserted' WHEN found.name IS NULL THEN 'kept' WHEN found.description IS NOT NULL THEN 'updated' ELSE 'skipped' END AS action
+FROM found FULL JOIN known USING (name) LEFT JOIN kinds ON kinds.entity = name"""))
+def _(t):
+    """Nodes of a graph that triples without types arrive for, in four batches, on top of known ones."""
+    inbox, target, failed, check = (shared_dir(t.spark) for _ in range(4))
+    at = F.timestamp_seconds(F.lit(1704067200) + (c("row_no") * 7919) % 1000000)
+    raw_triples(t).select("row_no", "head", "relation", "tail", "sentence", at.alias("arrival")).repartition(4).write.parquet(inbox)
+    schema = t.spark.read.parquet(inbox).schema
+    arriving = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    kinds = t.supplier.select(c("s_name").alias("entity"), F.lit("Maker").alias("type")).unionByName(t.nation.select(c("n_name").alias("entity"), F.lit("Place").alias("type")))
+    wanted = {"description": ("sentence", None)}
+    jobs.ingest_stream(arriving, "arrival", target, failed, check, types=kinds, attributes=wanted, every=3).awaitTermination()
+    known = t.supplier.select(c("s_name").alias("name"), F.lit("Maker").alias("type"), F.lit("known").alias("description"))
+    return jobs.tables(t.spark, target, schema, attributes=wanted).nodes(known)

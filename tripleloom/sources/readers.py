@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tripleloom.functions.skew import first_seen, prefix_sum
 from tripleloom.functions.text import strip
 from tripleloom.sources import schemas
+from tripleloom.sources.split import csv_records, json_elements
 
 # Alternate names of the triple fields.
 ALIASES = {"head": "subject", "relation": "predicate", "tail": "object", "sentence": "text"}
@@ -34,28 +35,48 @@ def with_file_order(df: DataFrame) -> DataFrame:
 
 
 def triples_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Triples with a header; quoted fields may hold line breaks.  Files known to hold none can be read
-    with ``multiline=False``, which splits them."""
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multiline)
+    """Triples with a header; quoted fields may hold line breaks, and a single file is read by many tasks all the same.
+
+    Quotes stand around fields only, doubled inside them.  Files known to hold no line breaks in fields are read in one pass
+    with ``multiline=False``.  All files have the columns of the first one's header.
+    """
+    options = {"header": "true", "quote": '"', "escape": '"'}
+    if not multiline:
+        raw = spark.read.options(**options).csv(path)
+        return _filled(raw.select(*_aliased(raw)))
+    names = spark.read.options(**options).csv(path, multiLine=True).columns
+    found = csv_records(spark, path).where(~F.col("first") & (F.col("value") != ""))
+    schema = ", ".join(f"`{n}` string" for n in names)
+    raw = found.select(F.from_csv("value", schema, {"quote": '"', "escape": '"'}).alias("r")).select("r.*")
     return _filled(raw.select(*_aliased(raw)))
 
 
+def _objects(spark: SparkSession, path: str, schema: str, multiline: bool, level: int, object_level: int) -> DataFrame:
+    """JSON objects of a schema, from lines or cut out of arrays by many tasks."""
+    if not multiline:
+        return spark.read.json(path, schema=schema)
+    found = json_elements(spark, path, level, object_level)
+    return found.select(F.from_json("value", schema).alias("r")).where("r is not null").select("r.*")
+
+
 def triples_json(spark: SparkSession, path: str, multiline: bool = True, exported: bool = False) -> DataFrame:
     """Triples of JSON arrays or lines; ``exported`` reads graph objects with ``relationships``.
 
-    A multi-line file is read by one task, so large inputs come as many files or as lines.
+    Arrays in one file are read by many tasks.  Among the elements of an exported graph those with source, relation and target are its triples.
     """
-    if exported:
-        graph = spark.read.json(path, schema=schemas.EXPORTED, multiLine=multiline)
-        rel = graph.select(F.explode("relationships").alias("r")).select("r.*")
-        return _filled(rel.select(F.col("source").alias("head"), "relation", F.col("target").alias("tail"), F.lit(None).cast("string").alias("sentence")))
-    raw = spark.read.json(path, schema=schemas.TRIPLE, multiLine=multiline)
-    return _filled(raw.select(*_aliased(raw)))
+    if exported and multiline:
+        rel = _objects(spark, path, schemas.EDGE, True, 3, 2)
+    elif exported:
+        rel = spark.read.json(path, schema=schemas.EXPORTED).select(F.explode("relationships").alias("r")).select("r.*")
+    else:
+        raw = _objects(spark, path, schemas.TRIPLE, multiline, 1, 0)
+        return _filled(raw.select(*_aliased(raw)))
+    return _filled(rel.select(F.col("source").alias("head"), "relation", F.col("target").alias("tail"), F.lit(None).cast("string").alias("sentence")))
 
 
 def offsets_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Offset records; offsets may be numbers or text."""
-    raw = spark.read.json(path, schema=schemas.OFFSETS, multiLine=multiline)
+    """Offset records of JSON arrays, read by many tasks, or of lines; offsets may be numbers or text."""
+    raw = _objects(spark, path, schemas.OFFSETS, multiline, 1, 0)
     ints = [c for c in raw.columns if c.endswith("_offset")]
     return _filled(raw).select(*[F.col(c).cast("int").alias(c) if c in ints else F.col(c) for c in raw.columns])
 
