@@ -1,14 +1,18 @@
 """Mixing to target weights with soft membership.  DataFrame expressions throughout.
 
 A naive Bayes classifier, counted from a labelled table, gives every document a posterior over the
-domains.  Nonnegative document rates are then fitted so that the expected tokens of each domain meet
-its target: projected gradient on the least-squares misfit, starting from a rate of 1 for all.
-
-With t the tokens, p the posteriors and T all tokens, the variables are z = sqrt(t / T) r and the
-misfit B z - target is weighted by the inverse of G = B B', which makes a unit step safe.  A step is
-r <- max(0, r - p . y) with y = G^-1 (B z - target): one aggregate of as many sums as there are
-domains, and one short expression.  Rates differ from 1 only through a document's posteriors, so a
-rate follows from the text and the list of steps; no table of rates is joined back.
+domains.  Document rates between 0 and ``highest`` are then fitted so that the expected tokens of each
+domain come as near to its target as they can: least squares by projected gradient steps from a rate of 1 for all.
+
+With t the tokens, p the posteriors, T all tokens and w = t / T, the misfit is m = sum(w r p) - target and a document's
+gradient p . m.  A projected gradient step from 1 gives r = clip(1 - p . y) with y = m / lambda, lambda being one over the step's
+length, and the rates looked for are those whose own misfit is the m they step along: they minimise the squared misfit plus lambda
+times the squared distance from 1, and as lambda falls, the misfit falls to the least there is.  That fixed point is an equation in
+as many numbers as there are domains, the slope of a convex function, and is met by Newton steps in y, halved until the function falls;
+plain steps need thousands of passes when a domain is rare.  The gap sum(w (r g + highest max(0, -g))), g = p . m, bounds how far half
+the squared misfit may still be above the least within the bounds, and is given with the result.
+
+A pass is a few sums for each domain.  A rate follows from the posteriors and y; no table of rates is joined back.
 """
 
 from __future__ import annotations
@@ -23,8 +27,12 @@ from tripleloom.llm.common import word_count
 # Strings whose share of a text tells languages and kinds of text apart.
 MARKERS = ("é", "è", "ñ", "ó", "ü", "ä", "th", "ch", "qu", "ll", "ei", "nt", " de ", "TH", "!!", "|")
 BINS = 24
-STEPS = 25
-CLOSE = 1e-6         # largest misfit, as a share of all tokens, at which the fit ends; also when it hardly falls
+STEPS = 40           # Newton steps for each weight at most
+CLOSE = 1e-6         # largest misfit, as a share of all tokens, at which targets are met
+PULLS = (1e-2, 1e-4, 1e-6)       # weights of the distance from 1, one after the other
+EXACT = 1e-10        # a fixed point is met when its equation is met so closely
+LENGTHS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.003)       # of a Newton step
+HIGHEST = 100.0      # copies of a document
 SMOOTH = 1.0
 TEMPER = 0.5         # default targets: shares to this power,
 MOST = 4.0           # but no domain wanted more often than this
@@ -71,24 +79,37 @@ def posterior(f: Column, model: dict) -> Column:
     return F.transform(F.array(shifted), lambda x: F.transform(x, lambda v: v / F.aggregate(x, F.lit(0.0), lambda a, b: a + b)))[0]
 
 
-def rate(p: Column, steps: list[np.ndarray]) -> Column:
-    """The rate after these steps: r <- max(0, r - p . y) from 1."""
-    r = F.lit(1.0)
-    for y in steps:
-        dot = F.lit(0.0)
-        for i, v in enumerate(y):
-            dot = dot + p[i] * F.lit(float(v))
-        r = F.greatest(F.lit(0.0), r - dot)
-    return r
+def dot(p: Column, y: np.ndarray) -> Column:
+    out = F.lit(0.0)
+    for i, v in enumerate(y):
+        out = out + p[i] * F.lit(float(v))
+    return out
 
 
-def fit(docs: DataFrame, labelled: DataFrame, targets: dict | None = None, total: float | None = None) -> dict:
-    """Classifier, targets and steps.
+def rate_at(slope: Column, highest: float) -> Column:
+    """The rate that a projected step from 1 along ``slope`` leads to."""
+    return F.least(F.lit(highest), F.greatest(F.lit(0.0), 1.0 - slope))
+
+
+def area(slope: Column, highest: float) -> Column:
+    """The integral of ``rate_at`` over the slope, up to a constant."""
+    edge = 1.0 - highest
+    return F.when(slope >= 1.0, 0.5).when(slope <= edge, highest * slope + (edge - edge * edge / 2 - highest * edge)).otherwise(slope - slope * slope / 2)
+
+
+def with_rate(df: DataFrame, fitted: dict, p: str = "p", name: str = "rate") -> DataFrame:
+    return df.withColumn(name, rate_at(dot(F.col(p), fitted["step"]), fitted["highest"]))
+
+
+def fit(docs: DataFrame, labelled: DataFrame, targets: dict | None = None, total: float | None = None, highest: float = HIGHEST) -> dict:
+    """Classifier, targets, the step, what it reaches, half the squared misfit for each weight, and the gap that is left.
 
     ``targets``: weight of each domain (missing ones 0; scaled to sum 1); by default each domain's
     share of tokens to the power TEMPER, at most MOST times itself.  ``total``: tokens wanted, by default as many as there are.
+    Targets that no rates within the bounds can meet are met as nearly as possible; ``reached`` says how near.
     Without a labelled row there are no domains and all rates stay 1.
     """
+    highest = float(highest)
     featured = staged(docs.select("doc_id", word_count(F.col("text")).alias("t"), features(F.col("text")).alias("f")))
     model = classifier(featured, labelled)
     d = len(model["domains"])
@@ -96,7 +117,7 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict | None = None, total
     all_tokens = float((soft.agg(F.sum("t")).first()[0] if d else 0) or 0)
     model["soft"] = soft
     if not all_tokens:
-        return model | {"steps": [], "targets": [], "reached": []}
+        return model | {"step": np.zeros(d), "targets": [], "reached": [], "highest": highest, "misfits": [], "gap": 0.0}
     p, share = F.col("p"), F.col("t") / all_tokens
     gram = [F.sum(share * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)]
     row = soft.agg(*gram, *[F.sum(share * p[i]).alias(f"s{i}") for i in range(d)]).first()
@@ -109,13 +130,43 @@ def fit(docs: DataFrame, labelled: DataFrame, targets: dict | None = None, total
     else:
         want = np.array([float(targets.get(x, 0.0)) for x in model["domains"]])
     want = want / want.sum() * ((total or all_tokens) / all_tokens)
-    inverse, steps, off = np.linalg.pinv(g, rcond=1e-10, hermitian=True), [], [np.abs(now - want).max()]
-    while off[-1] > CLOSE and len(steps) < STEPS and not (len(off) > 4 and off[-1] > 0.95 * off[-4]):
-        steps.append(inverse @ (now - want))
-        r = rate(p, steps)
-        now = np.array(soft.agg(*[F.sum(share * r * p[i]) for i in range(d)]).first(), float)
-        off.append(np.abs(now - want).max())
-    return model | {"steps": steps, "targets": list(want), "reached": list(now)}
+    y = np.zeros(d)
+    model |= {"targets": list(want), "highest": highest, "misfits": [0.5 * float((now - want) @ (now - want))], "gap": 0.0}
+    for pull in PULLS:
+        if np.abs(now - want).max() <= CLOSE:
+            break
+        for _ in range(STEPS):
+            off = pull * y + want - now
+            if np.abs(off).max() <= EXACT:
+                break
+            slope = dot(p, y)
+            free = F.when((slope < 1.0) & (slope > 1.0 - highest), share).otherwise(0.0)
+            row = soft.agg(F.sum(share * area(slope, highest)).alias("h"), *[F.sum(free * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(d) for j in range(i, d)]).first()
+            for i in range(d):
+                for j in range(i, d):
+                    g[i, j] = g[j, i] = row[f"g{i}_{j}"]
+            height = pull / 2 * float(y @ y) + float(want @ y) - row["h"]
+            step = np.linalg.solve(pull * np.eye(d) + g, -off)
+            tried, sums = [y + a * step for a in LENGTHS], []
+            for k, x in enumerate(tried):
+                at = dot(p, x)
+                sums += [F.sum(share * area(at, highest)).alias(f"h{k}"), *[F.sum(share * rate_at(at, highest) * p[i]).alias(f"s{k}_{i}") for i in range(d)]]
+            row = soft.agg(*sums).first()
+            heights = [pull / 2 * float(x @ x) + float(want @ x) - row[f"h{k}"] for k, x in enumerate(tried)]
+            totals = [np.array([row[f"s{k}_{i}"] for i in range(d)], float) for k in range(len(tried))]
+            left = [np.abs(pull * x + want - s).max() for x, s in zip(tried, totals)]
+            best = min(range(len(tried)), key=lambda k: heights[k])
+            if heights[best] >= height - 1e-14:                  # the function is flat to rounding: go by its slope
+                best = min(range(len(tried)), key=lambda k: left[k])
+                if left[best] >= np.abs(off).max():
+                    break
+            y, now = tried[best], totals[best]
+        model["misfits"].append(0.5 * float((now - want) @ (now - want)))
+    g_ = dot(p, now - want)
+    model["step"] = y
+    gap = F.sum(share * (F.col("rate") * g_ + F.lit(highest) * F.greatest(F.lit(0.0), -g_)))
+    model["gap"] = max(0.0, float(with_rate(soft, model).agg(gap).first()[0]))
+    return model | {"reached": list(now)}
 
 
 def drawn(rate_: Column, of: Column, seed: int = 11) -> Column:
@@ -125,14 +176,17 @@ def drawn(rate_: Column, of: Column, seed: int = 11) -> Column:
 
 
 def rated(fitted: dict) -> DataFrame:
-    """(doc_id, n_tokens, membership, rate, copies) of every row the fit saw; membership maps domains to
-    posteriors.
+    """(doc_id, n_tokens, membership, rate, copies, wanted, reached, gap) of every row the fit saw; membership maps domains to
+    posteriors, ``wanted`` and ``reached`` map them to shares of all tokens, the same in every row, as is the gap.
 
     Rows that repeat an id and text get equal values, a null id has a hash too, and null and empty
     texts have a rate as every text has.  Without domains the rate is 1 and membership empty."""
     names = F.array(*[F.lit(x) for x in fitted["domains"]]).cast("array<string>")
-    out = fitted["soft"].withColumn("rate", rate(F.col("p"), fitted["steps"]))
-    return out.select("doc_id", F.col("t").alias("n_tokens"), F.map_from_arrays(names, "p").alias("membership"), "rate", drawn(F.col("rate"), F.col("doc_id")).alias("copies"))
+    shares = lambda name: F.map_from_arrays(names if fitted[name] else F.array().cast("array<string>"), numbers(fitted[name]).cast("array<double>")).alias(
+        {"targets": "wanted"}.get(name, name))
+    return with_rate(fitted["soft"], fitted).select(
+        "doc_id", F.col("t").alias("n_tokens"), F.map_from_arrays(names, "p").alias("membership"), "rate", drawn(F.col("rate"), F.col("doc_id")).alias("copies"),
+        shares("targets"), shares("reached"), F.lit(fitted["gap"]).alias("gap"))
 
 
 def once(docs: DataFrame, **columns: Column) -> DataFrame:
@@ -143,11 +197,11 @@ def once(docs: DataFrame, **columns: Column) -> DataFrame:
 def mixed(docs: DataFrame, fitted: dict, id_col: str = "doc_id") -> DataFrame:
     """The mixture: each row as many times as its copies say, columns as given, whatever their names.
     No row moves."""
-    if not fitted["steps"]:
+    if not fitted["targets"]:
         return docs
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col("text").alias("text"))
     out = once(once(rows, f=features(F.col("text"))), p=posterior(F.col("f"), fitted))
-    out = once(out, rate=rate(F.col("p"), fitted["steps"]))
+    out = with_rate(out, fitted)
     return out.select("row", F.explode(F.array_repeat(F.lit(1), drawn(F.col("rate"), F.col("id"))))).select("row.*")
 
 
