@@ -14,6 +14,8 @@ from tripleloom.functions.session import staged
 from tripleloom.llm import mixing, packing, simhash, suffix_dedup, toxicity
 from tripleloom.llm.common import small_batches, table
 
+PASSAGE = 256        # bytes of a repeated string that goes
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
@@ -28,8 +30,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Long strings that occur again are taken out of the texts; every document stays."""
-    return suffix_dedup.without_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Strings of PASSAGE bytes or more that occur again are taken out of the texts; every document stays.
+
+    A passage of 50 words has about 320 bytes, and the words of some are shorter."""
+    return suffix_dedup.without_repeats(docs, length=PASSAGE).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -145,10 +145,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     """
     key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),       # equal keys: equal texts, one component
                    F.xxhash64(text_col).alias("h"), F.xxhash64(F.lit(SEED), text_col).alias("g"))
-    each = staged(fingerprints(docs.select(key.alias("id"), F.col(text_col).alias("text")), "id", "text", width))
-    stays = rooted(each, radius).select(F.col("component").alias("_key")).distinct()
-    first = top_k(docs.withColumn("_key", key), ["_key"], [F.xxhash64(*docs.columns)], 1, "_first")
-    return first.join(stays, "_key", "left_semi").select(*docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]            # whatever their names
+    rows = docs.select(F.struct(*columns).alias("row"), key.alias("key"), F.col(text_col).alias("text"), F.xxhash64(*columns).alias("at"))
+    each = staged(fingerprints(rows, "key", "text", width))
+    stays = rooted(each, radius).select(F.col("component").alias("key")).distinct()
+    return top_k(rows, ["key"], [F.col("at")], 1).join(stays, "key", "left_semi").select("row.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
