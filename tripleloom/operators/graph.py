@@ -94,14 +94,19 @@ def answer_questions(edges: DataFrame, questions: DataFrame, threshold: float =
     """
     names = questions.select("question", F.col("relation").alias("_asked"), F.explode(F.array_distinct("names")).alias("near"))
     strong = C.conf_filter(edges, threshold, "~>=").select(*EDGE_ORDER, "confidence")
-    asked = J.undirected(strong).join(names.select("near").distinct(), "near", "left_semi")
+    keys = names.select("near").distinct()
     order = [F.col("confidence").desc_nulls_last(), *[F.col(o) for o in EDGE_ORDER]]
+    # the edges of asked names only, seen from either end
+    asked = strong.join(keys, F.col("head") == F.col("near")).unionByName(strong.where("head <> tail").join(keys, F.col("tail") == F.col("near")))
     if limit is not None:       # no answer needs more of a name and relation, so a hub is cut before the join
         asked = top_k(asked, ["near", "relation"], order, limit, "_near_rank")
     hit = asked.join(names, "near").where(F.col("_asked").isNull() | (F.col("_asked") == F.col("relation")))
     once = hit.select("question", *EDGE_ORDER, "confidence").distinct()
-    best = once.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(*order)))
-    best = best if limit is None else best.where(F.col("rank") <= limit)
+    if limit is None:           # a hot question is ranked in ranges by many tasks
+        once = once.withColumns({"_none": F.col("confidence").isNull(), "_least": -F.col("confidence")})
+        best = ranked(once, ["question"], ["_none", "_least", *EDGE_ORDER], "rank", stage=True)
+    else:
+        best = top_k(once, ["question"], order, limit)
     traced = best.select("question", "rank", path_text(F.col("head"), F.col("relation"), F.col("tail")).alias("path"), "confidence")
     return (questions.select("question").join(traced, "question", "left")
             .select("question", F.coalesce("rank", F.lit(1)).alias("rank"), F.coalesce("path", F.lit(NO_ANSWER)).alias("path"), "confidence"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,59 @@ TRIPLE_SCHEMA = ("sentence_id bigint, sentence string, head string, head_type st
                  "tail string, tail_type string, confidence double")
 
 
+_LOADED: dict = {}
+
+
+class Model:
+    """A model that every worker loads once, however many tasks it runs: ``load()`` returns a function from a list of texts to one
+    result for each."""
+
+    def __init__(self, load: Callable[[], Callable[[list[str]], Sequence]]):
+        self.mark, self.load = uuid.uuid4().hex, load
+
+    def __call__(self, texts: list[str]) -> Sequence:
+        if self.mark not in _LOADED:
+            _LOADED[self.mark] = self.load()
+        results = _LOADED[self.mark](texts)
+        if len(results) != len(texts):
+            raise ValueError(f"the model gave {len(results)} results for {len(texts)} texts")
+        return results
+
+
+def _results(batches: Iterator[pd.Series], model: Model, each: Callable, batch: int) -> Iterator[pd.Series]:
+    """Results of the texts that are not null, handed to the model ``batch`` at a time."""
+    for texts in batches:
+        out: list = [None] * len(texts)
+        places = [i for i, t in enumerate(texts) if t is not None]
+        for at in range(0, len(places), batch):
+            part = places[at:at + batch]
+            for i, r in zip(part, model([texts.iloc[i] for i in part])):
+                out[i] = each(r)
+        yield pd.Series(out, dtype=object)
+
+
+def embed(df: DataFrame, text: str, model: Model, size: int, name: str = "embedding", batch: int = 256) -> DataFrame:
+    """``df`` with a vector of ``size`` numbers for each text; null texts have none.  No shuffle; Arrow batches in and out."""
+    def vector(v) -> list[float]:
+        v = np.asarray(v, float)
+        if v.shape != (size,):
+            raise ValueError(f"the model gave a vector of shape {v.shape}, not ({size},)")
+        return v.tolist()
+
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return _results(batches, model, vector, batch)
+    return df.withColumn(name, run(F.col(text)))
+
+
+def tokenize(df: DataFrame, text: str, model: Model, name: str = "tokens", batch: int = 256) -> DataFrame:
+    """``df`` with the tokens of each text; null texts have none."""
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return _results(batches, model, lambda tokens: [str(t) for t in tokens], batch)
+    return df.withColumn(name, run(F.col(text)))
+
+
 def annotate(sentences: DataFrame, entity_fn: Callable[[pd.Series], Iterable[list[dict]]]) -> DataFrame:
     """Entities of each sentence by a user function that is given a batch of sentences and returns a list
     of entities for each; sentences with fewer than two are dropped."""

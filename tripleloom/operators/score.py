@@ -214,20 +214,18 @@ def doc_relation(gold: DataFrame, pred: DataFrame, mentions: DataFrame, train: D
     tail_name, relation.  Evidence arrays hold sentence numbers of one document.
     """
     key = ["doc", "r", "h", "t"]
-    from tripleloom.operators.joins import mention_facts  # shared with the training facts
+    from tripleloom.operators.joins import known_facts
 
     def once(df, name):
         return df.groupBy(*key).agg(F.max("evidence").alias(name))
     g, p = once(gold, "ge"), once(pred, "pe")
     hit = g.join(p, key)
-    facts = mention_facts(hit.select("doc", "h", "t", F.concat_ws("|", "r", *key).alias("relation")), mentions)
-    seen = facts.select("head_name", "tail_name", F.substring_index("relation", "|", 1).alias("relation"), F.col("relation").alias("fact"))
-    seen = seen.join(train.distinct(), ["head_name", "tail_name", "relation"], "left_semi")
+    seen = known_facts(hit.select("doc", "h", "t", F.col("r").alias("relation")), mentions, train)
     shared = F.size(F.array_intersect("ge", "pe"))
     return hit.agg(rows().alias("tp"), F.coalesce(F.sum(shared), F.lit(0)).alias("evidence_tp"),
                    g.agg(rows()).scalar().alias("gold"), p.agg(rows()).scalar().alias("pred"),
                    g.agg(F.sum(F.size("ge"))).scalar().alias("evidence_gold"), p.agg(F.sum(F.size(F.array_distinct("pe")))).scalar().alias("evidence_pred"),
-                   seen.agg(F.count_distinct("fact")).scalar().alias("seen"))
+                   seen.agg(rows()).scalar().alias("seen"))
 
 
 # ---- classes ---------------------------------------------------------------------------------
@@ -274,18 +272,24 @@ def macro_micro(df: DataFrame, gold: str, pred: str) -> DataFrame:
 def threshold_sweep(df: DataFrame, logits: str, gold: str, steps: int = 51) -> DataFrame:
     """F1 for each second threshold: classes over 0.5, else the best one if over the threshold, else none.
 
-    ``logits`` is an array per row and ``gold`` the array of its true class numbers.  Each row
-    adds to 51 sums, combined on the map side.
+    ``logits`` is an array per row and ``gold`` the array of its true class numbers.  A row's picks change with the threshold only
+    from its best class to none, so each row counts once, by the number of steps that its best class passes; sums over
+    the steps from the last one back give every threshold.
     """
     probs = df.select(F.transform(logits, lambda x: 1 / (1 + F.exp(-x.cast("double")))).alias("pr"), F.col(gold).alias("g"))
     top = F.array_max("pr")
-    one = probs.select(F.size("g").alias("n_gold"), "g", top.alias("top"), (F.array_position("pr", top) - 1).cast("int").alias("best"),
+    one = probs.select("g", top.alias("top"), (F.array_position("pr", top) - 1).cast("int").alias("best"),
                        F.filter(F.transform("pr", lambda x, i: F.when(x > 0.5, i)), lambda i: i.isNotNull()).alias("high"))
     some = F.size("high") > 0
-    swept = one.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
-    picks = F.when(some, F.col("high")).when(F.col("top") > F.col("step") / 100, F.array("best")).otherwise(F.array().cast("array<int>"))
-    swept = swept.withColumn("picks", picks)
-    out = swept.groupBy("step").agg(F.sum(F.size(F.array_intersect("picks", "g"))).alias("tp"), F.sum("n_gold").alias("gold"), F.sum(F.size("picks")).alias("pred"))
+    passed = F.size(F.filter(F.sequence(F.lit(0), F.lit(steps - 1)), lambda s: F.col("top") > s / 100))
+    right = F.when(some, F.size(F.array_intersect("high", "g"))).otherwise(F.array_contains("g", F.col("best")).cast("int"))
+    picked = F.when(some, F.size("high")).otherwise(F.lit(1))
+    # steps 0 .. passed - 1 count a row's picks; classes over 0.5 count at every step
+    counts = one.select(F.when(some, F.lit(steps)).otherwise(passed).alias("passed"), F.size("g").alias("n_gold"), right.alias("tp"), picked.alias("pred"))
+    held = counts.groupBy("passed").agg(F.sum("tp").alias("tp"), F.sum("pred").alias("pred"), F.sum("n_gold").alias("gold"))
+    every = held.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))                   # at most (steps + 1) * steps rows
+    reach = F.col("passed") > F.col("step")
+    out = every.groupBy("step").agg(F.sum(F.when(reach, F.col("tp")).otherwise(0)).alias("tp"), F.sum("gold").alias("gold"), F.sum(F.when(reach, F.col("pred")).otherwise(0)).alias("pred"))
     p = F.when(F.col("pred") == 0, 1.0).otherwise(F.col("tp") / F.col("pred"))
     r = ratio(F.col("tp"), F.col("gold"))
     return out.withColumn("F1", ratio(2 * p * r, p + r))
@@ -397,22 +401,37 @@ def rouge_n(pairs: DataFrame, key: str, reference: str, candidate: str) -> DataF
     return wide.select(key, *[rouge_f(F.col(f"common{n}"), F.col(f"n_a{n}"), F.col(f"n_b{n}")).alias(f"rouge{n}") for n in (1, 2)])
 
 
+LCS_BLOCK = 4096     # words of one side that are compared with the other at once
+
+
+def common_subsequence(x: list, y: list, block: int = LCS_BLOCK) -> int:
+    """Length of the longest common subsequence: bits of a number stand for the words of ``x``, and each word of ``y`` is one addition.
+
+    Long lists go block by block; what an addition carries out of a block enters the next one.  Memory is a block's bits for each
+    word of the block, and one bit for each word of ``y``.
+    """
+    total, carry = 0, bytearray(len(y))
+    for at in range(0, len(x), block):
+        part, where = x[at:at + block], {}
+        for i, w in enumerate(part):
+            where[w] = where.get(w, 0) | (1 << i)
+        size = len(part)
+        full = (1 << size) - 1
+        row = full
+        for j, w in enumerate(y):
+            hit = row & where.get(w, 0)
+            added = row + hit + carry[j]
+            carry[j] = added >> size
+            row = (added & full) | (row - hit)
+        total += size - row.bit_count()
+    return total
+
+
 def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence of two token arrays (Arrow batches)."""
+    """Length of the longest common subsequence of two token arrays (Arrow batches); null counts as empty."""
     @F.pandas_udf("int")
     def lcs(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        def one(x, y):
-            where: dict = {}
-            for i, w in enumerate(x):
-                where[w] = where.get(w, 0) | (1 << i)
-            full = (1 << len(x)) - 1
-            rows_ = full
-            for w in y:
-                m = where.get(w, 0)
-                u = rows_ & m
-                rows_ = ((rows_ + u) | (rows_ - u)) & full
-            return len(x) - bin(rows_).count("1")
-        return pd.Series([one(list(x), list(y)) for x, y in zip(xs, ys)], dtype="int32")
+        return pd.Series([common_subsequence([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(xs, ys)], dtype="int32")
     return lcs(a, b)
 
 

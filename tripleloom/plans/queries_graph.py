@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions import constants as K
 from tripleloom.functions.session import shared_dir, staged
+from tripleloom.functions.skew import top_k
 from tripleloom.operators import aggregate as A
 from tripleloom.operators import clean as C
 from tripleloom.operators import graph as G
 from tripleloom.operators import hooks as H
 from tripleloom.operators import joins as J
+from tripleloom.operators import prep as P
 from tripleloom.operators import select as S
 from tripleloom.operators.rounds import expand_rounds
 from tripleloom.plans.graph_tables import ORDER, edges, kg, nodes, raw_triples
@@ -242,6 +244,65 @@ def _lines(t):
     return t.conversations.select((c("conv_id") * 100 + c("turn")).alias("sentence_id"), c("text").alias("sentence"))
 
 
+BLANKS = r"[\t\n\f\r ]+"
+
+
+def hashed_words():
+    """A stand-in model: a text is the number of its words for each first letter of their MD5."""
+    import hashlib
+    places = {c: i for i, c in enumerate("0123456789abcdef")}
+
+    def vectors(texts):
+        out = [[0.0] * len(places) for _ in texts]
+        for v, text in zip(out, texts):
+            for w in filter(None, re.split(BLANKS, text)):
+                v[places[hashlib.md5(w.encode()).hexdigest()[0]]] += 1
+        return out
+    return vectors
+
+
+def lower_words():
+    return lambda texts: [[w for w in re.split(BLANKS, t.lower()) if w] for t in texts]
+
+
+def _vector(text: str) -> str:
+    """The vector of ``hashed_words`` as SQL; texts split at blanks, tabs and line ends."""
+    letters = ", ".join(f"'{x}'" for x in "0123456789abcdef")
+    words = f"list_transform(list_filter(regexp_split_to_array({text}, '{BLANKS}'), lambda w: w <> ''), lambda w: substr(md5(w), 1, 1))"
+    return f"list_transform([{letters}], lambda x: CAST(len(list_filter({words}, lambda y: y = x)) AS DOUBLE))"
+
+
+@query("f_embed_hook", f"""WITH v AS (SELECT conv_id, turn, {_vector('text')} AS e FROM conversations)
+SELECT a.conv_id, a.turn, round(coalesce(list_cosine_similarity(a.e, b.e), 0), 6) AS cosine FROM v a JOIN v b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
+def _(t):
+    """Likeness of each turn to the next one."""
+    v = H.embed(t.conversations.select("conv_id", "turn", "text"), "text", H.Model(hashed_words), 16).drop("text")
+    after = v.select("conv_id", (c("turn") - 1).alias("turn"), c("embedding").alias("next"))
+    return v.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.round(S.cosine(c("embedding"), c("next")), 6).alias("cosine"))
+
+
+@query("f_tokenize_hook", f"""SELECT conv_id, turn, w AS token, count(*) AS n FROM (SELECT conv_id, turn, unnest(list_filter(regexp_split_to_array(lower(text), '{BLANKS}'), lambda w: w <> '')) AS w FROM conversations) GROUP BY 1, 2, 3""")
+def _(t):
+    tokens = H.tokenize(t.conversations.select("conv_id", "turn", "text"), "text", H.Model(lower_words))
+    return tokens.select("conv_id", "turn", F.explode("tokens").alias("token")).groupBy("conv_id", "turn", "token").agg(F.count("*").alias("n"))
+
+
+@query("p_retrieval_hook", f"""WITH v AS (SELECT item_id, {_vector('text')} AS e FROM benchmark), d AS (SELECT doc_id, lang, md5(text) AS text, {_vector('text')} AS e FROM documents WHERE lang IS NOT NULL),
+ w AS (SELECT doc_id, lang, text, round(list_cosine_similarity(v.e, d.e), 9) AS likeness FROM d JOIN v ON doc_id % 40 = item_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY likeness DESC, doc_id) AS rank FROM w WHERE likeness > 0)
+SELECT DISTINCT CASE lang WHEN 'en' THEN 'english' ELSE lang END AS event_type, text AS sentence FROM r WHERE rank <= 5""")
+def _(t):
+    """The five documents of each language that are most like the benchmark item they are compared with."""
+    model = H.Model(hashed_words)
+    items = H.embed(t.benchmark, "text", model, 16, "wanted").select(c("item_id").alias("item"), "wanted")
+    docs = H.embed(t.documents.where("lang is not null").select("doc_id", "lang", "text"), "text", model, 16).withColumn("text", F.md5("text"))
+    likeness = F.round(S.cosine(c("embedding"), c("wanted")), 9)
+    scored = docs.withColumn("item", c("doc_id") % 40).join(items, "item").withColumn("likeness", likeness).where("likeness > 0")
+    best = top_k(scored, ["lang"], [F.desc("likeness"), c("doc_id")], 5)
+    found = best.groupBy("lang").agg(F.collect_list("text").alias("s"))          # five of each
+    return P.retrieval_map(found, "s", "lang", {"en": "english"})
+
+
 # A word is a run of word characters; names are those that begin with a capital and have four characters or more.
 NEAR = r"""WITH p AS (SELECT sid, sentence, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM (SELECT conv_id * 100 + turn AS sid, text AS sentence, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS a FROM conversations)),
  o AS (SELECT *, sum(length(w)) OVER (PARTITION BY sid ORDER BY i) AS e FROM p), n AS (SELECT sid, sentence, i, w, e, e - length(w) AS st FROM o WHERE regexp_matches(w, '^[A-ZÉÈ][\p{L}\p{N}_]{3,}')),

@@ -367,8 +367,9 @@ def _answers(t):
     return a.join(u, ["conv_id", "turn"]).withColumn("id", F.concat_ws("-", "conv_id", "turn"))
 
 
-PAIRS = """pr AS (SELECT concat_ws('-', a.conv_id, a.turn) AS id, string_split(u.text, ' ') AS ask, string_split(a.text, ' ') AS ans FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn
-  WHERE a.role = 'assistant' AND u.role = 'user'),
+TURNS = """pr AS (SELECT concat_ws('-', a.conv_id, a.turn) AS id, string_split(u.text, ' ') AS ask, string_split(a.text, ' ') AS ans FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn
+  WHERE a.role = 'assistant' AND u.role = 'user')"""
+PAIRS = TURNS + """,
  gr AS (SELECT id, n, unnest(list_transform(range(1, len(ask) - n + 2), lambda i: array_to_string(ask[i:i + n - 1], ' '))) AS g, 1 AS a, 0 AS b FROM pr, (SELECT unnest([1, 2, 3, 4]) AS n)
   UNION ALL SELECT id, n, unnest(list_transform(range(1, len(ans) - n + 2), lambda i: array_to_string(ans[i:i + n - 1], ' '))), 0, 1 FROM pr, (SELECT unnest([1, 2, 3, 4]) AS n)),
  ov AS (SELECT id, n, sum(least(a, b)) AS common, sum(a) AS n_a, sum(b) AS n_b FROM (SELECT id, n, g, sum(a) AS a, sum(b) AS b FROM gr GROUP BY 1, 2, 3) GROUP BY 1, 2)"""
@@ -386,7 +387,13 @@ def _(t):
     return r6(M.rouge_n(_answers(t), "id", "ask", "ans"), "rouge1", "rouge2")
 
 
-@query("m_rouge_l")
+@query("m_rouge_l", f"""WITH RECURSIVE {TURNS}, x AS (SELECT id, unnest(ask) AS w, generate_subscripts(ask, 1) AS i FROM pr), y AS (SELECT id, unnest(ans) AS w, generate_subscripts(ans, 1) AS j FROM pr),
+ lcs AS (SELECT id, 0 AS i, j, 0 AS v FROM y UNION ALL
+  SELECT id, i, j, max(c) OVER (PARTITION BY id ORDER BY j) FROM (
+   SELECT l.id, l.i + 1 AS i, l.j, CASE WHEN x.w = y.w THEN coalesce(lag(l.v) OVER (PARTITION BY l.id ORDER BY l.j), 0) + 1 ELSE l.v END AS c
+   FROM lcs l JOIN x ON x.id = l.id AND x.i = l.i + 1 JOIN y ON y.id = l.id AND y.j = l.j)),
+ best AS (SELECT id, max(v) AS lcs FROM lcs GROUP BY 1), f AS (SELECT pr.id, coalesce(best.lcs, 0) AS lcs, len(ask) AS a, len(ans) AS b FROM pr LEFT JOIN best USING (id))
+SELECT id, CAST(lcs AS INTEGER) AS lcs, round(CASE WHEN a = 0 AND b = 0 THEN 1.0 WHEN a = 0 OR b = 0 THEN 0 ELSE 2 * CAST(lcs AS DOUBLE) / (a + b) END, 6) AS rouge_l FROM f""")
 def _(t):
     p = _answers(t)
     n, a, b = M.lcs_length(c("ask"), c("ans")), F.size("ask"), F.size("ans")
