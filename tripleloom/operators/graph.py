@@ -17,7 +17,7 @@ from tripleloom.operators import clean as C
 from tripleloom.operators import joins as J
 from tripleloom.operators import select as S
 
-ATTRIBUTES = ["type", "description", "properties", "time_complexity"]
+ATTRIBUTES = ["type", "description", "properties", "time_complexity", "space_complexity", "common_operations"]
 EDGE_ORDER = ["row_no", "head", "relation", "tail"]
 NO_ANSWER = "暂无可靠知识支持"
 
@@ -246,7 +246,7 @@ def build(raw: DataFrame, schema: DataFrame) -> tuple[DataFrame, DataFrame]:
     schema in one vocabulary, translate last."""
     c = F.col
     clean = raw.withColumn("head", C.norm_entity(c("head"))).withColumn("tail", C.norm_entity(c("tail")))
-    clean = clean.where(C.valid_triple(c("head"), c("relation"), c("tail")))
+    clean = staged(clean.where(C.valid_triple(c("head"), c("relation"), c("tail"))))      # read for edges and for nodes
     legal = C.enforce_schema(S.dedup_triples(clean, ["row_no"]), schema)
     nodes = S.node_union(clean).withColumn("type", C.translate(c("type"), K.EXPORT_TYPE_NAMES))
     edges = legal.withColumn("relation", C.translate(c("relation"), K.RELATION_NAMES))

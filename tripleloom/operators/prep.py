@@ -7,6 +7,8 @@ same choice and exact sizes come from exact ranks.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import mul
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -339,16 +341,21 @@ def noise(records: Column, labels: Sequence[str], rate: float, seed: int, key: s
     return let(F.struct(records.alias("r"), F.col(key).cast("string").alias("k")), run)
 
 
-def augment_merge(df: DataFrame, parts: Sequence[str]) -> DataFrame:
+def augment_merge(df: DataFrame, parts: Sequence[str], limit: int | None = None) -> DataFrame:
     """New sentences from the alternatives of five parts (before, first, between, second, after).
 
-    The product is over the few alternatives of one sentence, as the caller's synonym table
-    gives them.  Offsets are those of the new sentence; ``tail_first`` tells which entity
-    stands first.
+    Every combination has a number whose digits, each to the base of a part's alternatives, choose one of each part; so a row gives
+    its sentences in one step, all of them or the first ``limit`` when the caller states one.  A part without alternatives gives
+    none.  Offsets are those of the new sentence; ``tail_first`` tells which entity stands first.
     """
-    out = df
-    for p in parts:
-        out = out.withColumn(p, F.explode(p))
+    total = reduce(mul, [F.size(p).cast("long") for p in parts])
+    many = total if limit is None else F.least(total, F.lit(limit).cast("long"))
+    numbers = F.when(many > 0, F.sequence(F.lit(0).cast("long"), many - 1)).otherwise(F.array().cast("array<bigint>"))
+    out = df.withColumn("_n", F.explode(numbers))
+    for p in reversed(parts):
+        out = (out.withColumn("_k", (F.col("_n") % F.size(p)).cast("int")).withColumn("_n", F.floor(F.col("_n") / F.size(p)).cast("long"))
+               .withColumn(p, F.get(p, F.col("_k"))))
+    out = out.drop("_n", "_k")
     a, b, c, d, e = parts
     start1 = F.length(a)
     start2 = start1 + F.length(b) + F.length(c)

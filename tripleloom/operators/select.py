@@ -40,6 +40,17 @@ def merge_datasets(parts: Sequence[DataFrame], keys: Sequence[str], order: Seque
     return first_seen(whole, keys, ["_part", *order]).drop("_part")
 
 
+def missing_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, value): the values of the whole table that a key does not have, e.g. the types a sentence could have as negatives.
+
+    Keys meet the list of all distinct values, the schema, and pairs that occur are taken out by an anti-join of distinct pairs; no
+    key's own values are gathered.  Null values are no values.
+    """
+    pairs = df.where(F.col(value).isNotNull()).select(*keys, value).distinct()
+    every = pairs.select(value).distinct().agg(F.array_sort(F.collect_list(value))).scalar()
+    return df.select(*keys).distinct().withColumn(value, F.explode(every)).join(pairs, [*keys, value], "left_anti")
+
+
 def tp_fp_fn(gold: DataFrame, predicted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Set counts of two frames by a flagged union: one shuffle, no join."""
     both = (gold.select(*keys, F.lit(1).alias("_g"), F.lit(0).alias("_p"))

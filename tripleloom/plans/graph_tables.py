@@ -50,10 +50,11 @@ def raw_triples(t: Tables) -> DataFrame:
                     F.when(c("l_linenumber") == 1, none).otherwise(F.concat("s_name", F.lit(" supplies "), part_name)))
     uses = line(6000000000000, part_name, "DataStructure", F.lit("uses"), line_order, "Operation", none, none)
     applied = line(7000000000000, line_order, "Operation", F.lit("appliesTo"), c("s_name"), "Algorithm", none, none)
-    # all triples of a line come from one scan of the largest table
+    # all triples of a line come from one scan of the largest table; lines are dealt out before they multiply
     both = F.filter(F.array(supplied, F.when(c("l_linestatus") == "O", uses), F.when(c("l_linestatus") == "F", applied)),
                     lambda x: x.isNotNull())
-    lines = (t.lineitem.join(t.supplier, c("l_suppkey") == c("s_suppkey"))
+    fields = ["l_orderkey", "l_linenumber", "l_partkey", "l_discount", "l_returnflag", "l_linestatus", "s_name"]
+    lines = (t.lineitem.join(t.supplier, c("l_suppkey") == c("s_suppkey")).select(*fields).repartition("l_orderkey", "l_linenumber")
              .select(F.explode(both).alias("x")).select("x.*"))
     return customer.unionByName(nation).unionByName(placed).unionByName(lines)
 
@@ -63,25 +64,25 @@ def edges(t: Tables) -> DataFrame:
 
 
 def nodes(t: Tables) -> DataFrame:
-    """Every name and type, with the attributes of customers and parts.
+    """Every name and type, with the attributes of customers, suppliers and parts.
 
     Names carry their table in them, so the five kinds do not overlap and the node
     table needs no pass over the edges."""
     c = F.col
     none = F.lit(None).cast("string")
 
-    def kind(df, name, type_, description=none, properties=none, complexity=none):
-        return df.select(name.alias("name"), F.lit(type_).alias("type"), description.alias("description"),
-                         properties.alias("properties"), complexity.alias("time_complexity"))
+    def kind(df, name, type_, description=none, properties=none, complexity=none, space=none, operations=none):
+        return df.select(name.alias("name"), F.lit(type_).alias("type"), description.alias("description"), properties.alias("properties"),
+                         complexity.alias("time_complexity"), space.alias("space_complexity"), operations.alias("common_operations"))
 
     return (kind(t.customer, c("c_name"), "ApplicationScenario", c("c_mktsegment"),
                  F.when(c("c_custkey") % 4 != 0, F.concat(F.lit("balance "), c("c_nationkey").cast("string"))))
             .unionByName(kind(t.nation, c("n_name"), "Complexity"))
             .unionByName(kind(t.region, c("r_name"), "PrincipleOrProperty"))
             .unionByName(kind(t.orders, F.concat(F.lit("Order#"), c("o_orderkey").cast("string")), "Operation"))
-            .unionByName(kind(t.supplier, c("s_name"), "Algorithm"))
+            .unionByName(kind(t.supplier, c("s_name"), "Algorithm", operations=F.concat(F.lit("ships from "), c("s_nationkey").cast("string"))))
             .unionByName(kind(t.part, F.concat(F.lit("Part#"), c("p_partkey").cast("string")), "DataStructure",
-                              c("p_name"), none, c("p_type"))))
+                              c("p_name"), none, c("p_type"), c("p_brand"))))
 
 
 KG = """WITH kg_raw AS (
@@ -119,12 +120,12 @@ SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY head, rela
 ), kg_nodes AS (
 SELECT c_name AS name, 'ApplicationScenario' AS type, c_mktsegment AS description,
        CASE WHEN c_custkey % 4 <> 0 THEN concat('balance ', CAST(c_nationkey AS VARCHAR)) END AS properties,
-       CAST(NULL AS VARCHAR) AS time_complexity FROM customer
-UNION ALL SELECT n_name, 'Complexity', NULL, NULL, NULL FROM nation
-UNION ALL SELECT r_name, 'PrincipleOrProperty', NULL, NULL, NULL FROM region
-UNION ALL SELECT concat('Order#', CAST(o_orderkey AS VARCHAR)), 'Operation', NULL, NULL, NULL FROM orders
-UNION ALL SELECT s_name, 'Algorithm', NULL, NULL, NULL FROM supplier
-UNION ALL SELECT concat('Part#', CAST(p_partkey AS VARCHAR)), 'DataStructure', p_name, NULL, p_type FROM part
+       CAST(NULL AS VARCHAR) AS time_complexity, CAST(NULL AS VARCHAR) AS space_complexity, CAST(NULL AS VARCHAR) AS common_operations FROM customer
+UNION ALL SELECT n_name, 'Complexity', NULL, NULL, NULL, NULL, NULL FROM nation
+UNION ALL SELECT r_name, 'PrincipleOrProperty', NULL, NULL, NULL, NULL, NULL FROM region
+UNION ALL SELECT concat('Order#', CAST(o_orderkey AS VARCHAR)), 'Operation', NULL, NULL, NULL, NULL, NULL FROM orders
+UNION ALL SELECT s_name, 'Algorithm', NULL, NULL, NULL, NULL, concat('ships from ', CAST(s_nationkey AS VARCHAR)) FROM supplier
+UNION ALL SELECT concat('Part#', CAST(p_partkey AS VARCHAR)), 'DataStructure', p_name, NULL, p_type, p_brand, NULL FROM part
 )"""
 
 

@@ -106,41 +106,44 @@ CONTEXT = f"""{SEEN}, r AS (SELECT near, head, relation, tail, CAST({SCORE} AS I
  WHERE near IN (SELECT name FROM kg_nodes))"""
 
 
-@query("g_context_batch", kg(f"""{CONTEXT} SELECT near AS topic, rank, score, head, relation, tail, type, description, properties, time_complexity FROM r JOIN kg_nodes ON name = near WHERE rank <= 8"""))
+@query("g_context_batch", kg(f"""{CONTEXT} SELECT near AS topic, rank, score, head, relation, tail, {', '.join(G.ATTRIBUTES)} FROM r JOIN kg_nodes ON name = near WHERE rank <= 8"""))
 def _(t):
     return _batch(t).withColumn("rank", c("rank").cast("long"))
 
 
-@query("g_context", kg(f"""{CONTEXT}, e AS (SELECT near, rank, type, trim(description) AS description, trim(properties) AS properties, trim(time_complexity) AS time_complexity,
+@query("g_context", kg(f"""{CONTEXT}, e AS (SELECT near, rank, {', '.join(f'trim({a}) AS {a}' for a in G.ATTRIBUTES)},
   concat('{{"entity1":', to_json(head), ',"relation":', to_json(relation), ',"entity2":', to_json(tail), '}}') AS rel FROM r JOIN kg_nodes ON name = near WHERE rank <= 8)
 SELECT near AS topic, concat('{{"topic":', to_json(near), ',"attributes":{{', concat_ws(',', {', '.join(f"""'"{a}":' || to_json({a})""" for a in G.ATTRIBUTES)}), '}},"relations":[', string_agg(rel, ',' ORDER BY rank), ']}}') AS context
-FROM e GROUP BY near, type, description, properties, time_complexity"""))
+FROM e GROUP BY near, {', '.join(G.ATTRIBUTES)}"""))
 def _(t):
     return G.context_json(_batch(t))
 
 
 @query("g_evidence", kg(f"""{CONTEXT}, e AS (SELECT * FROM r JOIN kg_nodes ON name = near WHERE rank <= 8)
 SELECT near AS topic, concat('关系', rank, '：', head, ' ', relation, ' ', tail) AS text FROM e
-UNION ALL SELECT near, concat('属性-type：', type) FROM e WHERE rank = 1 UNION ALL SELECT near, concat('属性-description：', description) FROM e WHERE rank = 1 AND description <> ''
-UNION ALL SELECT near, concat('属性-properties：', properties) FROM e WHERE rank = 1 AND properties <> '' UNION ALL SELECT near, concat('属性-time_complexity：', time_complexity) FROM e WHERE rank = 1 AND time_complexity <> ''"""))
+{' '.join(f"UNION ALL SELECT near, concat('属性-{x}：', {x}) FROM e WHERE rank = 1 AND {x} <> ''" for x in G.ATTRIBUTES)}"""))
 def _(t):
     return G.evidence_lines(_batch(t)).select("topic", "text")
 
 
-@query("g_relation_lines", kg("""SELECT no, CASE WHEN no <= 5 THEN concat(line, chr(10), 'type: ', at, coalesce('，description: ' || ad, ''), coalesce('，properties: ' || ap, ''), coalesce('，time_complexity: ' || ac, ''),
-  '；type: ', bt, coalesce('，description: ' || bd, ''), coalesce('，properties: ' || bp, ''), coalesce('，time_complexity: ' || bc, '')) ELSE line END AS text FROM (
- SELECT row_number() OVER (ORDER BY row_no, head, tail) AS no, concat(row_number() OVER (ORDER BY row_no, head, tail), '. ', head, ' ', relation, ' ', tail) AS line, a.type AS at, a.description AS ad, a.properties AS ap, a.time_complexity AS ac,
-  b.type AS bt, b.description AS bd, b.properties AS bp, b.time_complexity AS bc FROM (SELECT * FROM kg_edges WHERE contains(head, 'Supplier#00000001') AND contains(relation, 'uses')) JOIN kg_nodes a ON a.name = head JOIN kg_nodes b ON b.name = tail)""".replace(" AS at,", " AS at_,").replace("', at,", "', at_,")))
+def _details(side: str) -> str:
+    """All filled attributes of one end as SQL."""
+    return "concat_ws('，', " + ", ".join(f"'{x}: ' || {side}.{x}" for x in G.ATTRIBUTES) + ")"
+
+
+@query("g_relation_lines", kg(f"""SELECT no, CASE WHEN no <= 5 THEN concat(line, chr(10), detail_a, '；', detail_b) ELSE line END AS text FROM (
+ SELECT row_number() OVER (ORDER BY row_no, head, tail) AS no, concat(row_number() OVER (ORDER BY row_no, head, tail), '. ', head, ' ', relation, ' ', tail) AS line, {_details('a')} AS detail_a, {_details('b')} AS detail_b
+ FROM (SELECT * FROM kg_edges WHERE contains(head, 'Supplier#00000001') AND contains(relation, 'uses')) JOIN kg_nodes a ON a.name = head JOIN kg_nodes b ON b.name = tail)"""))
 def _(t):
     found = G.entities_by_relation(edges(t), nodes(t), ["Supplier#00000001"], "uses")
     return G.relation_lines(found, ["row_no", "head", "tail"]).select(c("no").cast("long").alias("no"), "text")
 
 
-@query("f_pick_attrs", kg(f"""{SEEN} SELECT near AS topic, any_value(type) AS type, any_value(nullif(trim(description), '')) AS description, any_value(nullif(trim(properties), '')) AS properties
+@query("f_pick_attrs", kg(f"""{SEEN} SELECT near AS topic, {', '.join(f"any_value(nullif(trim({x}), '')) AS {x}" for x in G.ATTRIBUTES)}
  FROM seen JOIN kg_nodes ON name = near GROUP BY 1"""))
 def _(t):
     seen = J.undirected(edges(t).select(*ORDER)).join(nodes(t).withColumnRenamed("name", "near"), "near")
-    return G.pick_attributes(seen, "near", ORDER, ["type", "description", "properties"]).withColumnRenamed("near", "topic")
+    return G.pick_attributes(seen, "near", ORDER, G.ATTRIBUTES).withColumnRenamed("near", "topic")
 
 
 @query("f_type_group", kg(f"""SELECT name, CAST(CASE {sql_case(K.TYPE_NAMES, 'type', 'type')} WHEN '算法' THEN 1 WHEN '数据结构' THEN 2 WHEN '策略' THEN 3 WHEN '模式' THEN 4 WHEN '概念' THEN 5 ELSE 6 END AS INTEGER) AS grp FROM kg_nodes"""))

@@ -205,9 +205,9 @@ def _(t):
 @query("s_difference", """SELECT p_brand, p_size, array_to_string(list_sort(list_filter((SELECT list(DISTINCT p_type) FROM part), lambda x: NOT list_contains(have, x))), '|') AS missing
  FROM (SELECT p_brand, p_size, list(DISTINCT p_type) AS have FROM part GROUP BY 1, 2)""")
 def _(t):
-    have = t.part.groupBy("p_brand", "p_size").agg(F.collect_set("p_type").alias("have"))
-    every = t.part.agg(F.collect_set("p_type")).scalar()
-    return have.withColumn("every", every).select("p_brand", "p_size", F.array_join(F.array_sort(F.array_except("every", "have")), "|").alias("missing"))
+    brands = t.part.select("p_brand", "p_size").distinct()
+    missing = S.missing_values(t.part, ["p_brand", "p_size"], "p_type").groupBy("p_brand", "p_size").agg(F.array_join(F.array_sort(F.collect_list("p_type")), "|").alias("missing"))
+    return brands.join(missing, ["p_brand", "p_size"], "left").select("p_brand", "p_size", F.coalesce("missing", F.lit("")).alias("missing"))
 
 
 GP = """g AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A'), p AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_linestatus = 'F')"""
