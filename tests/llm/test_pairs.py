@@ -243,6 +243,32 @@ def test_payload_that_looks_like_a_response(spark):
     assert got == {i: (len(h), warc.digest(h.encode()), "revisit" if i == 0 else "response", 3 if i == 0 else None) for i, h in enumerate(html)}
 
 
+def test_revisits_name_records_of_the_archives(spark, tmp_path):
+    pages = spark.createDataFrame([(i, None if i == 9 else f"http://h/{i} x", f"body {i % 3}") for i in range(30)] + [(9, "http://again", "body 0")], "page_id long, url string, html string").repartition(4)
+    path = str(tmp_path / "w")
+    warc.convert(pages, path)
+    rows = warc.records_of(spark, path).collect()
+    ids = {r["record_id"]: r["page_id"] for r in rows if r["record_type"] == "response"}
+    assert len(ids) == 3 and all(ids[r["refers"]] == 27 + r["page_id"] % 3 for r in rows if r["record_type"] == "revisit") and len(rows) == 31
+    for f in (tmp_path / "w").glob("part-*.gz"):
+        import gzip
+        kinds = [r["warc-type"] for r in warc.read_warc(gzip.decompress(f.read_bytes()))]
+        assert kinds[0] == "warcinfo" and kinds.count("warcinfo") == 1
+    copies = spark.createDataFrame([(i, "u", "same") for i in range(2000)], "page_id long, url string, html string")
+    got = warc.query(copies)
+    assert got.where("record_type = 'revisit' and refers_to = 1999").count() == 1999 and got.where("record_type = 'response'").count() == 1
+
+
+def test_every_file_begins_with_its_description(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 5000)
+    pages = spark.range(40).selectExpr("id AS page_id", "'u' AS url", "concat('text ', id) AS html").coalesce(1)
+    path = str(tmp_path / "w")
+    warc.convert(pages, path)
+    import gzip
+    files = [[r["warc-type"] for r in warc.read_warc(gzip.decompress(f.read_bytes()))] for f in (tmp_path / "w").glob("part-*.gz")]
+    assert len(files) > 5 and all(k[0] == "warcinfo" and k.count("warcinfo") == 1 for k in files) and sum(map(len, files)) == 40 + len(files)
+
+
 def test_name_look_ups_are_resources():
     arc = warc.write_arc([{"url": "dns:a.org", "type": "text/dns", "body": b"a.org. 300 IN A 1.2.3.4"}])
     assert b"WARC-Type: resource" in warc.to_warc(list(warc.read_arc(arc))[1])

@@ -76,6 +76,38 @@ def test_long_words_do_not_underflow():
     assert np.isfinite(langid.word_scores(["a" * 20_000, "ab"], path, prob)).all()
 
 
+def test_expected_counts_equal_enumeration_and_long_runs_teach():
+    path = tokens.vocabulary_path(langid.VOCABULARY)
+    p = langid.pieces(path)
+    prob = np.random.default_rng(3).random(p.size)
+    prob /= prob.sum()
+
+    def enumerate_counts(word):
+        total, out = 0.0, np.zeros(p.size)
+        word = langid.START + word
+        number = {name: i for i, name in enumerate(p.names)}
+
+        def walk(at, weight, used):
+            nonlocal total
+            if at == len(word):
+                total += weight
+                for u in used:
+                    out[u] += weight
+                return
+            for l in range(1, min(langid.LONGEST, len(word) - at) + 1):
+                k = number.get(word[at:at + l], p.size - 1 if l == 1 else None)
+                if k is not None:
+                    walk(at + l, weight * prob[k], [*used, k])
+        walk(0, 1.0, [])
+        return out / total
+    words, weight = ["the", "aux", "a", "nationale"], np.array([1.0, 2.0, 1.0, 3.0])
+    assert np.abs(langid.expected(words, weight, path, prob) - sum(w * enumerate_counts(x) for x, w in zip(words, weight))).max() < 1e-9
+    got = langid.expected(["thecat" * 700], np.array([1.0]), path, prob)
+    assert np.isfinite(got).all() and got.sum() > 700            # a run of 4,200 letters: at least a piece for every 16
+    lengths = np.array([len(n) for n in p.names] + [1] * (p.size - len(p.names)))
+    assert abs((got * lengths[:p.size]).sum() - 4201) < 1e-6
+
+
 def test_held_out_languages(docs):
     rows = langid.query(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in rows if r["held_out"]]
@@ -279,7 +311,23 @@ def test_packing_edges(spark):
     assert packing.pack(odd(spark).limit(0)).count() == 0
 
 
-def test_bins_round_up_a_little(spark):
-    got = spark.range(1, 200_000, 7).select("id", packing.bin_edge(F.col("id")).alias("e")).where("e < id or e > id * 1.002").count()
-    assert got == 0
-    assert spark.range(0, 200_000).select(packing.bin_edge(F.col("id"))).distinct().count() < 1024 + 512 * 9
+def test_boundaries_of_long_texts_are_lengths_that_occur(spark):
+    rnd = random.Random(5)
+    lengths = [rnd.randint(1, 3000) for _ in range(60)] + [rnd.randint(1000, 60_000) for _ in range(40)]
+    df = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    rows = packing.pack(df, buckets=5).collect()
+    ends = sorted({r["padded_tokens"] for r in rows})
+    assert set(ends) <= set(lengths) and all(r["padded_tokens"] == min(e for e in ends if e >= r["n_tokens"]) for r in rows)
+    # the least padding by a plain programme over all lengths
+    have = sorted(set(lengths))
+    cost = {(i, j): sum(have[j] - n for n in lengths if (have[i - 1] if i else 0) < n <= have[j]) for i in range(len(have)) for j in range(i, len(have))}
+    best = [cost[0, j] for j in range(len(have))]
+    for _ in range(4):
+        best = [min([best[j]] + [best[i - 1] + cost[i, j] for i in range(1, j + 1)]) for j in range(len(have))]
+    assert sum(r["padded_tokens"] - r["n_tokens"] for r in rows) == best[-1]
+
+
+def test_packing_follows_the_rows_not_their_files(spark, docs):
+    few = docs.where("doc_id < 200")
+    pick = lambda df: sorted((r["id"], r["bucket"], r["batch_id"], r["slot"]) for r in packing.pack(df, budget=3000).collect())
+    assert pick(few.repartition(7)) == pick(few.orderBy(F.desc("doc_id")).coalesce(2))

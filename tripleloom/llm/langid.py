@@ -113,30 +113,46 @@ def word_scores(words: list[str], path: str, prob: np.ndarray) -> np.ndarray:
     return out
 
 
-def expected(words: list[str], weight: np.ndarray, path: str, prob: np.ndarray) -> np.ndarray:
-    """Expected piece counts of weighted words of one language under ``prob`` (pieces).
+def scaled_sums(spans: list, prob: np.ndarray, n: int, length: int, backward: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Summed probabilities of all segmentations up to (or from) every place, as values and the logs of what they are to be multiplied by.
+
+    The last ``LONGEST`` values are rescaled as often, so a run of letters of any length neither under- nor overflows."""
+    sums, logs = np.zeros((length + 1, n)), np.zeros((length + 1, n))
+    order = range(length, -1, -1) if backward else range(length + 1)
+    sums[order[0]] = 1.0
+    for k, j in enumerate(order):
+        if k:
+            steps = range(1, min(LONGEST, k) + 1)
+            sums[j] = sum(sums[j + l] * prob[spans[l][:, j]] for l in steps) if backward else sum(sums[j - l] * prob[spans[l][:, j - l]] for l in steps)
+            logs[j] = logs[order[k - 1]]
+        if k % LONGEST == LONGEST - 1:
+            window = slice(j, j + LONGEST) if backward else slice(j - LONGEST + 1, j + 1)
+            # all values of a window are under the scale of its newest one when the next ones are summed from them
+            level = np.exp(logs[window] - logs[j])
+            top = (sums[window] * level).max(axis=0)
+            top = np.where(top > 0, top, 1.0)
+            sums[window] = sums[window] * level / top
+            logs[window] = logs[j] + np.log(top)
+    return sums, logs
+
 
-    Runs of over ``8 * LONGEST`` letters are no words of any language and teach nothing."""
+def expected(words: list[str], weight: np.ndarray, path: str, prob: np.ndarray) -> np.ndarray:
+    """Expected piece counts of weighted words of one language under ``prob`` (pieces); runs of letters of any length teach."""
     p, out = pieces(path), np.zeros(len(prob))
     prob = np.append(prob, 0.0)
-    keep = [i for i, w in enumerate(words) if len(w) < 8 * LONGEST]
-    words, weight = [START + words[i] for i in keep], weight[keep]
-    for at, codes in blocks(words):
+    for at, codes in blocks([START + w for w in words]):
         n, length = codes.shape
         spans = p.spans(codes)
-        alpha, beta = np.zeros((length + 1, n)), np.zeros((length + 1, n))
-        alpha[0], beta[length] = 1.0, 1.0
-        for j in range(1, length + 1):
-            for l in range(1, min(LONGEST, j) + 1):
-                alpha[j] += alpha[j - l] * prob[spans[l][:, j - l]]
-        for i in range(length - 1, -1, -1):
-            for l in range(1, min(LONGEST, length - i) + 1):
-                beta[i] += beta[i + l] * prob[spans[l][:, i]]
-        each = np.divide(weight[at], alpha[length], out=np.zeros(n), where=alpha[length] > 0)
+        alpha, alpha_log = scaled_sums(spans, prob, n, length, False)
+        beta, beta_log = scaled_sums(spans, prob, n, length, True)
+        whole = np.log(alpha[length], out=np.full(n, np.inf), where=alpha[length] > 0) + alpha_log[length]
         for l in range(1, len(spans)):
-            for i in range(length - l + 1):
-                piece = spans[l][:, i]
-                out += np.bincount(piece % len(prob), each * alpha[i] * prob[piece] * beta[i + l], len(prob))[:-1]
+            if l > length:
+                break
+            piece = spans[l][:, :length - l + 1]
+            scale = np.exp(np.minimum(alpha_log[:length - l + 1] + beta_log[l:] - whole, 700.0)).T
+            share = weight[at][:, None] * alpha[:length - l + 1].T * prob[piece] * beta[l:].T * scale
+            out += np.bincount((piece % len(prob)).ravel(), share.ravel(), len(prob))[:-1]
     return out
 
 

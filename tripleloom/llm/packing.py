@@ -2,10 +2,10 @@
 
 The boundaries come from dynamic programming over the histogram of all lengths: a document is padded
 to the boundary of its bucket, and the boundaries chosen minimise the padding of the whole corpus.
-Lengths up to ``EXACT`` are their own bin; longer ones are rounded up by less than 1 in ``EXACT // 2``,
-so the histogram has at most ``EXACT // 2`` bins an octave, however many documents there are.
+Every length that occurs is its own bin, so a boundary is always the length of some document, and the
+histogram has at most as many bins as the longest document has tokens.
 
-Inside a bucket documents are numbered in a random order that is written once, and cut into batches of
+Inside a bucket documents are numbered in the order of a hash of id and text, and cut into batches of
 as many rows as the token budget allows.  Numbers come from counts of bounded parts of each bucket, so
 a bucket with any share of the rows is numbered by many tasks.
 """
@@ -19,56 +19,48 @@ from pyspark.sql import functions as F
 from tripleloom.functions.session import staged
 from tripleloom.llm.common import word_count
 
-EXACT = 1024
 PART_ROWS = 100_000   # rows of a bucket that one task numbers, on average
 SEED = 7
 
 
-def bin_edge(n: Column) -> Column:
-    """The length a document of n tokens counts as: n up to EXACT, else n rounded up to its 10 leading bits."""
-    bits = F.greatest(F.lit(0), F.length(F.bin(n)) - F.lit(EXACT.bit_length() - 1))
-    width = F.pow(F.lit(2.0), bits).cast("long")
-    return F.when(n <= EXACT, n).otherwise(F.ceil(n / width).cast("long") * width)
-
-
 def boundaries(edges: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """At most ``buckets`` of the ascending ``edges``, the last among them, with the least padding
     (edge of the bucket minus edge of the bin, summed over documents).  Fewer edges than buckets: all.
 
-    The cost of a bucket satisfies the quadrangle inequality, so best cuts move one way and each layer
-    is filled by divide and conquer.
+    With i the first bin of the last bucket, its padding is the value of a line at the bucket's edge, and the lines' slopes fall
+    with i; so a layer is the lower hull of the lines, walked once along the ascending edges.
     """
     m = len(edges)
     if m <= buckets:
         return [int(e) for e in edges]
-    edges = edges.astype(float)
-    rows, mass = np.concatenate([[0.0], np.cumsum(counts)]), np.concatenate([[0.0], np.cumsum(counts * edges)])
-    best = edges * rows[1:] - mass[1:]
+    at, n = [int(e) for e in edges], [int(c) for c in counts]
+    rows, mass = [0], [0]
+    for e, c in zip(at, n):
+        rows.append(rows[-1] + c)
+        mass.append(mass[-1] + c * e)
+    best = [at[j] * rows[j + 1] - mass[j + 1] for j in range(m)]
     cuts = []
     for _ in range(buckets - 1):
-        now, cut = np.empty(m), np.zeros(m, np.int64)
-        todo = [(0, m - 1, 0, m - 1)]
-        while todo:
-            lo, hi, a, b = todo.pop()
-            if lo > hi:
-                continue
-            j = (lo + hi) // 2
-            i = np.arange(a, min(j, b) + 1)          # the last bucket holds bins i..j
-            before = np.where(i > 0, best[i - 1], 0.0)
-            cost = before + edges[j] * (rows[j + 1] - rows[i]) - (mass[j + 1] - mass[i])
-            k = int(cost.argmin())
-            now[j], cut[j] = cost[k], i[k]
-            todo += [(lo, j - 1, a, cut[j]), (j + 1, hi, cut[j], b)]
+        now, cut, hull, head = [0] * m, [0] * m, [], 0
+        for j in range(m):
+            slope, height = -rows[j], (best[j - 1] if j else 0) + mass[j]                 # the last bucket begins with bin j
+            while len(hull) - head > 1 and (height - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - slope):
+                hull.pop()
+            hull.append((slope, height, j))
+            while len(hull) - head > 1 and hull[head + 1][0] * at[j] + hull[head + 1][1] <= hull[head][0] * at[j] + hull[head][1]:
+                head += 1
+            slope, height, i = hull[head]
+            now[j], cut[j] = slope * at[j] + height + at[j] * rows[j + 1] - mass[j + 1], i
         best = now
         cuts.append(cut)
     out, j = [], m - 1
     for cut in reversed(cuts):
-        out.append(int(edges[j]))
-        j = int(cut[j]) - 1
+        out.append(at[j])
+        j = cut[j] - 1
         if j < 0:
             break
     else:
-        out.append(int(edges[j]))
+        out.append(at[j])
     return sorted(out)
 
 
@@ -77,13 +69,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", tokens: Column | None = None,
 
     ``tokens`` defaults to the words of ``text``; null counts as 0.  A batch has floor(budget / padded)
     rows of one bucket, at least one: a document over the budget is a batch of its own, whole.  Rows
-    that repeat an id are packed each; an empty table gives no rows.  Which rows share a batch is
-    drawn at random and written once; buckets, paddings and batch sizes depend on the data alone.
+    that repeat an id are packed each; an empty table gives no rows.  Which rows share a batch follows from hashes
+    of id, text and length, so the same rows in other files are packed alike.
     """
     n = F.coalesce(tokens if tokens is not None else word_count(F.col("text")), F.lit(0)).cast("long")
-    lengths = staged(docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"), F.rand(SEED).alias("_at")))
-    histogram = (lengths.groupBy(bin_edge(F.col("n_tokens")).alias("edge")).agg(F.count(F.lit(1)).alias("n"))
-                 .orderBy("edge").toPandas())       # at most EXACT // 2 rows an octave
+    said = [F.col("text")] if "text" in docs.columns else []
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(id_col), n, *said), 11).cast("double") / float(1 << 53)
+    lengths = staged(docs.select(F.col(id_col).alias("id"), n.alias("n_tokens"), draw.alias("_at")))
+    histogram = (lengths.groupBy(F.col("n_tokens").alias("edge")).agg(F.count(F.lit(1)).alias("n"))
+                 .orderBy("edge").toPandas())       # a row for each length that occurs
     edges, counts = histogram["edge"].to_numpy(np.int64), histogram["n"].to_numpy(np.int64)
     ends = boundaries(edges, counts, buckets)
     in_bucket = np.bincount(np.searchsorted(ends, edges), counts, max(1, len(ends))).astype(np.int64)

@@ -17,6 +17,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,10 +37,13 @@ class BadArchive(ValueError):
     """Header line or length that does not fit its version."""
 
 
+def field(value) -> str:
+    """A header field of an ARC record: blanks, line breaks and % become %XX; empty ones '-'."""
+    return re.sub(r"[\s%]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), str(value)) if value not in (None, "") else "-"
+
+
 def write_arc(records: list[dict], version: int = 1, name: str = "pages.arc") -> bytes:
-    """An uncompressed ARC file.  Blanks and line breaks in header fields become %XX; empty ones '-'."""
-    def field(value) -> str:
-        return re.sub(r"[\s%]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), str(value)) if value not in (None, "") else "-"
+    """An uncompressed ARC file."""
     note = f"{version} 0 tripleloom\n{' '.join(FIELDS[version])}\n".encode()
     first = {"url": f"filedesc://{name}", "ip": "0.0.0.0", "type": "text/plain", "body": note, **({"status": 200} if version == 2 else {})}
     out = bytearray()
@@ -97,6 +101,11 @@ def http_header(body: bytes) -> int:
     return body.find(b"\r\n\r\n") + 4 if body.startswith(b"HTTP/") and b"\r\n\r\n" in body else 0
 
 
+def record_id(url: str, date: str, body_digest: str, extra: dict | None) -> str:
+    """Identifier that follows from what a record holds, so that whoever converts it again gives it the same one."""
+    return f"<urn:uuid:{uuid.uuid5(NAMES, ' '.join([url, date, body_digest, *(f'{k}={v}' for k, v in (extra or {}).items())]))}>"
+
+
 def to_warc(record: dict, extra: dict | None = None, revisit_of: str | None = None) -> bytes:
     """The WARC record equivalent to an ARC record, without the two line ends that follow it.
 
@@ -110,8 +119,7 @@ def to_warc(record: dict, extra: dict | None = None, revisit_of: str | None = No
     kind = ("warcinfo" if record["url"].startswith("filedesc://") else "resource" if record["type"] == "text/dns"
             else "revisit" if revisit_of is not None else "response")
     block = body[:head] if kind == "revisit" else body
-    identity = " ".join([record["url"], record["date"], digest(body), *(f"{k}={v}" for k, v in (extra or {}).items())])
-    lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMES, identity)}>", f"WARC-Date: {stamp(record['date'])}"]
+    lines = [VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(record['url'], record['date'], digest(body), extra)}", f"WARC-Date: {stamp(record['date'])}"]
     if kind == "warcinfo":
         lines.append(f"WARC-Filename: {record['url'].removeprefix('filedesc://')}")
     elif record["url"] != "-":
@@ -122,7 +130,8 @@ def to_warc(record: dict, extra: dict | None = None, revisit_of: str | None = No
     if kind == "revisit":
         lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {revisit_of}", f"X-Payload-Length: {len(payload)}"]
     lines += [f"{k}: {v}" for k, v in (extra or {}).items()]
-    lines += [f"Content-Type: {'application/http; msgtype=response' if head else record['type']}", f"Content-Length: {len(block)}"]
+    media = "application/warc-fields" if kind == "warcinfo" else "application/http; msgtype=response" if head else record["type"]
+    lines += [f"Content-Type: {media}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
@@ -160,7 +169,7 @@ def convert(pages: DataFrame, path: str, version: int = 1, least: int = 0) -> No
 
     Payloads of at least ``least`` bytes that are equal are stored once, in the record with the largest
     page_id (of rows that repeat that id, and of null ids when all are null, all are stored); the others
-    become revisits of it.  Files hold so many records that an average one stays under FILE_BYTES and
+    become revisits of it and refer to it by its identifier.  Every file begins with a ``warcinfo`` record.  Files hold so many records that an average one stays under FILE_BYTES and
     none can pass 1 GiB unless one record does.  Every record is an HTTP response with the html as its
     payload, also html that itself looks like a response.  Null html is an empty payload, a null url
     is '-'.  Spark's text writer lays down the records, so that a task which is run again leaves no
@@ -169,29 +178,47 @@ def convert(pages: DataFrame, path: str, version: int = 1, least: int = 0) -> No
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce(F.col("html"), F.lit("")).alias("html"), F.sha1(body).alias("digest"), F.octet_length(body).alias("size"))
-    facts = staged(rows.select("page_id", "digest", "size"))
+    facts = staged(rows.select("page_id", "url", "digest", "size"))
     mean, most = facts.agg(F.avg("size"), F.max("size")).first()
-    each = int(max(1, min(FILE_BYTES // ((mean or 0) + 1024), (1 << 30) // ((most or 0) + 1024))))
-    copies = (facts.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.count(F.lit(1)).alias("n"))
-              .where("n > 1").select("digest", "size", "keeper"))
-    known = rows.join(copies, ["digest", "size"], "left").select("page_id", "url", "html", "keeper")
+    each = int(max(2, min(FILE_BYTES // ((mean or 0) + 1024), (1 << 30) // ((most or 0) + 1024))))
+    keeper = F.max(F.struct("page_id", "url")).alias("keeper")
+    copies = (facts.where(F.col("size") >= least).groupBy("digest", "size").agg(keeper, F.count(F.lit(1)).alias("n"))
+              .where("n > 1").select("digest", "size", F.col("keeper.page_id").alias("keeper"), F.col("keeper.url").alias("keeper_url")))
+    known = rows.join(copies, ["digest", "size"], "left").select("page_id", "url", "html", "keeper", "keeper_url")
 
     def to_records(batches):
+        n, task = 0, TaskContext.get().partitionId()
         for batch in batches:
             lines = []
             ids = batch["page_id"].astype("Int64")
             arc = write_arc([{"url": u, "type": "text/html", "ip": "0.0.0.0", "body": HTTP + h.encode("utf-8")} for u, h in zip(batch["url"], batch["html"])], version)
-            for record, page, keeper in zip(list(read_arc(arc))[1:], ids, batch["keeper"].astype("Int64")):
+            about, *records = read_arc(arc)
+            for record, page, keeper, url in zip(records, ids, batch["keeper"].astype("Int64"), batch["keeper_url"]):
+                if n % each == 0:                            # the writer begins a new file here
+                    lines.append(to_warc({**about, "body": info(about["version"])}, {"X-Part": f"{task}-{n // each}"}).decode("utf-8"))
+                    n += 1
                 other = pd.notna(keeper) and (pd.isna(page) or page != keeper)
-                extra = {"X-Page-Id": "null" if pd.isna(page) else int(page)}
-                lines.append(to_warc(record, extra, f"<urn:page:{int(keeper)}>" if other else None).decode("utf-8"))
+                kept = record_id(field(url), record["date"], digest(record["body"]), page_header(keeper)) if other else None
+                lines.append(to_warc(record, page_header(page), kept).decode("utf-8"))
+                n += 1
             yield pd.DataFrame({"value": pd.Series(lines, dtype=object)})
 
     known.mapInPandas(to_records, "value string").write.option("lineSep", END).option("maxRecordsPerFile", each).option("compression", "gzip").text(path)
 
 
-def read_back(spark, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record in the archives."""
+def page_header(page) -> dict:
+    return {"X-Page-Id": "null" if pd.isna(page) else int(page)}
+
+
+def info(version: int) -> bytes:
+    return f"software: tripleloom\r\nformat: WARC File Format 1.1\r\nconverted-from: ARC version {version}\r\n".encode()
+
+
+RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, record_id string, refers string"
+
+
+def records_of(spark, path: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, record_id, refers) of every record in the archives but ``warcinfo``."""
     def records(batches):
         for batch in batches:
             for content in batch["content"]:
@@ -206,11 +233,23 @@ def read_back(spark, path: str) -> DataFrame:
                     if not revisit and own != stated:
                         raise BadArchive(f"page {page}: digest does not fit")
                     rows.append((None if page == "null" else int(page), int(r["x-payload-length"]) if revisit else len(payload), stated,
-                                 r["warc-type"], int(r["warc-refers-to"].removeprefix("<urn:page:").removesuffix(">")) if revisit else None))
-                yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype(
-                    {"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+                                 r["warc-type"], r["warc-record-id"], r["warc-refers-to"] if revisit else None))
+                yield pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "record_id", "refers"]).astype(
+                    {"page_id": "Int64", "payload_bytes": "Int64"})
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInPandas(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.mapInPandas(records, RECORD)
+
+
+def read_back(spark, path: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record in the archives.
+
+    A revisit's reference is resolved by the identifier it names, among the records of all archives; null if it is not there."""
+    found = staged(records_of(spark, path))
+    named = found.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers")).agg(F.max("page_id").alias("refers_to"))
+    revisits = found.where("record_type = 'revisit'").join(named, "refers", "left")
+    out = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    return (found.where("record_type <> 'revisit'").select(*out, F.lit(None).cast("long").alias("refers_to"))
+            .unionByName(revisits.select(*out, "refers_to")))
 
 
 def query(pages: DataFrame) -> DataFrame:
