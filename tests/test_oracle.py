@@ -1,14 +1,10 @@
-"""A cross-section of the registered queries against SQL at the smallest scale factor.
-
-All of them run with ``python tests/oracle.py``.
-"""
+"""All registered queries of the library against their SQL at the smallest scale factor."""
 
 import pytest
 
-NAMES = ["norm_entity", "enforce_schema", "fill_context", "j_edge_endpoints", "j_upsert_attributes", "j_pairs_ordered", "j_distant_label", "a_hub_skew", "a_group_sentence",
-         "a_vocab", "s_undirected_links", "w_running_offset", "w_bio_islands", "w_kfold", "t_link_by_degree", "g_query_graph", "g_context_batch", "g_route", "g_curate_report",
-         "f_parse_ie_json", "f_format_attr", "f_spans_to_bio", "m_tuple_f1", "m_nested_event", "m_doc_relation", "m_bleu", "p_balance", "p_answers", "p_neg_sample",
-         "src_conll", "src_type_dict", "snk_edges", "g_import", "g_import_overwrite", "g_iterate_rounds", "st_annotate", "st_ingest", "st_upsert"]
+from tripleloom.plans import catalog
+
+NAMES = sorted(catalog.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -191,13 +191,13 @@ def subgraph(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return shown, links
 
 
-def sample_nodes(edges: DataFrame, nodes: DataFrame, limit: int, seed: int, rounds: int = 3, share: float = 0.7) -> DataFrame:
-    """``limit`` nodes: 70 % by seeded hash, then neighbours of the chosen, then more by hash.
+def sample_nodes(edges: DataFrame, nodes: DataFrame, limit: int, seed: int, rounds: int = 3, share: float = 0.7, drawn: Column | None = None) -> DataFrame:
+    """``limit`` nodes: 70 % by seeded hash, then neighbours of the chosen, then more by hash (``drawn``, where the caller has its own).
 
     The chosen set has at most ``limit`` rows in every round, so it is broadcast; each
     round keeps the first free places by hash, and three rounds are planned.
     """
-    order = [F.xxhash64("name", F.lit(seed)), F.col("name")]
+    order = [F.xxhash64("name", F.lit(seed)) if drawn is None else drawn, F.col("name")]
     every = nodes.select("name").distinct()
     chosen = every.orderBy(*order).limit(int(limit * share)).select("name", F.lit(0).alias("round"))
     links = J.undirected(edges).select("near", "far").distinct()

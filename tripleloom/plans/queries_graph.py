@@ -167,10 +167,21 @@ def _(t):
         l.select(F.lit("link").alias("kind"), c("head").alias("a"), F.lit(None).cast("int").alias("grp"), "relation", c("tail").alias("b")))
 
 
-@query("g_sample_subgraph")
+def _reach(n: int) -> str:
+    """A round of the sample as SQL: neighbours of the chosen, earlier rounds first, then by draw."""
+    return f"""c{n} AS (SELECT name, min(round) AS round FROM (SELECT * FROM c{n - 1} UNION ALL SELECT far, {n} FROM ends JOIN c{n - 1} ON near = name) GROUP BY 1
+  ORDER BY 2, md5(concat('7|', name)), name LIMIT 100)"""
+
+
+@query("g_sample_subgraph", kg(f""", ends AS (SELECT DISTINCT head AS near, tail AS far FROM kg_edges UNION SELECT tail, head FROM kg_edges), every AS (SELECT DISTINCT name FROM kg_nodes),
+ c0 AS (SELECT name, 0 AS round FROM every ORDER BY md5(concat('7|', name)), name LIMIT 70), {_reach(1)}, {_reach(2)}, {_reach(3)},
+ chosen AS (SELECT name, min(round) AS round FROM (SELECT * FROM c3 UNION ALL SELECT name, 4 FROM every) GROUP BY 1 ORDER BY 2, md5(concat('7|', name)), name LIMIT 100),
+ sides AS (SELECT head AS name FROM kg_edges UNION ALL SELECT tail FROM kg_edges), d AS (SELECT name, count(*) AS degree FROM sides GROUP BY 1)
+SELECT row_no, head, relation, tail, a.degree + b.degree AS score FROM kg_edges JOIN d a ON a.name = head JOIN d b ON b.name = tail
+WHERE head IN (SELECT name FROM chosen) AND tail IN (SELECT name FROM chosen) ORDER BY score DESC, row_no, head, relation, tail LIMIT 150"""))
 def _(t):
     e = edges(t).select(*ORDER)
-    chosen = G.sample_nodes(e, nodes(t), 100, seed=7)
+    chosen = G.sample_nodes(e, nodes(t), 100, seed=7, drawn=F.md5(F.concat(F.lit("7|"), "name")))
     return S.links_by_degree(e, chosen, ORDER, 150)
 
 

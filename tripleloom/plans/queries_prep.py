@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tripleloom.functions import answers as N
 from tripleloom.operators import joins as J
 from tripleloom.operators import prep as P
-from tripleloom.plans.registry import query
+from tripleloom.plans.registry import dealt, query
 
 c = F.col
 L = lambda x: x.cast("long")
@@ -50,7 +50,7 @@ REC = r"""rec AS (SELECT doc_id, text, list_distinct(regexp_extract_all(text, '[
 
 def _words(t):
     ws = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Z]\p{L}{3,}"), F.lit(0)))
-    return t.documents.select("doc_id", "text", ws.alias("ws"))
+    return dealt(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", "text", ws.alias("ws"))
 
 
 def _type(w):
@@ -139,7 +139,38 @@ def _relations(t):
     return conv.select("doc_id", "text", "ws", rel.alias("rels"))
 
 
-@query("p_answers_tasks")
+def _listed(name: str, item: str, where: str = "true") -> str:
+    """A JSON field whose list holds ``item`` of every relation that fits, as SQL."""
+    return f"""'"{name}":[', coalesce(string_agg({item}, ',' ORDER BY place, i) FILTER (WHERE i IS NOT NULL AND {where}), ''), ']'"""
+
+
+def _object(*fields: str) -> str:
+    return "concat('{', " + ", ',', ".join(fields) + ", '}')"
+
+
+_ARGS = """CASE relation WHEN 'R0' THEN concat('{"tail":', to_json(tail), ',"place":"NAN"}') WHEN 'R1' THEN concat('{"tail":', to_json(tail), '}') ELSE '{}' END"""
+_PAIR = """concat('{"head":', to_json(head), ',"tail":', to_json(tail), '}')"""
+_EVENT = f"""concat('{{"trigger":', to_json(head), ',"arguments":', {_ARGS}, '}}')"""
+_UNNAMED = f"""concat('{{"arguments":', {_ARGS}, '}}')"""
+_THREE = [(r, f"relation = '{r}'") for r in ("R0", "R1", "R2")]
+
+
+def _known(name: str, relations: list[str]) -> str:
+    """A JSON field with an object for every head: its tail by relation, as SQL."""
+    cases = " ".join(f"""WHEN '{r}' THEN concat('{{"{r}":', to_json(tail), '}}')""" for r in relations)
+    return f"""'"{name}":{{', coalesce(string_agg(concat(to_json(head), ':', CASE relation {cases} ELSE '{{}}' END), ',' ORDER BY place, i) FILTER (WHERE i IS NOT NULL), ''), '}}'"""
+
+
+@query("p_answers_tasks", rf"""WITH a AS (SELECT conv_id * 100 + turn AS doc_id, text, regexp_extract_all(text, '[A-Z]\p{{L}}{{3,}}') AS a FROM conversations),
+ w AS (SELECT doc_id, text, list_filter(a, lambda x, j: list_position(a, x) = j) AS ws FROM a),
+ rel AS (SELECT doc_id AS id, i, ws[i] AS head, ws[i + 1] AS tail, strpos(text, ws[i]) AS place, concat('R', length(ws[i + 1]) % 3) AS relation, concat('T', length(ws[i]) % 4) AS ht, concat('T', length(ws[i + 1]) % 4) AS tt
+  FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM w))
+SELECT doc_id, {_object(*[_listed(r, _PAIR, cond) for r, cond in _THREE])} AS re,
+ {_object(_listed('T0_R0_T1', _PAIR, "relation = 'R0' AND ht = 'T0' AND tt = 'T1'"), _listed('T1_R1_T2', _PAIR, "relation = 'R1' AND ht = 'T1' AND tt = 'T2'"))} AS spo,
+ {_object(*[_listed(r, _EVENT, cond) for r, cond in _THREE])} AS ee,
+ {_object(*[_listed(r, _UNNAMED, f"{cond} AND relation <> 'R2'") for r, cond in _THREE])} AS ee_no_trigger,
+ {_object(*[_listed(r, _EVENT, cond) for r, cond in _THREE])} AS eea, {_object(*[_listed(r, 'to_json(head)', cond) for r, cond in _THREE])} AS eet,
+ {_object(_known('X', ['R0', 'R1']), _known('Y', ['R2']))} AS kg FROM w LEFT JOIN rel ON id = doc_id GROUP BY doc_id""".replace("\\p", "\p").replace('\\"', '"').replace('\"', '"'))
 def _(t):
     df = _relations(t)
     ev = F.transform("rels", lambda r: F.struct(r["relation"].alias("event_type"), r["head"].alias("trigger"), F.array(F.struct(F.lit("tail").alias("role"), r["tail"].alias("argument"))).alias("arguments")))

@@ -8,7 +8,7 @@ from tripleloom.functions import text as X
 from tripleloom.operators import aggregate as A
 from tripleloom.operators import select as S
 from tripleloom.plans.graph_tables import ORDER, edges, kg, nodes, raw_triples
-from tripleloom.plans.registry import query
+from tripleloom.plans.registry import dealt, query
 
 c = F.col
 
@@ -111,7 +111,7 @@ TOK = r"""tok AS (SELECT doc_id, pos, w AS token FROM (SELECT doc_id, unnest(tok
 
 
 def _tokens(t):
-    toks = t.documents.select("doc_id", F.posexplode(F.split("text", r"[^\p{L}]+")).alias("pos", "token"))
+    toks = dealt(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(F.split("text", r"[^\p{L}]+")).alias("pos", "token"))
     return toks.where("token <> ''")
 
 
@@ -231,7 +231,7 @@ def _(t):
 def _sentences(t):
     """Documents as arrays of sentences with their tokens and token starts."""
     s = F.filter(F.transform(X.split_dropping(c("text")), lambda x: F.filter(F.split(x, r"\s+"), lambda w: w != "")), lambda a: F.size(a) > 0)
-    return t.documents.select("doc_id", s.alias("sents"))
+    return dealt(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", s.alias("sents"))
 
 
 @query("w_context_tokens", r"""WITH s AS (SELECT doc_id, unnest(a) AS tk, generate_subscripts(a, 1) - 1 AS i FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[。？！；.;!?]'),
@@ -288,7 +288,7 @@ def word_tag(w):
  b AS (SELECT *, sum(CAST(starts_with(tag, 'B') OR pt = 'O' AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM a WHERE tag <> 'O')
 SELECT doc_id, CAST(min(pos) AS BIGINT) AS start, CAST(max(pos) + 1 AS BIGINT) AS "end", arg_min(substr(tag, 3), pos) AS type FROM b GROUP BY doc_id, g""")
 def _(t):
-    toks = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w")).select("doc_id", c("pos").cast("long").alias("pos"), word_tag(c("w")).alias("tag"))
+    toks = dealt(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w")).select("doc_id", c("pos").cast("long").alias("pos"), word_tag(c("w")).alias("tag"))
     return S.tag_islands(toks, "doc_id", "pos", "tag")
 
 

@@ -11,7 +11,7 @@ from tripleloom.operators import aggregate as A
 from tripleloom.operators import select as S
 from tripleloom.plans.graph_tables import kg, raw_triples
 from tripleloom.plans.queries_stats import TAGS, word_tag
-from tripleloom.plans.registry import query
+from tripleloom.plans.registry import dealt, query
 
 c = F.col
 L = lambda x: x.cast("long")
@@ -51,7 +51,7 @@ def _(t):
 
 
 def _tags(t):
-    return t.documents.select("doc_id", F.transform(F.split("text", " "), word_tag).alias("tags"))
+    return dealt(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", F.transform(F.split("text", " "), word_tag).alias("tags"))
 
 
 def _spans(t, fn):

@@ -22,6 +22,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt out by key before something multiplies them (tokens, tags, sentences), so that what comes of a large row
+    group is not worked out by the one task that reads it.  What moves is the small side, before it is multiplied."""
+    return df.repartition(*keys)
+
+
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
