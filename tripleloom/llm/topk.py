@@ -8,23 +8,30 @@ candidates whose upper bound reaches the k-th lower bound is small (or the lists
 resolved to final scores.  All queries of a block are read in step, as matrix products over what has
 been seen, which is exact in doubles while scores stay below 2^53; beyond that, integers are used.
 
-Blocks of queries meet blocks of candidates of the same length.  Each pair gives at most k rows a
-query, which are ranked at the end.
+Candidates are shuffled once, to their blocks, and stay there.  Queries come to them, as many at a time as
+may be broadcast, and a task carries each query's k-th best score from block to block, so that in later
+blocks reading stops sooner, or right away, for outsiders of the whole so far.  A task gives at most k rows a query,
+which are ranked at the end.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tripleloom.functions.session import staged
 from tripleloom.functions.skew import top_k
 
-CANDIDATES = 4096        # rows of a block of sorted lists
-QUERIES = 1024
+CANDIDATES = 4096        # rows of a block of sorted lists, on average,
+BLOCK_BYTES = 16 << 20   # or fewer, if their components are more than so many bytes
+QUERIES = 8192           # queries that are broadcast at a time, on average, or fewer by the same bound
 DEPTHS = (64, 256, 1024, 4096)      # entries of each list read before the bounds are looked at again; then the lists to their end
 FEW = 4                  # times k candidates left: resolve
+CELLS = 1 << 22          # of a table of bounds, queries times candidates
 
 
 def quantised(vector: Column, scale: float = 256.0) -> Column:
@@ -34,8 +41,10 @@ def quantised(vector: Column, scale: float = 256.0) -> Column:
     return F.when(vector.isNotNull() & ~bad, whole)
 
 
-def nearest(lists: "Lists", queries: np.ndarray, own: np.ndarray, k: int):
-    """For each query (rows of ``queries``) the candidates that can be among its k best, with scores."""
+def nearest(lists: "Lists", queries: np.ndarray, own: np.ndarray, k: int, known: np.ndarray):
+    """For each query (rows of ``queries``) the candidates that can be among its k best, with scores.
+
+    ``known``: a score that a query's k best are known to reach."""
     n, plus, minus = len(lists.x), np.maximum(queries, 0), np.minimum(queries, 0)
     left = np.arange(len(queries))
     for depth in (*(d for d in DEPTHS if d < n), n):
@@ -54,6 +63,7 @@ def nearest(lists: "Lists", queries: np.ndarray, own: np.ndarray, k: int):
         mine = own[left][:, None] == lists.ids[None, :]
         floor = np.where(mine, -np.inf, floor)
         bar = np.partition(floor, n - k, axis=1)[:, n - k] if n > k else np.full(len(left), -np.inf)
+        bar = np.maximum(bar, known[left])
         alive = (upper >= bar[:, None]) & ~mine
         done = (alive.sum(axis=1) <= max(FEW * k, 16)) | end
         for at in np.flatnonzero(done):
@@ -83,25 +93,79 @@ class Lists:
         return (s[len(s) - depth - 1], s[depth]), (s[0], s[-1])
 
 
+class Asked:
+    """Queries of one length with the best candidates they have met."""
+
+    def __init__(self, q: np.ndarray, own: np.ndarray, k: int):
+        self.q, self.own, self.k = q, own, k
+        self.ids: list = [np.zeros(0, np.int64)] * len(q)
+        self.scores: list = [np.zeros(0, np.int64)] * len(q)
+        self.known = np.full(len(q), -np.inf)
+        self.most = float(np.abs(q).max(initial=0))
+
+    def meet(self, x: np.ndarray, ids: np.ndarray) -> None:
+        """The candidates of a block (``x``: whole numbers)."""
+        if not len(x) or not len(self.q):
+            return
+        if float(np.abs(x).max(initial=0)) * self.most * max(1, x.shape[1]) >= 2.0 ** 53:       # too large for doubles: plain integers
+            found = ((i, np.flatnonzero(ids != self.own[i])) for i in range(len(self.q)))
+            found = ((i, who, x[who] @ self.q[i]) for i, who in found)
+            self.known[:] = -np.inf
+        else:
+            step = max(1, CELLS // len(x))
+            found = (f for at in range(0, len(self.q), step) for f in self.part(x, ids, at, at + step))
+        for i, who, score in found:
+            score = np.concatenate([self.scores[i], score.astype(np.int64)])
+            named = np.concatenate([self.ids[i], ids[who]])
+            keep = np.lexsort((named, -score))[:self.k]
+            self.ids[i], self.scores[i] = named[keep], score[keep]
+            if len(keep) == self.k and abs(int(score[keep[-1]])) < 2 ** 53:
+                self.known[i] = score[keep[-1]]
+
+    def part(self, x: np.ndarray, ids: np.ndarray, lo: int, hi: int):
+        """Queries lo to hi, so many that a table of bounds stays small."""
+        lists = self.lists(x, ids)
+        for i, who, score in nearest(lists, self.q[lo:hi].astype(float), self.own[lo:hi], self.k, self.known[lo:hi]):
+            yield lo + i, who, score
+
+    def lists(self, x: np.ndarray, ids: np.ndarray) -> Lists:
+        if getattr(self, "read", (None, None))[0] is not x:
+            self.read = x, Lists(x.astype(float), ids)
+        return self.read[1]
+
+    def rows(self) -> pd.DataFrame:
+        n = [len(i) for i in self.ids]
+        whole = lambda parts: np.concatenate([np.zeros(0, np.int64), *parts])
+        return pd.DataFrame({"query_id": np.repeat(self.own, n), "vec_id": whole(self.ids), "score": whole(self.scores)})
+
+
 def best_pairs(candidates: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
     """The k best candidates of each query in one pair of blocks: (query_id, vec_id, score)."""
-    none = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
-    if not len(candidates) or not len(queries):
-        return none
     x, q = (np.array(f["v"].tolist(), np.int64).reshape(len(f), -1) for f in (candidates, queries))
-    ids, own = candidates["vec_id"].to_numpy(np.int64), queries["vec_id"].to_numpy(np.int64)
-    most = float(np.abs(x).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, x.shape[1])
-    out = []
-    if most >= 2.0 ** 53:       # too large for doubles: plain integers
-        found = ((i, np.flatnonzero(ids != own[i]), None) for i in range(len(q)))
-        found = ((i, who, x[who] @ q[i]) for i, who, _ in found)
-    else:
-        found = nearest(Lists(x.astype(float), ids), q.astype(float), own, k)
-    for i, who, score in found:
-        score = score.astype(np.int64)
-        keep = np.lexsort((ids[who], -score))[:k]
-        out.append(pd.DataFrame({"query_id": own[i], "vec_id": ids[who][keep], "score": score[keep]}))
-    return pd.concat([none, *out]) if out else none
+    asked = Asked(q, queries["vec_id"].to_numpy(np.int64), k)
+    asked.meet(x, candidates["vec_id"].to_numpy(np.int64))
+    return asked.rows()
+
+
+def block_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a block as one row."""
+    return pd.DataFrame({"dims": pdf["dims"].iloc[:1].to_numpy(), "ids": [pdf["vec_id"].to_numpy(np.int64)], "flat": [np.concatenate([np.asarray(v, np.int64) for v in pdf["v"]])]})
+
+
+def met(blocks: DataFrame, chunk: pd.DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): of each query of a chunk the k best candidates that each task holds."""
+    shared = blocks.sparkSession.sparkContext.broadcast(
+        {int(d): (np.array(f["v"].tolist(), np.int64).reshape(len(f), -1), f["vec_id"].to_numpy(np.int64)) for d, f in chunk.groupby("dims")})
+
+    def of(batches):
+        asked = {d: Asked(q, own, k) for d, (q, own) in shared.value.items()}
+        for batch in batches:
+            for d, ids, flat in zip(batch["dims"], batch["ids"], batch["flat"]):
+                if d in asked:
+                    asked[d].meet(np.asarray(flat, np.int64).reshape(len(ids), -1), np.asarray(ids, np.int64))
+        for a in asked.values():
+            yield a.rows()
+    return blocks.mapInPandas(of, "query_id long, vec_id long, score long")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256.0) -> DataFrame:
@@ -113,20 +177,20 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
     different length are not compared.  Rows that repeat a vec_id count once (the smallest vector).
     Components and scores must fit a long.
     """
-    def ready(df: DataFrame, size: int) -> DataFrame:
+    def ready(df: DataFrame) -> DataFrame:
         rows = (df.select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding"), scale).alias("v")).where("v is not null and vec_id is not null")
                 .groupBy("vec_id").agg(F.min("v").alias("v")))
         return rows.withColumn("dims", F.size("v"))
-    right, left = ready(vectors, CANDIDATES), ready(queries, QUERIES)
-    many = lambda df, size: max(1, -(-df.count() // size))
-    c_blocks, q_blocks = many(vectors, CANDIDATES), many(queries, QUERIES)
+
+    def cut(df: DataFrame, size: int) -> int:
+        rows, cells = df.agg(F.count(F.lit(1)), F.coalesce(F.sum("dims"), F.lit(0))).first()
+        return max(1, -(-rows // size), -(-8 * cells // BLOCK_BYTES))
+    right, left = staged(ready(vectors)), staged(ready(queries))
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    cand = right.withColumn("cb", block(c_blocks)).withColumn("qb", F.explode(upto(q_blocks)))
-    ask = left.withColumn("qb", block(q_blocks)).withColumn("cb", F.explode(upto(c_blocks)))
-    keys = ["dims", "cb", "qb"]
-    pairs = (cand.groupBy(*keys).cogroup(ask.groupBy(*keys))
-             .applyInPandas(lambda a, b: best_pairs(a, b, k), "query_id long, vec_id long, score long"))
+    blocks = staged(right.groupBy("dims", block(cut(right, CANDIDATES)).alias("cb")).applyInPandas(lambda key, pdf: block_of(pdf), "dims int, ids array<long>, flat array<long>"))
+    chunks = cut(left, QUERIES)
+    found = [staged(met(blocks, left.where(block(chunks) == i).toPandas(), k)) for i in range(chunks)]        # a chunk is bounded, each is a job
+    pairs = reduce(DataFrame.unionByName, found)
     return top_k(pairs, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
