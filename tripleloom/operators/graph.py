@@ -85,6 +85,12 @@ def path_text(head: Column, relation: Column, tail: Column) -> Column:
     return F.concat_ws(" → ", head, relation, tail)
 
 
+def seen_from(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """The edges of the names (``near``, distinct), seen from them, a self-loop once; other edges are not looked at from both ends first."""
+    return (edges.join(names, F.col("head") == F.col("near"))
+            .unionByName(edges.where("head <> tail").join(names, F.col("tail") == F.col("near"))))
+
+
 def answer_questions(edges: DataFrame, questions: DataFrame, threshold: float = 0.8, limit: int | None = None) -> DataFrame:
     """Answers and traces of a whole table of questions ``(question, names, relation)`` in one job.
 
@@ -94,10 +100,8 @@ def answer_questions(edges: DataFrame, questions: DataFrame, threshold: float =
     """
     names = questions.select("question", F.col("relation").alias("_asked"), F.explode(F.array_distinct("names")).alias("near"))
     strong = C.conf_filter(edges, threshold, "~>=").select(*EDGE_ORDER, "confidence")
-    keys = names.select("near").distinct()
     order = [F.col("confidence").desc_nulls_last(), *[F.col(o) for o in EDGE_ORDER]]
-    # the edges of asked names only, seen from either end
-    asked = strong.join(keys, F.col("head") == F.col("near")).unionByName(strong.where("head <> tail").join(keys, F.col("tail") == F.col("near")))
+    asked = seen_from(strong, names.select("near").distinct())
     if limit is not None:       # no answer needs more of a name and relation, so a hub is cut before the join
         asked = top_k(asked, ["near", "relation"], order, limit, "_near_rank")
     hit = asked.join(names, "near").where(F.col("_asked").isNull() | (F.col("_asked") == F.col("relation")))
@@ -141,7 +145,7 @@ def context_batch(edges: DataFrame, nodes: DataFrame, topics: DataFrame, limit:
     the window.
     """
     named = topics.select(F.col("name").alias("near")).distinct()
-    seen = J.undirected(edges.select(*EDGE_ORDER)).join(named, "near")
+    seen = seen_from(edges.select(*EDGE_ORDER), named)
     score = S.relation_score(F.col("near"), F.col("head"), F.col("relation"), F.col("tail"), words)
     best = top_k(seen.withColumn("score", score), ["near"], [F.desc("score"), *[F.col(o) for o in EDGE_ORDER]], limit)
     own = nodes.select(F.col("name").alias("near"), *[(F.trim(a) if length is None else F.substring(F.trim(a), 1, length)).alias(a) for a in ATTRIBUTES])

@@ -2,8 +2,8 @@
 
 Sides are broadcast only by the optimiser's own size check, except lists held by the
 caller.  A hot key on the probe side of a shuffled join is split at run time by adaptive
-execution (``session.configure`` turns the split on also where it costs a shuffle); joins
-on names, where hubs are the rule, salt the hot names beforehand with ``salted_join``.
+execution (``session.configure`` turns the split on also where it costs a shuffle).  Look-ups
+of given names in dictionaries salt the hot ones beforehand with ``salted_join``.
 """
 
 from __future__ import annotations
