@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tripleloom.functions.skew import first_seen, prefix_sum, ranked, salted_join, top_k
@@ -110,3 +111,13 @@ def test_no_cross_join_and_pushdown(spark):
         assert "BroadcastNestedLoopJoin" not in plan, name
     plan = QUERIES["m_entity_f1"](t)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_linestatus), EqualTo(l_linestatus,F)]" in plan and "l_shipdate" not in plan
+
+
+def test_staged_tables_need_a_shared_folder():
+    from tripleloom.functions.session import staging_base
+    assert staging_base("viewfs://c/x", "file:/tmp/w", "spark://h:7077") == "viewfs://c/x"
+    assert staging_base(None, "file:/tmp/w/", "local[8]") == "file:/tmp/w/_staged"
+    assert staging_base(None, "hdfs://n/w", "yarn") == "hdfs://n/w/_staged"
+    for warehouse in ("file:/tmp/w", "/tmp/w"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            staging_base(None, warehouse, "k8s://h")

@@ -116,9 +116,6 @@ NAMED_ENTITY = "NAMED_ENTITY"
 NO_RELATION = "无关系"
 
 # Limits of the query surface.
-MAX_ROWS = 1000
-MAX_NAMES = 50
-MAX_NAME_LENGTH = 100
 HUB_DEGREE = 15
 HUB_SHARE = 0.7
 HUB_RELATION_COUNT = 10

@@ -15,14 +15,24 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def staging_base(checkpoints: str | None, warehouse: str, master: str) -> str:
+    """The folder for staged tables: the one the cluster names, else the warehouse where that is no machine's own.
+
+    A local folder will do where all tasks run on the driver's machine; on a cluster executors would not see one another's files."""
+    if checkpoints:
+        return checkpoints
+    if not master.startswith("local") and (":" not in warehouse or warehouse.startswith("file:")):
+        raise RuntimeError(f"the warehouse {warehouse} is a local folder; set spark.checkpoint.dir to one that all executors share")
+    return f"{warehouse.rstrip('/')}/_staged"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new path for a table cut from its lineage, in a folder that all executors share.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; where that is unset, as in
-    tests, the warehouse, which every session has.  Each application has its own folder there, which
-    goes when the application ends.
+    tests, the warehouse.  Each application has its own folder there, which goes when the application ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+    base = staging_base(spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.warehouse.dir"), spark.sparkContext.master)
     own = f"{base}/staged-{spark.sparkContext.applicationId}"
     if own not in _OWN:
         path = spark._jvm.org.apache.hadoop.fs.Path(own)

@@ -170,7 +170,7 @@ SELECT doc_id, {_object(*[_listed(r, _PAIR, cond) for r, cond in _THREE])} AS re
  {_object(*[_listed(r, _EVENT, cond) for r, cond in _THREE])} AS ee,
  {_object(*[_listed(r, _UNNAMED, f"{cond} AND relation <> 'R2'") for r, cond in _THREE])} AS ee_no_trigger,
  {_object(*[_listed(r, _EVENT, cond) for r, cond in _THREE])} AS eea, {_object(*[_listed(r, 'to_json(head)', cond) for r, cond in _THREE])} AS eet,
- {_object(_known('X', ['R0', 'R1']), _known('Y', ['R2']))} AS kg FROM w LEFT JOIN rel ON id = doc_id GROUP BY doc_id""".replace("\\p", "\p").replace('\\"', '"').replace('\"', '"'))
+ {_object(_known('X', ['R0', 'R1']), _known('Y', ['R2']))} AS kg FROM w LEFT JOIN rel ON id = doc_id GROUP BY doc_id""")
 def _(t):
     df = _relations(t)
     ev = F.transform("rels", lambda r: F.struct(r["relation"].alias("event_type"), r["head"].alias("trigger"), F.array(F.struct(F.lit("tail").alias("role"), r["tail"].alias("argument"))).alias("arguments")))
