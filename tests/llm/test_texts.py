@@ -3,6 +3,7 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -189,6 +190,61 @@ def test_tables_grow_with_the_words(spark, monkeypatch):
     assert (many.sum(axis=2) == [[8000, 8000], [4000, 4000]]).all()
 
 
+def plain_peaks(rows, learned):
+    """Peaks by a plain model: counts in dictionaries, nothing hashed."""
+    import math
+    import re
+    seen = {0: {}, 1: {}}
+    df = {0: Counter(), 1: Counter()}
+    for i, text in rows:
+        y = learned.get(i)
+        if y is None:
+            continue
+        words = re.findall(r"\w+", text.lower())
+        for k, w in enumerate(words):
+            around = (words[k - 1] if k else None, words[k + 1] if k + 1 < len(words) else None)
+            seen[y].setdefault(w, set()).add(around)
+        df[y].update(set(words))
+    n = {y: {w: min(len(c), df[y][w]) for w, c in seen[y].items()} for y in (0, 1)}
+    size, facts = len({*n[0], *n[1]}), {}
+    for y in (0, 1):
+        k = [0] + [max(1, sum(c == j for c in n[y].values())) for j in (1, 2, 3, 4)]
+        share = k[1] / (k[1] + 2 * k[2])
+        off = [0, 1 - 2 * share * k[2] / k[1], 2 - 3 * share * k[3] / k[2], 3 - 4 * share * k[4] / k[3]]
+        off = [max(0.0, min(float(j), x)) for j, x in enumerate(off)]
+        total = max(1, sum(n[y].values()))
+        freed = sum(off[min(3, c)] for c in n[y].values())
+        facts[y] = (off, total, max(freed / total, 1e-9))
+    out = {}
+    for i, text in rows:
+        best = -20.0 if not re.findall(r"\w+", text) else -math.inf
+        for w in re.findall(r"\w+", text.lower()):
+            c = {y: n[y].get(w, 0) for y in (0, 1)}
+            shared = (c[0] + c[1] + 0.5) / (facts[0][1] + facts[1][1] + 0.5 * (size + 1))
+            p = {y: max(c[y] - facts[y][0][min(3, c[y])], 0) / (facts[y][1] * facts[y][2]) + shared for y in (0, 1)}
+            best = max(best, math.log(p[1]) - math.log(p[0]))
+        out[i] = best
+    return out
+
+
+@pytest.mark.parametrize("slots, words", [(23, 1 << 20), (3, 1 << 20), (3, 40)])
+def test_decisions_rest_on_exact_counts_whatever_the_tables(spark, monkeypatch, slots, words):
+    docs, labels = toxic_corpus(spark, 400)
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    learned = {r["doc_id"]: r["toxic"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    want = plain_peaks(rows, learned)
+    monkeypatch.setattr(toxicity, "LEAST_SLOTS", slots)
+    monkeypatch.setattr(toxicity, "MOST_SLOTS", slots)
+    monkeypatch.setattr(toxicity, "LISTED", words)
+    model, shared, at = toxicity.trained_on(docs, labels)
+    got = {i: toxicity.peak(model, shared.value, t) for i, t in rows}
+    low = shared.value[1]["low"]
+    assert sum(v >= at for v in want.values()) > 30 and at > (low if words == 40 else -100)
+    for i in got:
+        assert abs(got[i] - want[i]) < 1e-9 if words > 40 or want[i] > low else got[i] <= low + 1e-9
+    assert {i for i in got if got[i] >= at} == {i for i in want if want[i] >= at}
+
+
 def test_names_that_clash_with_a_score(spark):
     docs, labels = toxic_corpus(spark, 120)
     clash = docs.withColumns({"score": F.lit("mine"), "predicted": F.lit(9), "lang_pred": F.lit("mine")})
