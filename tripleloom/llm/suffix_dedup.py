@@ -205,14 +205,14 @@ def merged(rows: DataFrame) -> DataFrame:
 # Windows --------------------------------------------------------------------------------------------
 
 class Windows:
-    """Window starts of one document in runs [at[r], at[r + 1]) that determine the same inner cuts.
+    """Window starts of one document, cut at ``starts``, in runs [at[r], at[r + 1]) that determine the same inner cuts.
 
     ``known`` marks starts that a common prefix covers.  A run may hold other repeated windows only if
     the phrases between its inner cuts occur again (``may``).  What the cuts were derived from, the core
     of its windows, must then occur again too; a run without an inner cut (``bare``) has no core."""
 
-    def __init__(self, b: bytes, marks, length: int):
-        self.b, self.length, c = b, length, cuts(b)
+    def __init__(self, b: bytes, starts, marks, length: int):
+        self.b, self.length, c = b, length, np.asarray(starts, np.int64)
         n = max(0, len(b) - length + 1)
         reach, step = np.zeros(len(c), np.int64), np.zeros(n + 1, np.int64)
         marks = np.asarray(marks, np.int64)
@@ -261,8 +261,8 @@ class Windows:
 
 def windows_of(batch: pd.DataFrame, length: int):
     """The documents of a batch, one at a time."""
-    for i, h, b, marks in zip(batch["id"], batch["h"], batch["b"], batch["marks"]):
-        yield i, h, Windows(b, marks, length)
+    for i, h, b, starts, marks in zip(batch["id"], batch["h"], batch["b"], batch["starts"], batch["marks"]):
+        yield i, h, Windows(b, starts, marks, length)
 
 
 def tally(names: list[np.ndarray]) -> pd.DataFrame:
@@ -291,10 +291,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     lcp = merged(shards).where("lcp > 0")
     marks = shards.select("id", "h", "j", "s1", "s2").join(lcp, ["s1", "s2"]).select("id", "h", (F.shiftleft(F.col("j").cast("long"), 32) + F.col("lcp")).alias("mark"))
     marks = marks.unionByName(phrases.where("bare").select("id", "h", F.lit(0).cast("long").alias("mark")))
-    per_doc = staged(marks.groupBy("id", "h").agg(F.collect_set("mark").alias("marks")))
+    # the cuts travel with the marks, so that no later pass works them out again
+    marks = marks.withColumn("starts", F.lit(None).cast("array<int>")).unionByName(phrases.select("id", "h", F.lit(None).cast("long").alias("mark"), "starts"))
+    per_doc = staged(marks.groupBy("id", "h").agg(F.collect_set("mark").alias("marks"), F.first("starts", ignorenulls=True).alias("starts")).where(F.size("marks") > 0))
     wanted = bits_of(per_doc.select(F.xxhash64("id", "h").alias("k")), "k")
     texts = rows.withColumn("k", F.xxhash64("id", "h")).where(marked_rows("k", wanted)).drop("k")
-    held = staged(texts.join(per_doc, ["id", "h"]).select("id", "h", "b", "marks"), "zstd")
+    held = staged(texts.join(per_doc, ["id", "h"]).select("id", "h", "b", "starts", "marks"), "zstd")
 
     def cores(batches):
         found, asked, size = [], [], 0
@@ -355,8 +357,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     def finish(batches):
         for batch in batches:
             out = []
-            for i, h, b, marks_, at in zip(batch["id"], batch["h"], batch["b"], batch["marks"], batch["at"]):
-                w = Windows(b, marks_, length)
+            for i, h, b, starts, marks_, at in zip(batch["id"], batch["h"], batch["b"], batch["starts"], batch["marks"], batch["at"]):
+                w = Windows(b, starts, marks_, length)
                 covered = w.known.copy()
                 bare = np.concatenate([np.zeros(0, np.int64), *(np.arange(w.at[r], w.at[r + 1]) for r in np.flatnonzero(w.bare))])
                 covered[bare[w.again(bare)]] = True
