@@ -159,7 +159,8 @@ def expected(words: list[str], weight: np.ndarray, path: str, prob: np.ndarray)
 def fit(docs: DataFrame, lang: Column, learn: Column, vocabulary: str = VOCABULARY, per_language: int = FIT_DOCS, rounds: int = ROUNDS) -> dict:
     """Piece probabilities of every language: {"langs": [...], "prob": (pieces, languages)}.
 
-    Reads at most ``per_language`` documents of each language (those whose id has the smallest hash).
+    Reads at most ``per_language`` documents of each language (those whose id has the smallest hash); rows that share such an id
+    are all read, and rows with a null id are never drawn.
     What comes to the driver is a table of vocabulary x languages.
     """
     path = vocabulary_path(vocabulary)
@@ -239,6 +240,7 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """The language of every document, learned from those whose fold is not 2."""
     model = fit(docs.select("doc_id", "lang", "text"), F.col("lang"), fold("doc_id", 4) != 2)
     out = predict(docs.select("doc_id", "text", (fold("doc_id", 4) == 2).alias("held_out")), model)
     return out.select("doc_id", "held_out", "lang_pred", "score")

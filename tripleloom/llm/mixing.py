@@ -213,4 +213,5 @@ def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rates of every document for domains of language and quality, with what is wanted and reached."""
     return rated(fit(docs, labelled_domains(docs, labels)))

@@ -105,4 +105,5 @@ def pack(docs: DataFrame, id_col: str = "doc_id", tokens: Column | None = None,
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """Buckets and batches of every document by its number of words."""
     return pack(docs).withColumnRenamed("id", "doc_id")

@@ -153,6 +153,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """Fingerprint and component of every document."""
     out = near_duplicates(docs)
     return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                       F.col("component").alias("component_id"))

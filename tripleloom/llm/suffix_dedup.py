@@ -419,6 +419,7 @@ def cut_text(text: str | None, spans) -> str | None:
 
 
 def query(docs: DataFrame) -> DataFrame:
+    """Of every document how many bytes and spans go, and the digest of the rest."""
     whole, removed = repeats(docs)
     return whole.join(removed.drop("spans"), ["id", "h"], "left").select(
         F.when(F.col("id") != -(1 << 63), F.col("id")).alias("doc_id"), F.col("n").alias("n_bytes"), F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),

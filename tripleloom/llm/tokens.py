@@ -104,6 +104,7 @@ def token_counts(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCA
 
 
 def query(docs: DataFrame, limit: int = 2048) -> DataFrame:
+    """Token counts of every document, and which are over the limit."""
     counted = token_counts(docs.select("doc_id", "text"), "text")
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens",
                           (F.col("n_tokens") > limit).alias("over_limit"))

@@ -195,6 +195,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 25
 
 
 def query(embeddings: DataFrame, every: int = 50) -> DataFrame:
+    """The five best of all other vectors for each vector whose id is divisible by ``every``."""
     return search(embeddings, embeddings.where(F.col("vec_id") % every == 0))
 
 

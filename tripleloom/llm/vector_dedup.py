@@ -172,6 +172,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98) -> DataFrame:
 
 
 def query(embeddings: DataFrame) -> DataFrame:
+    """Links and components of every vector within its label."""
     return near_duplicates(embeddings)
 
 

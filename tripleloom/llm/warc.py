@@ -253,6 +253,7 @@ def read_back(spark, path: str) -> DataFrame:
 
 
 def query(pages: DataFrame) -> DataFrame:
+    """Every page as it comes back from the archives it was written to."""
     path = shared_dir(pages.sparkSession)
     convert(pages, path)
     return read_back(pages.sparkSession, path)
