@@ -259,6 +259,14 @@ class Windows:
         return out
 
 
+def with_cuts(rows: DataFrame) -> DataFrame:
+    """Rows with the cuts of their bytes as ``starts``."""
+    @F.pandas_udf("array<int>")
+    def of(content: pd.Series) -> pd.Series:
+        return pd.Series([cuts(b).astype(np.int32) for b in content], dtype=object)
+    return rows.withColumn("starts", of("b"))
+
+
 def windows_of(batch: pd.DataFrame, length: int):
     """The documents of a batch, one at a time."""
     for i, h, b, starts, marks in zip(batch["id"], batch["h"], batch["b"], batch["starts"], batch["marks"]):
@@ -291,12 +299,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     lcp = merged(shards).where("lcp > 0")
     marks = shards.select("id", "h", "j", "s1", "s2").join(lcp, ["s1", "s2"]).select("id", "h", (F.shiftleft(F.col("j").cast("long"), 32) + F.col("lcp")).alias("mark"))
     marks = marks.unionByName(phrases.where("bare").select("id", "h", F.lit(0).cast("long").alias("mark")))
-    # the cuts travel with the marks, so that no later pass works them out again
-    marks = marks.withColumn("starts", F.lit(None).cast("array<int>")).unionByName(phrases.select("id", "h", F.lit(None).cast("long").alias("mark"), "starts"))
-    per_doc = staged(marks.groupBy("id", "h").agg(F.collect_set("mark").alias("marks"), F.first("starts", ignorenulls=True).alias("starts")).where(F.size("marks") > 0))
+    per_doc = staged(marks.groupBy("id", "h").agg(F.collect_set("mark").alias("marks")))
     wanted = bits_of(per_doc.select(F.xxhash64("id", "h").alias("k")), "k")
     texts = rows.withColumn("k", F.xxhash64("id", "h")).where(marked_rows("k", wanted)).drop("k")
-    held = staged(texts.join(per_doc, ["id", "h"]).select("id", "h", "b", "starts", "marks"), "zstd")
+    held = staged(with_cuts(texts.join(per_doc, ["id", "h"]).select("id", "h", "b", "marks")), "zstd")       # later passes need them four times
 
     def cores(batches):
         found, asked, size = [], [], 0
