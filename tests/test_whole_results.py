@@ -80,3 +80,16 @@ def test_late_triples_stay(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
     jobs.ingest_stream(stream, "arrival", out, bad, check).awaitTermination()
     assert jobs.stored(spark, out, rows.schema).count() == 50
+
+
+def test_exploded_tokens_are_not_broadcast(spark):
+    """Their size is that of a few texts to the optimiser, whatever they are multiplied to."""
+    from pyspark.sql import functions as F
+
+    from tripleloom.functions.tags import find_all, spans_to_tags
+    texts = spark.createDataFrame([(1, "the que of eux"), (2, "que"), (3, None)], "k long, text string")
+    chars = texts.select("k", F.posexplode(F.split("text", "")).alias("pos", "ch"))
+    spans = texts.select("k", F.explode(find_all(F.col("text"), "que")).alias("start")).select("k", "start", (F.col("start") + 3).alias("end"), F.lit("q").alias("type"), F.lit(1).alias("no"))
+    out = spans_to_tags(chars, spans, "k", "pos").where("tag <> 'O'")
+    assert sorted((r["k"], r["pos"], r["tag"]) for r in out.collect()) == [(1, 4, "B-q"), (1, 5, "I-q"), (1, 6, "I-q"), (2, 0, "B-q"), (2, 1, "I-q"), (2, 2, "I-q")]
+    assert "Broadcast" not in out._jdf.queryExecution().toString()

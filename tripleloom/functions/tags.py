@@ -65,12 +65,13 @@ def tagged_merge(items: Column) -> Column:
 def spans_to_tags(tokens: DataFrame, spans: DataFrame, by: str, pos: str) -> DataFrame:
     """BIO tags of a long token table from spans ``(by, no, start, end, type)``; the last span wins.
 
-    Each span is written out to its positions, so the work is linear in covered tokens.
+    Each span is written out to its positions, so the work is linear in covered tokens.  Both sides come of rows that are
+    multiplied, which the optimiser takes for as small as the texts: it is told to sort and merge, lest one be broadcast.
     """
     at = spans.select(by, "no", "start", "type", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias(pos))
     tag = F.concat(F.when(F.col(pos) == F.col("start"), "B-").otherwise("I-"), F.col("type"))
     last = at.withColumn("tag", tag).groupBy(by, pos).agg(F.max_by("tag", "no").alias("tag"))
-    return tokens.join(last, [by, pos], "left").withColumn("tag", F.coalesce("tag", F.lit("O")))
+    return tokens.join(last.hint("merge"), [by, pos], "left").withColumn("tag", F.coalesce("tag", F.lit("O")))
 
 
 def find_all(text: Column, word: str) -> Column:
