@@ -60,9 +60,11 @@ def parts(dictionary: DataFrame, scope: Sequence[str], part_chars: int | None =
         words = staged(words.withColumn("_part", F.pmod(F.xxhash64(*keys), F.lit(number))).repartitionByRange("_part").sortWithinPartitions("_part"))
     for k in range(number):
         rows = (words if number == 1 else words.where(F.col("_part") == k)).select(*scope, "canonical", "synonym", "dict_no").toPandas()
-        entries: dict[str, list[tuple]] = {}
+        # by word, then by scope: a text looks at the names of its own scope, however many scopes share the word
+        entries: dict[str, dict[tuple, list[tuple]]] = {}
         for *where, canonical, synonym, no in rows.itertuples(index=False, name=None):
-            entries.setdefault(synonym, []).append((tuple(where), canonical, no))
+            if all(w is not None and w == w for w in where):  # nulls are equal to nothing
+                entries.setdefault(synonym, {}).setdefault(tuple(where), []).append((canonical, no))
         yield Part(list(entries), list(entries.values()))
 
 
@@ -96,8 +98,8 @@ def hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame, scope: Se
                 where = tuple(where)
                 best: dict = {}
                 for number in part.found(t):
-                    for own, canonical, no in part.entries[number]:
-                        if own == where and None not in own and (canonical not in best or no < best[canonical]):
+                    for canonical, no in part.entries[number].get(where, ()):
+                        if canonical not in best or no < best[canonical]:
                             best[canonical] = no
                 out += [(k, canonical, no) for canonical, no in best.items()]
             yield pd.DataFrame(out, columns=["_key", "canonical", "dict_no"])
