@@ -93,3 +93,34 @@ def test_exploded_tokens_are_not_broadcast(spark):
     out = spans_to_tags(chars, spans, "k", "pos").where("tag <> 'O'")
     assert sorted((r["k"], r["pos"], r["tag"]) for r in out.collect()) == [(1, 4, "B-q"), (1, 5, "I-q"), (1, 6, "I-q"), (2, 0, "B-q"), (2, 1, "I-q"), (2, 2, "I-q")]
     assert "Broadcast" not in out._jdf.queryExecution().toString()
+
+
+def test_tagged_files_are_read_in_splits(spark, tmp_path):
+    """Sentences cut by splits come back whole, with edges anywhere and either line end, and no line is shuffled."""
+    import random
+    rng = random.Random(5)
+    want = []
+    for n, end in enumerate(("\n", "\r\n", "\n")):
+        lines, sentence = [], []
+        for i in range(400):
+            if rng.random() < (0.3, 0.02, 0.0)[n]:
+                lines.append(rng.choice(["", "  ", "-DOCSTART- O"]))
+                want += [sentence] if sentence else []
+                sentence = []
+            else:
+                lines.append(f"w{n}_{i} x  T{i % 7}")
+                sentence = [*sentence, (f"w{n}_{i}", f"T{i % 7}")]
+        want += [sentence] if sentence else []
+        (tmp_path / f"f{n}.txt").write_bytes((end.join(lines) + end).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        spark.conf.set("spark.sql.files.openCostInBytes", "300")
+        out = R.conll(spark, str(tmp_path))
+        got = [list(zip(r["tokens"], r["tags"])) for r in out.collect()]
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted(got) == sorted(want)
+    assert "MapInPandas" in plan and "_ps_bucket" not in plan

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tripleloom.functions.skew import first_seen, prefix_sum
+from tripleloom.functions.skew import first_seen
 from tripleloom.functions.text import strip
 from tripleloom.sources import schemas
 from tripleloom.sources.split import csv_records, json_elements
@@ -117,16 +121,72 @@ def ie_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def conll(spark: SparkSession, path: str) -> DataFrame:
     """Sentences of ``token ... tag`` lines, in files with either kind of line end.
 
-    Blank and ``-DOCSTART`` lines end a sentence; first and last columns are kept.  Lines are numbered by
-    a running count in ranges of each file, so large files split.
+    Blank and ``-DOCSTART`` lines end a sentence; first and last columns are kept.  Large files split: a task gathers the lines
+    of its splits in the order it reads them, and only sentences that a split cuts are put together afterwards.  Lines are not shuffled.
     """
     line = strip(F.col("value"))
-    rows = with_file_order(spark.read.text(path)).withColumn("_edge", (line == "") | line.startswith("-DOCSTART"))
-    numbered = prefix_sum(rows, ["_file"], ["_block", "_row"], F.col("_edge").cast("long"), "_sentence", stage=True)
     parts = F.split(line, r"\s+")
-    words = numbered.where(~F.col("_edge")).select("_file", "_sentence", F.struct("_block", "_row", parts[0].alias("token"), F.element_at(parts, -1).alias("tag")).alias("w"))
-    one = words.groupBy("_file", "_sentence").agg(F.array_sort(F.collect_list("w")).alias("w"))
-    return one.select(F.col("w.token").alias("tokens"), F.col("w.tag").alias("tags"))
+    edge = (line == "") | line.startswith("-DOCSTART")
+    # a split is named by a number of its file and its beginning, so that paths do not travel with every line
+    rows = spark.read.text(path).select(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                        F.when(~edge, parts[0]).alias("token"), F.when(~edge, F.element_at(parts, -1)).alias("tag"))
+    pieces = rows.mapInPandas(_sentences, "file long, block long, last boolean, cut boolean, tokens array<string>, tags array<string>")
+    whole = pieces.where(~F.col("cut")).select("tokens", "tags")
+    # at most two pieces a split: the lines before its first edge, which go on from the split before, and those after its last one
+    order = Window.partitionBy("file").orderBy("block", "last")
+    begun = pieces.where("cut").withColumn("begin", F.last(F.when(F.col("last"), F.col("block")), ignorenulls=True).over(order))
+    listed = F.array_sort(F.collect_list(F.struct("block", "last", "tokens", "tags")))
+    joined = begun.groupBy("file", "begin").agg(listed.alias("p")).select(F.flatten("p.tokens").alias("tokens"), F.flatten("p.tags").alias("tags"))
+    return whole.unionByName(joined.where(F.size("tokens") > 0))
+
+
+def _sentences(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sentences of the lines of splits, read in order; an edge has no token.
+
+    The lines before the first edge of a split and those after its last one are cut: pieces of sentences.  The latter is
+    there, if empty, whenever the split has an edge, for it ends what came before.
+    """
+    at, seen, held = None, False, ([], [])
+    out: list[tuple] = []
+
+    def put(last: bool, cut: bool) -> None:
+        out.append((*at, last, cut, np.concatenate(held[0]) if held[0] else [], np.concatenate(held[1]) if held[1] else []))
+        held[0].clear()
+        held[1].clear()
+
+    def frame() -> pd.DataFrame:
+        made = pd.DataFrame(out, columns=["file", "block", "last", "cut", "tokens", "tags"])
+        out.clear()
+        return made
+
+    for batch in batches:
+        token, tag = batch["token"].to_numpy(dtype=object), batch["tag"].to_numpy(dtype=object)
+        file, block = batch["file"].to_numpy(), batch["block"].to_numpy()
+        turns = np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1
+        bounds = [0, *turns.tolist(), len(batch)] if len(batch) else []
+        for a, b in zip(bounds, bounds[1:]):
+            here = (int(file[a]), int(block[a]))
+            if here != at:
+                if at is not None:
+                    put(seen, True)
+                at, seen = here, False
+            start = a
+            for e in (np.flatnonzero(batch["token"].isna().to_numpy()[a:b]) + a).tolist():
+                if e > start:
+                    held[0].append(token[start:e])
+                    held[1].append(tag[start:e])
+                if not seen:
+                    put(False, True)
+                elif held[0]:
+                    put(False, False)
+                seen, start = True, e + 1
+            if b > start:
+                held[0].append(token[start:b])
+                held[1].append(tag[start:b])
+        yield frame()
+    if at is not None:
+        put(seen, True)
+    yield frame()
 
 
 def tsv_tagged(spark: SparkSession, path: str, sep: str = "\x02") -> DataFrame:
