@@ -124,3 +124,22 @@ def test_tagged_files_are_read_in_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.openCostInBytes", before[1])
     assert sorted(got) == sorted(want)
     assert "MapInPandas" in plan and "_ps_bucket" not in plan
+
+
+def test_first_rows_move_only_what_is_selected(spark):
+    from tripleloom.functions.skew import first_seen
+    rows = [("a", 2, 0.1, "x"), ("a", 1, 0.2, "y"), ("a", 1, None, "z"), ("b", None, 0.5, "n"), ("b", 0, 0.4, "m"), (None, 7, 0.3, "k")]
+    df = spark.createDataFrame(rows, "k string, no long, conf double, s string")
+    got = first_seen(df, ["k"], ["no", "conf"])
+    assert {tuple(r) for r in got.collect()} == {("a", 1, None, "z"), ("b", None, 0.5, "n"), (None, 7, 0.3, "k")}
+    plan = got.select("k", "no")._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_edges_are_derived_once_for_both_ends(spark):
+    rows = [("a", "b"), ("b", "a"), ("c", "c"), (None, "a"), ("a", None), ("d", "e")]
+    edges = spark.createDataFrame(rows, "head string, tail string").distinct()
+    names = spark.createDataFrame([("a",), ("c",)], "near string")
+    seen = G.seen_from(edges, names)
+    assert sorted(map(str, (tuple(r) for r in seen.collect()))) == sorted(map(str, [("a", "b", "a"), ("b", "a", "a"), ("c", "c", "c"), ("a", None, "a")]))
+    assert seen._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
