@@ -79,3 +79,13 @@ def test_membership_and_recall_use_it(spark):
     related = frame(spark, [("t", "tree"), ("t", "heap"), ("t", "heap"), ("u", "graph")], "topic string, name string")
     got = {r["id"]: (r["related"], r["found"]) for r in entity_recall(texts, related, "topic", "id", "text", "name").collect()}
     assert got == {1: (2, 2), 2: (2, 0), 3: (1, 0)}
+
+
+def test_entries_of_a_word_are_kept_by_scope(spark):
+    """A text looks at the names of its own scope, however many scopes share a word."""
+    from tripleloom.operators.dictionary import hits, parts
+    words = spark.createDataFrame([(s, "c", "word", 0) for s in range(50)] + [(None, "c", "word", 0)], "topic long, canonical string, synonym string, dict_no int")
+    (part,) = parts(words, ["topic"])
+    assert all(isinstance(e, dict) and len(e[(7,)]) == 1 for e in part.entries)
+    texts = spark.createDataFrame([(1, "a word", 7), (2, "a word", None), (3, "a word", 99)], "id long, text string, topic long")
+    assert [tuple(r) for r in hits(texts, "id", "text", words, ["topic"]).collect()] == [(1, "c", 0)]

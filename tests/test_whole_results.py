@@ -82,12 +82,14 @@ def test_late_triples_stay(spark, tmp_path):
     assert jobs.stored(spark, out, rows.schema).count() == 50
 
 
-def test_exploded_tokens_are_not_broadcast(spark):
+def test_exploded_tokens_are_not_broadcast(spark, tmp_path):
     """Their size is that of a few texts to the optimiser, whatever they are multiplied to."""
     from pyspark.sql import functions as F
 
     from tripleloom.functions.tags import find_all, spans_to_tags
     texts = spark.createDataFrame([(1, "the que of eux"), (2, "que"), (3, None)], "k long, text string")
+    texts.write.parquet(f"{tmp_path}/texts")
+    texts = spark.read.parquet(f"{tmp_path}/texts")           # files, whose size the optimiser knows
     chars = texts.select("k", F.posexplode(F.split("text", "")).alias("pos", "ch"))
     spans = texts.select("k", F.explode(find_all(F.col("text"), "que")).alias("start")).select("k", "start", (F.col("start") + 3).alias("end"), F.lit("q").alias("type"), F.lit(1).alias("no"))
     out = spans_to_tags(chars, spans, "k", "pos").where("tag <> 'O'")
@@ -143,3 +145,23 @@ def test_edges_are_derived_once_for_both_ends(spark):
     seen = G.seen_from(edges, names)
     assert sorted(map(str, (tuple(r) for r in seen.collect()))) == sorted(map(str, [("a", "b", "a"), ("b", "a", "a"), ("c", "c", "c"), ("a", None, "a")]))
     assert seen._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_islands_do_not_broadcast_tokens(spark, tmp_path, monkeypatch):
+    from tripleloom.functions import skew
+    from tripleloom.operators.select import tag_islands
+    plans, real = [], skew.staged
+    monkeypatch.setattr(skew, "staged", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    spark.createDataFrame([(1, "B-x I-x O I-y"), (2, "O")], "doc long, text string").write.parquet(f"{tmp_path}/texts")
+    tokens = spark.read.parquet(f"{tmp_path}/texts").select("doc", F.posexplode(F.split("text", " ")).alias("pos", "tag"))
+    assert sorted(tuple(r) for r in tag_islands(tokens, "doc", "pos", "tag").collect()) == [(1, 0, 2, "x"), (1, 3, 4, "y")]
+    assert plans and "BroadcastHashJoin" not in plans[0]
+
+
+def test_an_inbox_is_read_in_batches_of_its_files(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from tripleloom.plans.queries_io import _arrived
+    spark.range(100).repartition(10).write.parquet(f"{tmp_path}/inbox")
+    schema, files = _arrived(SimpleNamespace(spark=spark), f"{tmp_path}/inbox", 4)
+    assert files == 3 and schema.names == ["id"]
