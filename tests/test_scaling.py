@@ -1,5 +1,6 @@
 """Steps whose cost or memory a larger table must not raise beyond its own growth."""
 
+from tripleloom.functions import session
 from tripleloom.sources import importer as I
 
 
@@ -24,3 +25,19 @@ def test_imported_rows_are_stored_without_their_texts(spark, tmp_path):
     assert [r["properties"] for r in graph.edges().collect()] == [{"note": "z"}]     # of rows of one import always the same one
     graph.put_edges(edges("b", "a"), 1)
     assert [r["properties"] for r in graph.edges().collect()] == [{"note": "b"}]     # and that of the later import
+
+
+def test_tasks_do_not_grow_with_the_tables(spark):
+    names = {"files": "spark.sql.files.maxPartitionBytes", "shuffled": "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+             "parts": "spark.sql.adaptive.coalescePartitions.initialPartitionNum"}
+    kept = {n: spark.conf.get(n, None) for n in names.values()}
+    try:
+        spark.conf.set(names["files"], "128m")
+        spark.conf.set(names["shuffled"], "1m")
+        spark.conf.unset(names["parts"])
+        session.configure(spark)
+        assert spark.conf.get(names["files"]) == f"{session.SPLIT_MB}m" and spark.conf.get(names["shuffled"]) == "1m"
+        assert int(spark.conf.get(names["parts"])) == session.PARTITIONS
+    finally:
+        for n, v in kept.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
