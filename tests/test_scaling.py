@@ -1,6 +1,7 @@
 """Steps whose cost or memory a larger table must not raise beyond its own growth."""
 
 from tripleloom.functions import session
+from tripleloom.operators import joins as J
 from tripleloom.sources import importer as I
 
 
@@ -27,6 +28,17 @@ def test_imported_rows_are_stored_without_their_texts(spark, tmp_path):
     assert [r["properties"] for r in graph.edges().collect()] == [{"note": "b"}]     # and that of the later import
 
 
+def test_known_facts_hold_no_names_of_triples(spark):
+    """What a head's name begins is joined and looked up, not gathered for a distinct."""
+    facts = spark.createDataFrame([(1, "h", "t", "r"), (1, "h", "u", "r")], "doc int, h string, t string, relation string")
+    names = spark.createDataFrame([(1, "h", "H"), (1, "h", "G"), (1, "t", "T"), (1, "u", "U")], "doc int, entity string, name string")
+    triples = spark.createDataFrame([("H", "T", "r"), ("G", "T", "r"), ("H", "V", "r")], "head_name string, tail_name string, relation string")
+    known = J.known_facts(facts, names, triples)
+    assert [tuple(r) for r in known.collect()] == [(1, "h", "t", "r")]
+    groups = [line for line in plan(known).splitlines() if "Aggregate [" in line]
+    assert not [line for line in groups if all(f"{c}#" in line for c in ("doc", "h", "t", "relation", "tail_name"))]
+
+
 def test_tasks_do_not_grow_with_the_tables(spark):
     names = {"files": "spark.sql.files.maxPartitionBytes", "shuffled": "spark.sql.adaptive.advisoryPartitionSizeInBytes",
              "parts": "spark.sql.adaptive.coalescePartitions.initialPartitionNum"}
