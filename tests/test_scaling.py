@@ -1,6 +1,9 @@
 """Steps whose cost or memory a larger table must not raise beyond its own growth."""
 
+from pyspark.sql import functions as F
+
 from tripleloom.functions import session
+from tripleloom.operators import clean as C
 from tripleloom.operators import joins as J
 from tripleloom.sources import importer as I
 
@@ -28,6 +31,15 @@ def test_imported_rows_are_stored_without_their_texts(spark, tmp_path):
     assert [r["properties"] for r in graph.edges().collect()] == [{"note": "b"}]     # and that of the later import
 
 
+def test_tidy_names_are_only_looked_through(spark):
+    names = ["", " ", "a", "a b", " a", "a ", "a  b", "a\tb", "a\n", "a (x)", "(x)a(y)", "a)", "(a", "'a'", 'a"b', "a\u00a0b", "快速排序", "a b(c) d ", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    one_space = F.regexp_replace(F.trim(F.regexp_replace("n", r"\s+", " ")), r"\([^)]*\)", "")
+    whole = F.coalesce(F.trim(F.regexp_replace(one_space, "[\"']", "")), F.lit(""))
+    assert df.where(~C.norm_entity(F.col("n")).eqNullSafe(whole)).collect() == []
+    assert "CASE WHEN RLIKE(n" in plan(df.select(C.norm_entity(F.col("n"))))
+
+
 def test_known_facts_hold_no_names_of_triples(spark):
     """What a head's name begins is joined and looked up, not gathered for a distinct."""
     facts = spark.createDataFrame([(1, "h", "t", "r"), (1, "h", "u", "r")], "doc int, h string, t string, relation string")
