@@ -1,8 +1,10 @@
 """Steps whose cost or memory a larger table must not raise beyond its own growth."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from tripleloom.functions import session
+from tripleloom.functions import session, skew
 from tripleloom.operators import clean as C
 from tripleloom.operators import joins as J
 from tripleloom.sources import importer as I
@@ -40,6 +42,17 @@ def test_tidy_names_are_only_looked_through(spark):
     assert "CASE WHEN RLIKE(n" in plan(df.select(C.norm_entity(F.col("n"))))
 
 
+def test_group_ranked_over_many_ranges(spark):
+    draw = random.Random(5)
+    rows = [("hot" if draw.random() < 0.5 else f"s{draw.randrange(300)}", i) for i in range(3000)]
+    found = skew.group_ranked(spark.createDataFrame(rows, "s string, no int"), "s", ["no"], "id", "at", buckets=40).collect()
+    ids, seen, want = {s: i for i, s in enumerate(sorted({s for s, _ in rows}), 1)}, {}, []
+    for s, no in rows:
+        seen[s] = seen.get(s, 0) + 1
+        want.append((s, no, ids[s], seen[s]))
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
 def test_known_facts_hold_no_names_of_triples(spark):
     """What a head's name begins is joined and looked up, not gathered for a distinct."""
     facts = spark.createDataFrame([(1, "h", "t", "r"), (1, "h", "u", "r")], "doc int, h string, t string, relation string")
