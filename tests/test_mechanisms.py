@@ -1,12 +1,13 @@
 """Mechanisms that keep operators linear: known facts, threshold sums, blocks of subsequences, hot keys by sketch, ranges of answers, models."""
 
 import random
+import time
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tripleloom.functions import skew
+from tripleloom.functions import session, skew
 from tripleloom.operators import graph, hooks, joins, score
 
 
@@ -140,3 +141,16 @@ def test_batches_without_texts(spark):
     df = pd.DataFrame({"text": [None, None]})
     out = hooks.embed(spark.createDataFrame(df, "text string"), "text", hooks.Model(lambda: None), 2).collect()
     assert [r["embedding"] for r in out] == [None, None]
+
+
+def test_what_a_staged_table_shuffled_is_deleted(spark):
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(files) if f.getName().startswith("shuffle_")}
+    before, switch = shuffled(), spark.conf.get(session.CLEANUP)
+    out = session.staged(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 100).alias("k")).count())
+    end = time.time() + 10
+    while shuffled() - before and time.time() < end:        # they go in the background
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert out.count() == 100 and spark.conf.get(session.CLEANUP) == switch
