@@ -170,6 +170,15 @@ def test_counts_do_not_switch_with_size(spark, monkeypatch, flush):
     assert got[int(toxicity.word_ids("b5")[0].view(np.int64))] == (1, 1) and len(got) == 1401
 
 
+def test_contexts_are_dealt_by_word_and_a_share(spark):
+    """Rows of a word lie together in the shuffle, and those of a frequent word in several parts; they are moved once."""
+    rows = [(f"b{i} hot a{i}", i % 2) for i in range(3000)]
+    counts = toxicity.word_counts(spark.createDataFrame(rows, "text string, label int"))
+    moves = [x for x in counts._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert len(moves) == 2 and "share" not in moves[0] and "word" in moves[1] and "share" in moves[1]
+    assert {r["word"]: (r["n1"], r["n0"]) for r in counts.collect()}[int(toxicity.word_ids("hot")[0].view(np.int64))] == (1500, 1500)
+
+
 def test_toxicity_edges(spark):
     docs, labels = toxic_corpus(spark, 200)
     labels = labels.unionByName(spark.createDataFrame([(None, 1), (1, None), (2, 7), (5, 1), (999, 1)], "doc_id long, toxic int"))
