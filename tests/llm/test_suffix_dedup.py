@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -91,3 +92,35 @@ def test_empty_table(spark):
 def test_cut_keeps_whole_characters():
     assert S.cut_text("aüaüaü", [{"start": 2, "end": 6}]) == "aüaü"
     assert S.cut_text("üü", [{"start": 1, "end": 3}]) == "üü" and S.cut_text(None, []) is None
+
+
+def test_runs_equal_windows_one_by_one():
+    rnd = random.Random(4)
+    for n in (0, 100, 399, 400, 401, 700, 3000):
+        for letters in ("a", "ab", "abcdefghij "):
+            b = "".join(rnd.choice(letters) for _ in range(n)).encode()
+            c = S.cuts(b)
+            at, first, last = S.inner(c, len(b), L)
+            want = [(max(1, sum(x - S.RADIUS + 1 <= p for x in c)), min(len(c) - 2, sum(x <= p + L - S.RADIUS - S.GRAM for x in c) - 1))
+                    for p in range(max(0, n - L + 1))]
+            runs = [p for p in range(len(want)) if p == 0 or want[p] != want[p - 1]]
+            assert at.tolist() == runs and list(zip(first.tolist(), last.tolist())) == [want[p] for p in runs]
+
+
+def test_ranges():
+    assert S.spread(np.array([3, 9]), np.array([5, 10])).tolist() == [3, 4, 9] and not len(S.spread(np.zeros(0, int), np.zeros(0, int)))
+    x, y = S.joined(np.array([0, 1, 5, 7, 9]), np.array([4, 2, 6, 9, 12]))
+    assert x.tolist() == [0, 5, 7] and y.tolist() == [4, 6, 12]
+
+
+def test_work_on_runs_does_not_grow_with_bytes():
+    """A text without a cut is one run, however long."""
+    b = b"a" * 2_000_000
+    c = S.cuts(b)
+    tracemalloc.start()
+    try:
+        w = S.Windows(b, c, [0], L)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(c) == 2 and w.at.tolist() == [0, len(b) - L + 1] and peak < 100_000
