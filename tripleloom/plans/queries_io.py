@@ -153,7 +153,7 @@ EDGE = "source string, target string, relation string, confidence double, source
 @query("snk_edges", kg(EXPORT))
 def _(t):
     path = shared_dir(t.spark)
-    W.write_json(W.export_edges(edges(t)), path)
+    W.write_json(W.export_edges(edges(t, "sentence")), path, "gzip")
     return t.spark.read.json(path, schema=EDGE)
 
 
