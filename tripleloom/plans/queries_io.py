@@ -161,7 +161,7 @@ def _(t):
  UNION ALL SELECT 'relation', {sql_case(K.RELATION_NAMES, 'relation', 'relation')}, count(*) FROM kg_edges GROUP BY 2"""))
 def _(t):
     path = shared_dir(t.spark)
-    W.write_full_graph(nodes(t), edges(t), ATTR, path)
+    W.write_full_graph(nodes(t), edges(t, "sentence"), ATTR, path, "gzip")
     return t.spark.read.json(f"{path}/statistics", schema="kind string, value string, n bigint")
 
 
