@@ -40,3 +40,24 @@ def test_a_written_export_leaves_no_shuffle(spark, tmp_path):
     assert sorted(map(str, (tuple(r) for r in back.collect()))) == sorted(str((h, t, x, s)) for _, h, _, t, x, s in rows)
     W.write_json(W.export_edges(edges), f"{tmp_path}/plain")
     assert list((tmp_path / "plain").glob("*.json"))
+
+
+def test_a_batch_of_triples_is_held_small_and_goes(spark, tmp_path, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from tripleloom.streaming import jobs
+
+    def held(*_):
+        raise RuntimeError("cached on the disks as it is")
+    monkeypatch.setattr(DataFrame, "persist", held)
+    monkeypatch.setattr(jobs, "shared_dir", lambda spark: f"{tmp_path}/held", raising=False)
+    rows = [(1, "a", "x", "r", "b", "y"), (2, "a", "x", "r", "b", "y"), (3, "", "x", "r", "b", "y")]
+    at = F.timestamp_seconds(F.col("row_no"))
+    df = spark.createDataFrame(rows, "row_no long, head string, head_type string, relation string, tail string, tail_type string").withColumn("arrival", at)
+    df.write.parquet(f"{tmp_path}/inbox")
+    arriving = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/inbox")
+    out, bad = f"{tmp_path}/out", f"{tmp_path}/bad"
+    jobs.ingest_stream(arriving, "arrival", out, bad, f"{tmp_path}/check").awaitTermination()
+    assert [r["row_no"] for r in jobs.stored(spark, out, df.schema).collect()] == [1]
+    assert [r["reason"] for r in spark.read.parquet(f"{bad}/batch=0").collect()] == ["empty head"]
+    assert not (tmp_path / "held").exists()

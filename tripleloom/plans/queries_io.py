@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tripleloom.functions import constants as K
 from tripleloom.functions import tags as G
-from tripleloom.functions.session import shared_dir
+from tripleloom.functions.session import shared_dir, swept
 from tripleloom.plans.graph_tables import edges, kg, nodes, raw_triples
 from tripleloom.plans.queries_clean import FAMILIES, sql_case, sql_ladder
 from tripleloom.plans.queries_stats import word_tag
@@ -261,7 +261,8 @@ def _arrived(t, inbox, batches):
 def _(t):
     inbox, target, failed, check = (shared_dir(t.spark) for _ in range(4))
     at = F.timestamp_seconds(F.lit(1704067200) + (c("row_no") * 7919) % 1000000)      # far more than any delay
-    raw_triples(t).withColumn("arrival", at).write.parquet(inbox)
+    with swept(t.spark):
+        raw_triples(t).withColumn("arrival", at).write.option("compression", "zstd").parquet(inbox)
     schema, files = _arrived(t, inbox, 2)
     arriving = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(inbox)
     jobs.ingest_stream(arriving, "arrival", target, failed, check).awaitTermination()

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from tripleloom.functions.session import shared_dir
 from tripleloom.operators import clean as C
 from tripleloom.operators.graph import understand
-from tripleloom.sources.keyed import GraphTables, write_marked
+from tripleloom.sources.keyed import GraphTables, drop, write_marked
 
 DEFAULT_TYPE = "ENTITY"
 
@@ -88,8 +89,10 @@ def ingest_stream(triples: DataFrame, arrival: str, target: str, failed: str, ch
 
     def save(batch: DataFrame, number: int) -> None:
         named = batch.withColumn("head", C.norm_entity(F.col("head"))).withColumn("tail", C.norm_entity(F.col("tail")))
-        judged = named.withColumn("reason", fault(F.col("head"), F.col("relation"), F.col("tail"))).persist()
+        held = shared_dir(batch.sparkSession)       # read three times: written small, where a cache would lie on the disks as it is
         try:
+            write_marked(named.withColumn("reason", fault(F.col("head"), F.col("relation"), F.col("tail"))), held)
+            judged = batch.sparkSession.read.parquet(held)
             bad = judged.where("reason is not null")
             if not bad.isEmpty():
                 write_marked(bad, f"{failed}/batch={number}")
@@ -100,7 +103,7 @@ def ingest_stream(triples: DataFrame, arrival: str, target: str, failed: str, ch
                 raise
             write_marked(batch.withColumn("reason", F.lit(str(err))), f"{failed}/batch={number}")
         finally:
-            judged.unpersist()
+            drop(batch.sparkSession, held)
 
     return (triples.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start())
