@@ -42,6 +42,23 @@ def test_a_written_export_leaves_no_shuffle(spark, tmp_path):
     assert list((tmp_path / "plain").glob("*.json"))
 
 
+@pytest.mark.parametrize("few", [False, True])
+def test_edges_are_derived_once_for_links_by_degree(spark, monkeypatch, few):
+    kept, real = [], S.staged
+    monkeypatch.setattr(S, "staged", lambda df, *a: kept.append(df) or real(df, *a))
+    rnd = random.Random(4)
+    rows = [(i, f"n{rnd.randrange(20)}", "r", f"n{rnd.randrange(20)}") for i in range(300)] + [(300, None, "r", "n1"), (301, "n2", "r", None), (302, "n3", "r", "n3")]
+    degree = {}
+    for _, h, _, t in rows:
+        for name in ([h] if h == t else [h, t]):
+            degree[name] = degree.get(name, 0) + 1
+    inside = {f"n{i}" for i in range(0, 20, 2)} | {"n3"}
+    want = sorted(((-(degree[h] + degree[t]), no, h, r, t) for no, h, r, t in rows if h in inside and t in inside))[:40]
+    chosen = spark.createDataFrame([(n,) for n in inside], "name string")
+    got = S.links_by_degree(spark.createDataFrame(rows, EDGE), chosen, ORDER, 40, few=few)
+    assert [(-r["score"], r["row_no"], r["head"], r["relation"], r["tail"]) for r in got.collect()] == want and len(kept) == 1
+
+
 def test_a_batch_of_triples_is_held_small_and_goes(spark, tmp_path, monkeypatch):
     from pyspark.sql.classic.dataframe import DataFrame
 
