@@ -42,6 +42,19 @@ def test_a_written_export_leaves_no_shuffle(spark, tmp_path):
     assert list((tmp_path / "plain").glob("*.json"))
 
 
+@pytest.mark.parametrize("few", [False, True])
+def test_caps_of_a_graph_shuffle_first_rows_only(spark, few):
+    rnd = random.Random(3)
+    rows = [(i, f"h{rnd.randrange(30)}", rnd.choice("ab"), f"h{rnd.randrange(400)}") for i in range(3000)]
+    if few:         # the first rows show too few names and links: all rows count
+        rows = [(i, "x", "a", "y") if i < 2000 else r for i, r in enumerate(rows)] + [(2001, None, "a", "z"), (None, "u", "b", "v"), (2002, "q", None, "q")]
+    names, links = S.graph_caps(spark.createDataFrame(rows, EDGE).repartition(5), ORDER)
+    want_names, want_links = capped(rows, 20, 30)
+    assert sorted(str(r["name"]) for r in names.collect()) == sorted(map(str, want_names))
+    assert sorted(map(str, (tuple(r) for r in links.select(*ORDER).collect()))) == sorted(map(str, want_links))
+    assert all("scalar-subquery" in plan(x) for x in (names, links))
+
+
 @pytest.mark.parametrize("few", [False, True])
 def test_edges_are_derived_once_for_links_by_degree(spark, monkeypatch, few):
     kept, real = [], S.staged
