@@ -72,6 +72,16 @@ def test_edges_are_derived_once_for_links_by_degree(spark, monkeypatch, few):
     assert [(-r["score"], r["row_no"], r["head"], r["relation"], r["tail"]) for r in got.collect()] == want and len(kept) == 1
 
 
+def test_a_sample_meets_links_where_they_lie(spark, monkeypatch):
+    kept, real = [], G.staged
+    monkeypatch.setattr(G, "staged", lambda df, *a: kept.append(df) or real(df, *a))
+    edges = spark.createDataFrame([(i, f"n{i}", "r", f"n{(i * 7) % 50}") for i in range(50)] * 2, EDGE)
+    nodes = spark.createDataFrame([(f"n{i}",) for i in range(50)], "name string")
+    assert len(G.sample_nodes(edges, nodes, 10, 7).collect()) == 10
+    assert len(kept) == 4                                   # each round reads the one before it, not all before it
+    assert all("Aggregate [near" not in plan(x) for x in kept)
+
+
 def test_a_batch_of_triples_is_held_small_and_goes(spark, tmp_path, monkeypatch):
     from pyspark.sql.classic.dataframe import DataFrame
 
