@@ -82,6 +82,26 @@ def test_a_sample_meets_links_where_they_lie(spark, monkeypatch):
     assert all("Aggregate [near" not in plan(x) for x in kept)
 
 
+def test_evidence_reads_its_batch_once(spark):
+    rows = [("t", r, 1, "h", "uses", f"x{r}", "Algorithm", None if r == 1 else "d", "", "p", None, None) for r in (1, 2)]
+    batch = spark.createDataFrame(rows, "topic string, rank int, score int, head string, relation string, tail string, " + ", ".join(f"{a} string" for a in G.ATTRIBUTES))
+    lines = G.evidence_lines(batch)
+    assert sorted(tuple(r) for r in lines.collect()) == [
+        ("t", -100, "属性-type：Algorithm"), ("t", -99, "属性-time_complexity：p"), ("t", 1, "关系1：h uses x1"), ("t", 2, "关系2：h uses x2")]
+    assert plan(lines).count("LogicalRDD") + plan(lines).count("LocalRelation") == 1
+
+
+def test_an_edge_seen_from_a_name_moves_its_other_end_only(spark):
+    edges = spark.createDataFrame([(1, "a", "r", "b")], EDGE)
+    seen = G.seen_from(edges, spark.createDataFrame([("a",), ("b",)], "near string"))
+    assert sorted(tuple(r) for r in seen.collect()) == [(1, "a", "r", "b", "a"), (1, "a", "r", "b", "b")]
+    join = seen._jdf.queryExecution().optimizedPlan()
+    while join.nodeName() != "Join":
+        join = join.children().head()
+    moved = join.children().head().output()
+    assert {moved.apply(i).name() for i in range(moved.size())} == {"row_no", "relation", "near", "far", "forward"}
+
+
 def test_a_batch_of_triples_is_held_small_and_goes(spark, tmp_path, monkeypatch):
     from pyspark.sql.classic.dataframe import DataFrame
 
