@@ -102,6 +102,26 @@ def test_an_edge_seen_from_a_name_moves_its_other_end_only(spark):
     assert {moved.apply(i).name() for i in range(moved.size())} == {"row_no", "relation", "near", "far", "forward"}
 
 
+def test_words_of_a_scope_meet_its_texts_only(spark, monkeypatch):
+    """However large the dictionary of all scopes is, it is not read part by part against all texts."""
+    monkeypatch.setattr(D, "parts", lambda *a, **k: pytest.fail("the whole dictionary is taken to the driver"))
+    rnd = random.Random(6)
+    word = lambda n: "".join(rnd.choice("abc数") for _ in range(n))
+    topics = [*range(30), *[0] * 60, None]
+    texts = [(i, rnd.choice(topics), word(20)) for i in range(400)] + [(5, 0, "abcabc"), (None, 0, "abc"), (401, 0, None), (402, 0, "")]
+    words = [(rnd.choice(topics), rnd.choice([None, 1, 2, 3]), word(rnd.randint(0, 3)), i) for i in range(500)] + [(0, 1, None, 1)]
+    want: dict = {}
+    for k, topic, t in texts:
+        for own, name, w, no in words:
+            if topic is not None and own == topic and t is not None and w and w in t:
+                want[k, name] = min(no, want.get((k, name), no))
+    t = spark.createDataFrame(texts, "id long, topic long, text string")
+    d = spark.createDataFrame(words, "topic long, canonical int, synonym string, dict_no int")
+    for size in (None, 60):         # one list a scope, and many lists of the hot one
+        assert {(r["id"], r["canonical"]): r["dict_no"] for r in D.hits(t, "id", "text", d, ["topic"], part_chars=size).collect()} == want
+    assert D.hits(t, "id", "text", d.limit(0), ["topic"]).count() == 0
+
+
 def test_a_batch_of_triples_is_held_small_and_goes(spark, tmp_path, monkeypatch):
     from pyspark.sql.classic.dataframe import DataFrame
 

@@ -5,6 +5,9 @@ automaton that finds all its words in one pass over a text, however many words b
 text is read once per part where it lies: only hits leave a task, and neither texts nor parts of texts
 are joined with words.  A part is what is broadcast, so that stays bounded however large the
 dictionary is; most dictionaries are one part.
+
+Where words have scopes, such as topics, a text meets those of its own scope only: texts and words of a scope are gathered
+to lists of bounded size and joined, so the work follows the texts and not the texts times the parts of the whole dictionary.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from tripleloom.functions.session import staged
 
 PART_CHARS = 1 << 21     # characters of the words of a part, their names and a fixed share for each
 WORD_CHARS = 16          # that share
+LIST_CHARS = 1 << 18     # characters of a list of texts, or of words, of one scope
 
 
 class Part:
@@ -79,6 +83,52 @@ def _scan(texts: DataFrame, dictionary: DataFrame, scope: Sequence[str], schema:
     return reduce(DataFrame.unionByName, found) if found else None
 
 
+def _lists(rows: DataFrame, scope: Sequence[str], columns: Sequence[str], chars: str, limit: int) -> DataFrame:
+    """``columns`` of the rows of each scope as lists of about ``limit`` characters: one list a scope, or as many as a large scope asks for."""
+    sizes = rows.groupBy(*scope).agg(F.sum(chars).alias("_chars")).where(F.col("_chars") > limit)
+    many = sizes.select(*scope, F.ceil(F.col("_chars") / limit).cast("int").alias("_many"))     # broadcast: one row for each ``limit`` characters at most
+    dealt = rows.join(F.broadcast(many), [*scope], "left").withColumn("_list", F.pmod(F.xxhash64(*columns), F.coalesce("_many", F.lit(1))))
+    listed = dealt.groupBy(*scope, "_list").agg(F.collect_list(F.struct(*columns)).alias("_rows"))
+    return listed.select(*scope, *[F.col(f"_rows.{c}").alias(c) for c in columns])
+
+
+def _scoped(texts: DataFrame, dictionary: DataFrame, scope: Sequence[str], schema: str, limit: int) -> DataFrame:
+    """Hits of texts (``_key``, ``_text``) among the words of their own scope; nulls are equal to nothing."""
+    words = dictionary.where(F.length("synonym") > 0).dropna(subset=[*scope]).groupBy(*scope, "canonical", "synonym").agg(F.min("dict_no").alias("dict_no"))
+    words = staged(words.withColumn("_w", F.length("synonym") + F.coalesce(F.length(F.col("canonical").cast("string")), F.lit(0)) + WORD_CHARS))
+    texts = texts.dropna(subset=[*scope]).withColumn("_w", F.length("_text") + WORD_CHARS)
+    both = _lists(texts, scope, ["_key", "_text"], "_w", limit).join(_lists(words, scope, ["canonical", "synonym", "dict_no"], "_w", limit), [*scope])
+
+    def read(batches):
+        import ahocorasick
+        import pyarrow as pa
+        last = built = None
+        for batch in batches:
+            out: tuple = ([], [], [])
+            for i in range(batch.num_rows):     # one row at a time: a batch may be many lists
+                keys, lines, *entries = (column[i].as_py() for column in batch.columns)
+                if entries != last:
+                    by_word: dict = {}
+                    for canonical, synonym, no in zip(*entries):
+                        by_word.setdefault(synonym, []).append((canonical, no))
+                    built, last = ahocorasick.Automaton(), entries
+                    for word, names in by_word.items():
+                        built.add_word(word, (word, names))
+                    built.make_automaton()
+                for key, line in zip(keys, lines):
+                    best: dict = {}
+                    for names in {word: names for _, (word, names) in built.iter(line)}.values():
+                        for canonical, no in names:
+                            if canonical not in best or no < best[canonical]:
+                                best[canonical] = no
+                    for canonical, no in best.items():
+                        for column, value in zip(out, (key, canonical, no)):
+                            column.append(value)
+            kinds = [batch.schema.field(n).type.value_type for n in ("_key", "canonical", "dict_no")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(out, kinds)], names=["_key", "canonical", "dict_no"])
+    return both.select("_key", "_text", "canonical", "synonym", "dict_no").mapInArrow(read, schema)
+
+
 def hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame, scope: Sequence[str] = (), part_chars: int | None = None) -> DataFrame:
     """``(key, canonical, dict_no)``: every canonical name with a synonym inside the text, and the smallest number of such a synonym.
 
@@ -94,16 +144,15 @@ def hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame, scope: Se
     def read(batches, part: Part):
         for batch in batches:
             out = []
-            for k, t, *where in batch.itertuples(index=False, name=None):
-                where = tuple(where)
+            for k, t in batch.itertuples(index=False, name=None):
                 best: dict = {}
                 for number in part.found(t):
-                    for canonical, no in part.entries[number].get(where, ()):
+                    for canonical, no in part.entries[number][()]:
                         if canonical not in best or no < best[canonical]:
                             best[canonical] = no
                 out += [(k, canonical, no) for canonical, no in best.items()]
             yield pd.DataFrame(out, columns=["_key", "canonical", "dict_no"])
-    found = _scan(given, dictionary, scope, schema, read, part_chars)
+    found = _scoped(given, dictionary, scope, schema, part_chars or LIST_CHARS) if scope else _scan(given, dictionary, scope, schema, read, part_chars)
     if found is None:
         found = texts.sparkSession.createDataFrame([], schema)
     return found.groupBy(F.col("_key").alias(key), "canonical").agg(F.min("dict_no").alias("dict_no"))
