@@ -42,6 +42,17 @@ def test_a_written_export_leaves_no_shuffle(spark, tmp_path):
     assert list((tmp_path / "plain").glob("*.json"))
 
 
+def capped(rows, nodes, links):
+    key = lambda r: tuple((x is not None, x) for x in r)
+    names, pairs = {}, {}
+    for r in sorted(rows, key=key):
+        for name in (r[1], r[3]):
+            names.setdefault(name, r)
+        ends = [x for x in (r[1], r[3]) if x is not None]
+        pairs.setdefault((min(ends, default=None), max(ends, default=None), r[2]), r)
+    return list(names)[:nodes], list(pairs.values())[:links]
+
+
 @pytest.mark.parametrize("few", [False, True])
 def test_caps_of_a_graph_shuffle_first_rows_only(spark, few):
     rnd = random.Random(3)
